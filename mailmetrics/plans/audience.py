@@ -29,7 +29,7 @@ def _addressed(traces: DataFrame) -> DataFrame:
     return traces.where(e.isNotNull() & (e != ""))
 
 
-def contact_engagement(src: Sources) -> DataFrame:
+def contact_engagement(src: Sources, numbered: bool = True) -> DataFrame:
     """Per e-mail address over e-mail traces: counts by current status and a score.
 
     score = clamp(0..100, 0.5 * open% + 0.4 * click% - 10 if ever bounced),
@@ -63,6 +63,8 @@ def contact_engagement(src: Sources) -> DataFrame:
         tier(score_h, [(b * 100, lbl) for b, lbl in ENGAGEMENT_TIERS], ENGAGEMENT_DEFAULT_TIER)
         .alias("engagement_tier"),
     )
+    if not numbered:
+        return scored
     return sequence_ids(
         scored, [F.col("engagement_score").desc_nulls_first(), F.col("email").asc_nulls_last()]
     )
@@ -129,7 +131,8 @@ def _ts_literal(as_of: dt.datetime | str | None) -> Column:
     return F.lit(as_of).cast("timestamp_ntz")
 
 
-def reengagement(src: Sources, as_of: dt.datetime | str | None = None) -> DataFrame:
+def reengagement(src: Sources, as_of: dt.datetime | str | None = None,
+                 numbered: bool = True) -> DataFrame:
     """Addresses whose last open is missing or more than 30 days before ``as_of``.
 
     ``campaigns_since_last_open`` counts distinct mailings with an unopened
@@ -175,4 +178,6 @@ def reengagement(src: Sources, as_of: dt.datetime | str | None = None) -> DataFr
         "campaigns_since_last_open",
         status.alias("reengagement_status"),
     )
+    if not numbered:
+        return out
     return sequence_ids(out, [lo.asc_nulls_first(), F.col("email").asc_nulls_last()])

@@ -89,12 +89,13 @@ def activity_stats(src: Sources) -> DataFrame:
     )
 
 
-def participant_breakdown(src: Sources) -> DataFrame:
+def participant_breakdown(src: Sources, numbered: bool = True) -> DataFrame:
     """Participants per (campaign, state, test flag, creation day).
 
     The day is returned as a midnight timestamp.  Ids follow the group keys
     ascending with nulls last; the result grows with campaigns x days, so
-    the numbering is the parallel one.
+    the numbering is the parallel one (eager: it checkpoints the grouped
+    result).  ``numbered=False`` leaves out ``id`` and stays lazy.
     """
     day = F.to_date("create_date")
     g = src.marketing_participant.groupBy(
@@ -105,5 +106,7 @@ def participant_breakdown(src: Sources) -> DataFrame:
         F.col("_day").cast("timestamp_ntz").alias("create_date"),
         "participant_count",
     )
+    if not numbered:
+        return g
     order = [F.col(c).asc_nulls_last() for c in ("campaign_id", "state", "is_test", "create_date")]
     return sequence_ids(g, order)

@@ -36,11 +36,17 @@ USES_ROLLUP = {
 }
 
 
+# Reports numbered in parallel (eager checkpoint); ``numbered=False`` skips ids.
+NUMBERED = {"participant_breakdown", "contact_engagement", "reengagement"}
+
+
 def build_report(name: str, src: Sources, *, rollup: DataFrame | None = None,
-                 as_of: dt.datetime | str | None = None) -> DataFrame:
+                 as_of: dt.datetime | str | None = None, numbered: bool = True) -> DataFrame:
     fn = REPORTS[name]
     if name == "reengagement":
-        return fn(src, as_of=as_of)
+        return fn(src, as_of=as_of, numbered=numbered)
+    if name in NUMBERED:
+        return fn(src, numbered=numbered)
     if name in USES_ROLLUP:
         return fn(src, rollup=rollup)
     return fn(src)
