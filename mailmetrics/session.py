@@ -27,6 +27,8 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.driver.memory", "8g")
         .config("spark.ui.showConsoleProgress", "false")
+        # Plans are built from many Column calls; skip per-call origin capture.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
     for k, v in {**REPORT_CONF, **(extra or {})}.items():
         builder = builder.config(k, v)

@@ -7,257 +7,195 @@ participants).  The same expressions exist in DuckDB SQL in
 ``mailmetrics.oracle.fixtures_sql``; both sides give identical rows.
 
 All derivations are narrow projections of one scan except
-``mailing_mailing``, which is an aggregate of the derived traces by week.
+``mailing_mailing``, which is an aggregate of the derived orders by week.
+The expressions are Spark SQL strings (``selectExpr``): one call per column
+keeps plan construction cheap.
 """
 
 from __future__ import annotations
 
 import os
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 # Fixed values of the fixture definition.
-EPOCH = "1995-01-01 00:00:00"
-ORPHAN_MAILING_ID = 999999
+EPOCH = "timestamp_ntz'1995-01-01 00:00:00'"
+NULL_TS = "cast(null as timestamp_ntz)"
 
 
-def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(os.path.join(sf_dir, f"{table}.parquet"))
-
-
-def plus_hours(ts: Column, hours: Column) -> Column:
-    return F.timestamp_add("HOUR", hours.cast("int"), ts)
-
-
-def _epoch() -> Column:
-    return F.lit(EPOCH).cast("timestamp_ntz")
+def plus_hours(ts: str, n: str) -> str:
+    return f"timestampadd(HOUR, cast({n} as int), {ts})"
 
 
-def _null_ts() -> Column:
-    return F.lit(None).cast("timestamp_ntz")
+def contact_email(key: str) -> str:
+    return f"concat('c', cast(CASE WHEN {key} % 40 = 1 THEN {key} - 1 ELSE {key} END AS string), '@example.com')"
 
 
-def _contact_email(key: Column) -> Column:
-    k = F.when(key % 40 == 1, key - 1).otherwise(key)
-    return F.concat(F.lit("c"), k.cast("string"), F.lit("@example.com"))
-
-
-def _week(orderdate: Column) -> Column:
-    days = F.datediff(orderdate.cast("date"), F.lit("1995-01-01").cast("date"))
-    return F.floor(days / 7).cast("bigint")
+def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    return spark.read.parquet(os.path.join(sf_dir, f"{table}.parquet"))
 
 
 def orders_with_status(orders: DataFrame) -> DataFrame:
     """Orders plus the week ``w`` and the derived trace status."""
-    o = orders.select("o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority")
-    o = o.withColumn("w", _week(F.col("o_orderdate")))
-    a = F.col("o_custkey") % 10
-    b6 = (F.col("w") % 8) * 6
-    u = (F.col("o_orderkey") * 37 + F.col("o_custkey") * 11) % 100
-    status = (
-        F.when((a == 9) & (u < 90), "open")
-        .when(u < b6, "open")
-        .when(u < b6 + 8, "click")
-        .when(u < b6 + 12, "reply")
-        .when(u < b6 + 18, "bounce")
-        .when(u < b6 + 22, "error")
-        .when(u < b6 + 26, "cancel")
-        .when(u < b6 + 28, "outgoing")
-        .otherwise("sent")
+    o = orders.selectExpr(
+        "o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority",
+        "cast(floor(datediff(cast(o_orderdate as date), date'1995-01-01') / 7) as bigint) AS w",
+        "(o_orderkey * 37 + o_custkey * 11) % 100 AS u",
+    )
+    return o.selectExpr(
+        "o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority", "w",
+        """CASE WHEN o_custkey % 10 = 9 AND u < 90 THEN 'open'
+                WHEN u < 6 * (w % 8) THEN 'open'
+                WHEN u < 6 * (w % 8) + 8 THEN 'click'
+                WHEN u < 6 * (w % 8) + 12 THEN 'reply'
+                WHEN u < 6 * (w % 8) + 18 THEN 'bounce'
+                WHEN u < 6 * (w % 8) + 22 THEN 'error'
+                WHEN u < 6 * (w % 8) + 26 THEN 'cancel'
+                WHEN u < 6 * (w % 8) + 28 THEN 'outgoing'
+                ELSE 'sent' END AS trace_status""",
     )
-    return o.withColumn("trace_status", status)
 
 
 def mailing_trace(orders: DataFrame) -> DataFrame:
-    o = orders_with_status(orders)
-    key = F.col("o_orderkey")
-    st = F.col("trace_status")
-    prio = F.substring(F.col("o_orderpriority"), 1, 1)
-    failure = (
-        F.when(st == "bounce", "mail_bounce")
-        .when(
-            st == "error",
-            F.when(prio == "1", "mail_email_invalid")
-            .when(prio == "2", "mail_email_missing")
-            .when(prio == "3", "mail_from_invalid")
-            .when(prio == "4", "unknown")
-            .otherwise(""),
-        )
-        .when(st == "cancel", F.when(F.col("o_custkey") % 2 == 0, "mail_optout").otherwise("mail_dup"))
-    )
-    sent = F.when(st.isin("outgoing", "cancel"), _null_ts()).otherwise(
-        plus_hours(F.col("o_orderdate"), key % 24)
-    )
-    opened = F.when(st.isin("open", "click", "reply"), plus_hours(sent, key % 72))
-    return o.select(
-        key.alias("id"),
-        F.when(key % 101 == 0, F.lit(None).cast("bigint"))
-        .when(key % 103 == 0, F.lit(ORPHAN_MAILING_ID).cast("bigint"))
-        .otherwise(F.col("w"))
-        .alias("mass_mailing_id"),
-        F.when(key % 97 == 0, F.lit(None).cast("string"))
-        .when(key % 89 == 0, F.lit(""))
-        .otherwise(_contact_email(F.col("o_custkey")))
-        .alias("email"),
-        st.alias("trace_status"),
-        failure.alias("failure_type"),
-        sent.alias("sent_datetime"),
-        opened.alias("open_datetime"),
-        F.when(st == "click", plus_hours(opened, F.lit(1))).alias("links_click_datetime"),
-        F.when(st == "reply", plus_hours(opened, F.lit(2))).alias("reply_datetime"),
-    )
+    o = orders_with_status(orders).selectExpr(
+        "o_orderkey AS id",
+        """CASE WHEN o_orderkey % 101 = 0 THEN cast(null as bigint)
+                WHEN o_orderkey % 103 = 0 THEN cast(999999 as bigint)
+                ELSE w END AS mass_mailing_id""",
+        f"""CASE WHEN o_orderkey % 97 = 0 THEN cast(null as string)
+                 WHEN o_orderkey % 89 = 0 THEN ''
+                 ELSE {contact_email('o_custkey')} END AS email""",
+        "trace_status",
+        """CASE WHEN trace_status = 'bounce' THEN 'mail_bounce'
+                WHEN trace_status = 'error' THEN
+                  CASE substr(o_orderpriority, 1, 1)
+                    WHEN '1' THEN 'mail_email_invalid' WHEN '2' THEN 'mail_email_missing'
+                    WHEN '3' THEN 'mail_from_invalid' WHEN '4' THEN 'unknown' ELSE '' END
+                WHEN trace_status = 'cancel' THEN
+                  CASE WHEN o_custkey % 2 = 0 THEN 'mail_optout' ELSE 'mail_dup' END
+           END AS failure_type""",
+        f"""CASE WHEN trace_status IN ('outgoing', 'cancel') THEN {NULL_TS}
+                 ELSE {plus_hours('o_orderdate', 'o_orderkey % 24')} END AS sent_datetime""",
+    )
+    o = o.selectExpr(
+        "*",
+        f"""CASE WHEN trace_status IN ('open', 'click', 'reply')
+                 THEN {plus_hours('sent_datetime', 'id % 72')} END AS open_datetime""",
+    )
+    return o.selectExpr(
+        "*",
+        f"CASE WHEN trace_status = 'click' THEN {plus_hours('open_datetime', '1')} END AS links_click_datetime",
+        f"CASE WHEN trace_status = 'reply' THEN {plus_hours('open_datetime', '2')} END AS reply_datetime",
+    )
+
+
+def _ratio(x: str) -> str:
+    return f"CASE WHEN w % 9 = 4 OR snt = 0 THEN cast(null as double) ELSE cast(100 * ({x}) as double) / cast(snt as double) END"
 
 
 def mailing_mailing(orders: DataFrame) -> DataFrame:
-    o = orders_with_status(orders)
-    st = F.col("trace_status")
-    per_week = o.groupBy("w").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.count_if(~st.isin("outgoing", "cancel", "error")).alias("snt"),
-        F.count_if(st.isin("open", "click", "reply")).alias("op"),
-        F.count_if(st == "reply").alias("rp"),
-        F.count_if(st == "bounce").alias("bo"),
-        F.count_if(st == "error").alias("er"),
-    )
-    w = F.col("w")
-    snt = F.col("snt")
-
-    def ratio(x: Column) -> Column:
-        return F.when((w % 9 == 4) | (snt == 0), F.lit(None).cast("double")).otherwise(
-            (x * 100).cast("double") / snt.cast("double")
-        )
-
-    state = (
-        F.when(w % 12 == 11, "draft")
-        .when(w % 12 == 10, "in_queue")
-        .when(w % 12 == 9, "sending")
-        .otherwise("done")
-    )
-    sent_date = F.when((w % 12).isin(10, 11) | (w % 37 == 5), _null_ts()).otherwise(
-        plus_hours(_epoch(), w * 168 + (w % 7) * 24 + (w * 5) % 24)
-    )
-    return per_week.select(
-        w.alias("id"),
-        F.when(w % 29 == 3, F.lit(None).cast("string"))
-        .otherwise(F.concat(F.lit("Offer "), F.repeat(F.lit("x"), (w % 20).cast("int"))))
-        .alias("subject"),
-        F.concat(F.lit("team"), (w % 3).cast("string"), F.lit("@example.com")).alias("email_from"),
-        F.when(w % 10 == 9, "sms").otherwise("mail").alias("mailing_type"),
-        state.alias("state"),
-        sent_date.alias("sent_date"),
-        F.when(w % 4 == 0, _null_ts()).otherwise(plus_hours(_epoch(), w * 168)).alias("schedule_date"),
-        F.col("n").alias("expected"),
-        F.when(w % 43 == 8, F.lit(None).cast("bigint"))
-        .when(w % 41 == 7, F.lit(0).cast("bigint"))
-        .otherwise(snt)
-        .alias("sent"),
-        F.col("op").alias("opened"),
-        F.col("rp").alias("replied"),
-        F.when(w % 31 == 6, F.lit(None).cast("bigint")).otherwise(F.col("bo")).alias("bounced"),
-        F.col("er").alias("failed"),
-        ratio(F.col("op")).alias("opened_ratio"),
-        ratio(snt - F.col("bo")).alias("received_ratio"),
-        ratio(F.col("rp")).alias("replied_ratio"),
-        ratio(F.col("bo")).alias("bounced_ratio"),
-        F.when(w % 5 == 0, F.lit(True)).when(w % 5 == 1, F.lit(None).cast("boolean"))
-        .otherwise(F.lit(False))
-        .alias("ab_testing_enabled"),
-        F.when(w % 4 == 3, F.lit(None).cast("bigint")).otherwise((w % 4) * 10).alias("ab_testing_pc"),
-        F.when(w % 4 == 0, "manual").when(w % 4 == 1, "clicks").when(w % 4 == 2, "open")
-        .otherwise("reply")
-        .alias("ab_testing_winner_selection"),
-        F.when(w % 15 == 0, F.lit(None).cast("boolean")).otherwise(w % 2 == 0).alias("ab_testing_completed"),
-        F.when(w % 25 == 0, F.lit(None).cast("boolean")).otherwise(w % 10 == 0)
-        .alias("ab_testing_is_winner_mailing"),
-    )
+    """One mailing per week ``w``, its counters counted from that week's orders."""
+    agg = orders_with_status(orders).groupBy("w").agg(*_week_counts())
+    return agg.selectExpr(
+        "w AS id",
+        "CASE WHEN w % 29 = 3 THEN cast(null as string) ELSE concat('Offer ', repeat('x', cast(w % 20 as int))) END AS subject",
+        "concat('team', cast(w % 3 as string), '@example.com') AS email_from",
+        "CASE WHEN w % 10 = 9 THEN 'sms' ELSE 'mail' END AS mailing_type",
+        "CASE w % 12 WHEN 11 THEN 'draft' WHEN 10 THEN 'in_queue' WHEN 9 THEN 'sending' ELSE 'done' END AS state",
+        f"""CASE WHEN w % 12 IN (10, 11) OR w % 37 = 5 THEN {NULL_TS}
+                 ELSE {plus_hours(EPOCH, 'w * 168 + (w % 7) * 24 + (w * 5) % 24')} END AS sent_date""",
+        f"CASE WHEN w % 4 = 0 THEN {NULL_TS} ELSE {plus_hours(EPOCH, 'w * 168')} END AS schedule_date",
+        "n AS expected",
+        "CASE WHEN w % 43 = 8 THEN cast(null as bigint) WHEN w % 41 = 7 THEN cast(0 as bigint) ELSE snt END AS sent",
+        "op AS opened",
+        "rp AS replied",
+        "CASE WHEN w % 31 = 6 THEN cast(null as bigint) ELSE bo END AS bounced",
+        "er AS failed",
+        f"{_ratio('op')} AS opened_ratio",
+        f"{_ratio('snt - bo')} AS received_ratio",
+        f"{_ratio('rp')} AS replied_ratio",
+        f"{_ratio('bo')} AS bounced_ratio",
+        "CASE w % 5 WHEN 0 THEN true WHEN 1 THEN cast(null as boolean) ELSE false END AS ab_testing_enabled",
+        "CASE WHEN w % 4 = 3 THEN cast(null as bigint) ELSE (w % 4) * 10 END AS ab_testing_pc",
+        "CASE w % 4 WHEN 0 THEN 'manual' WHEN 1 THEN 'clicks' WHEN 2 THEN 'open' ELSE 'reply' END AS ab_testing_winner_selection",
+        "CASE WHEN w % 15 = 0 THEN cast(null as boolean) ELSE w % 2 = 0 END AS ab_testing_completed",
+        "CASE WHEN w % 25 = 0 THEN cast(null as boolean) ELSE w % 10 = 0 END AS ab_testing_is_winner_mailing",
+    )
+
+
+def _week_counts():
+    from pyspark.sql import functions as F
+
+    return [
+        F.expr("count(1)").alias("n"),
+        F.expr("count_if(trace_status NOT IN ('outgoing', 'cancel', 'error'))").alias("snt"),
+        F.expr("count_if(trace_status IN ('open', 'click', 'reply'))").alias("op"),
+        F.expr("count_if(trace_status = 'reply')").alias("rp"),
+        F.expr("count_if(trace_status = 'bounce')").alias("bo"),
+        F.expr("count_if(trace_status = 'error')").alias("er"),
+    ]
 
 
 def mailing_list(nation: DataFrame) -> DataFrame:
-    return nation.select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name"))
+    return nation.selectExpr("n_nationkey AS id", "n_name AS name")
 
 
 def mailing_contact(customer: DataFrame) -> DataFrame:
-    return customer.select(
-        F.col("c_custkey").alias("id"), _contact_email(F.col("c_custkey")).alias("email")
-    )
+    return customer.selectExpr("c_custkey AS id", f"{contact_email('c_custkey')} AS email")
 
 
 def mailing_contact_subscription(customer: DataFrame) -> DataFrame:
-    c = customer.select("c_custkey", "c_nationkey")
-    first = c.where(F.col("c_nationkey") != 24).select(
-        F.col("c_custkey").alias("id"),
-        F.col("c_custkey").alias("contact_id"),
-        F.col("c_nationkey").alias("list_id"),
+    first = customer.where("c_nationkey <> 24").selectExpr(
+        "c_custkey AS id", "c_custkey AS contact_id", "c_nationkey AS list_id"
     )
-    second = c.where((F.col("c_custkey") % 3 == 0) & (F.col("c_nationkey") < 23)).select(
-        (F.col("c_custkey") + 10000000).alias("id"),
-        F.col("c_custkey").alias("contact_id"),
-        (F.col("c_nationkey") + 1).alias("list_id"),
+    second = customer.where("c_custkey % 3 = 0 AND c_nationkey < 23").selectExpr(
+        "c_custkey + 10000000 AS id", "c_custkey AS contact_id", "c_nationkey + 1 AS list_id"
     )
-    key = F.col("contact_id")
-    return first.unionByName(second).withColumn(
-        "opt_out",
-        F.when(key % 17 == 0, F.lit(None).cast("boolean")).otherwise(key % 10 < F.col("list_id") % 6),
+    return first.unionByName(second).selectExpr(
+        "id", "contact_id", "list_id",
+        "CASE WHEN contact_id % 17 = 0 THEN cast(null as boolean) ELSE contact_id % 10 < list_id % 6 END AS opt_out",
     )
 
 
-def _brand_key(brand: Column) -> Column:
-    return F.substring(brand, 7, 1000).cast("bigint")
-
-
 def marketing_campaign(part: DataFrame) -> DataFrame:
-    brands = part.select("p_brand").distinct()
-    k = _brand_key(F.col("p_brand"))
-    return brands.select(
-        k.alias("id"),
-        F.col("p_brand").alias("name"),
-        F.when(k % 3 == 0, "draft").when(k % 3 == 1, "running").otherwise("stopped").alias("state"),
-        plus_hours(_epoch(), k * 24).alias("create_date"),
-        F.when(k % 4 == 0, _null_ts()).otherwise(plus_hours(_epoch(), k * 48)).alias("last_sync_date"),
+    brands = part.select("p_brand").distinct().selectExpr(
+        "p_brand", "cast(substr(p_brand, 7) as bigint) AS k"
+    )
+    return brands.selectExpr(
+        "k AS id",
+        "p_brand AS name",
+        "CASE k % 3 WHEN 0 THEN 'draft' WHEN 1 THEN 'running' ELSE 'stopped' END AS state",
+        f"{plus_hours(EPOCH, 'k * 24')} AS create_date",
+        f"CASE WHEN k % 4 = 0 THEN {NULL_TS} ELSE {plus_hours(EPOCH, 'k * 48')} END AS last_sync_date",
     )
 
 
 def marketing_participant(lineitem: DataFrame) -> DataFrame:
-    supp = F.col("l_suppkey")
-    flag = F.col("l_returnflag")
-    line = F.col("l_linenumber")
-    return lineitem.select(
-        F.when(supp % 31 == 30, F.lit(None).cast("bigint")).otherwise(supp % 24 + 1).alias("campaign_id"),
-        F.when(flag == "N", "running").when(flag == "A", "completed").when(flag == "R", "removed")
-        .alias("state"),
-        F.when(line == 7, F.lit(True)).when(line == 6, F.lit(None).cast("boolean"))
-        .otherwise(F.lit(False))
-        .alias("is_test"),
-        plus_hours(F.col("l_shipdate"), line).alias("create_date"),
+    return lineitem.selectExpr(
+        "CASE WHEN l_suppkey % 31 = 30 THEN cast(null as bigint) ELSE l_suppkey % 24 + 1 END AS campaign_id",
+        "CASE l_returnflag WHEN 'N' THEN 'running' WHEN 'A' THEN 'completed' WHEN 'R' THEN 'removed' END AS state",
+        "CASE l_linenumber WHEN 7 THEN true WHEN 6 THEN cast(null as boolean) ELSE false END AS is_test",
+        f"{plus_hours('l_shipdate', 'l_linenumber')} AS create_date",
     )
 
 
 def marketing_activity(part: DataFrame) -> DataFrame:
-    key = F.col("p_partkey")
-    size = F.col("p_size")
-    trig = key % 10
-    trigger = (
-        F.when(trig == 0, "begin").when(trig == 1, "mail_open").when(trig == 2, "mail_not_open")
-        .when(trig == 3, "mail_reply").when(trig == 4, "mail_not_reply")
-        .when(trig == 5, "mail_click").when(trig == 6, "mail_not_click")
-        .when(trig == 7, "mail_bounce").when(trig == 8, "activity")
-    )
-    return part.select(
-        key.alias("id"),
-        _brand_key(F.col("p_brand")).alias("campaign_id"),
-        F.col("p_name").alias("name"),
-        F.when(size % 5 == 0, "action").otherwise("email").alias("activity_type"),
-        trigger.alias("trigger_type"),
-        size.cast("int").alias("interval_number"),
-        F.when(size % 4 == 0, "hours").when(size % 4 == 1, "days").when(size % 4 == 2, "weeks")
-        .otherwise("months")
-        .alias("interval_type"),
-        F.when(size % 5 == 0, F.lit(None).cast("bigint")).otherwise(key % 350).alias("mass_mailing_id"),
-        size.cast("int").alias("total_click"),
-        F.when(key % 7 == 0, F.lit(None).cast("int")).otherwise(size % 3).cast("int").alias("total_bounce"),
-        (size * 2).cast("int").alias("processed"),
-        F.when(key % 11 == 0, F.lit(None).cast("int")).otherwise(size % 4).cast("int").alias("rejected"),
+    return part.selectExpr(
+        "p_partkey AS id",
+        "cast(substr(p_brand, 7) as bigint) AS campaign_id",
+        "p_name AS name",
+        "CASE WHEN p_size % 5 = 0 THEN 'action' ELSE 'email' END AS activity_type",
+        """CASE p_partkey % 10 WHEN 0 THEN 'begin' WHEN 1 THEN 'mail_open' WHEN 2 THEN 'mail_not_open'
+                WHEN 3 THEN 'mail_reply' WHEN 4 THEN 'mail_not_reply' WHEN 5 THEN 'mail_click'
+                WHEN 6 THEN 'mail_not_click' WHEN 7 THEN 'mail_bounce' WHEN 8 THEN 'activity'
+           END AS trigger_type""",
+        "cast(p_size as int) AS interval_number",
+        "CASE p_size % 4 WHEN 0 THEN 'hours' WHEN 1 THEN 'days' WHEN 2 THEN 'weeks' ELSE 'months' END AS interval_type",
+        "CASE WHEN p_size % 5 = 0 THEN cast(null as bigint) ELSE p_partkey % 350 END AS mass_mailing_id",
+        "cast(p_size as int) AS total_click",
+        "cast(CASE WHEN p_partkey % 7 = 0 THEN null ELSE p_size % 3 END as int) AS total_bounce",
+        "cast(p_size * 2 as int) AS processed",
+        "cast(CASE WHEN p_partkey % 11 = 0 THEN null ELSE p_size % 4 END as int) AS rejected",
     )
 
 
