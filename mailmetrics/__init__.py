@@ -1,14 +1,13 @@
 """mailmetrics: e-mail marketing and automation reports as Spark DataFrames.
 
-    from mailmetrics import Sources, reports
+    from mailmetrics import Sources, mailing
     src = Sources.from_parquet(spark, "s3://bucket/marketing")
-    reports.campaign_stats(src).where("state = 'done'").show()
+    mailing.campaign_stats(src).where("state = 'done'").show()
 """
 
-from .sources.tables import Sources
-from .plans import catalog
+from .plans import audience, automation, catalog, insights, mailing, slices
 from .plans.catalog import REPORTS, build_report, register_reports
-from .plans import audience, automation, insights, mailing
+from .sources.tables import Sources
 
-__all__ = ["Sources", "REPORTS", "build_report", "register_reports", "catalog",
+__all__ = ["Sources", "REPORTS", "build_report", "register_reports", "catalog", "slices",
            "mailing", "automation", "insights", "audience"]
