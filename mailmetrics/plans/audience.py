@@ -174,7 +174,8 @@ def reengagement(src: Sources, as_of: dt.datetime | str | None = None,
     out = per.select(
         "email",
         "last_opened",
-        F.timestamp_diff("DAY", lo, now).cast("int").alias("days_since_last_open"),
+        # whole elapsed days of the wall-clock difference (NTZ - NTZ: no time zone involved)
+        F.extract(F.lit("DAY"), now - lo).cast("int").alias("days_since_last_open"),
         "campaigns_since_last_open",
         status.alias("reengagement_status"),
     )
