@@ -29,7 +29,11 @@ def _addressed(traces: DataFrame) -> DataFrame:
     return traces.where(e.isNotNull() & (e != ""))
 
 
-def contact_engagement(src: Sources, numbered: bool = True) -> DataFrame:
+def contact_engagement(src: Sources, numbered: bool = True, *,
+                       open_weight: int = ENGAGEMENT_OPEN_WEIGHT,
+                       click_weight: int = ENGAGEMENT_CLICK_WEIGHT,
+                       bounce_penalty: int = ENGAGEMENT_BOUNCE_PENALTY,
+                       tiers=ENGAGEMENT_TIERS, default_tier: str = ENGAGEMENT_DEFAULT_TIER) -> DataFrame:
     """Per e-mail address over e-mail traces: counts by current status and a score.
 
     score = clamp(0..100, 0.5 * open% + 0.4 * click% - 10 if ever bounced),
@@ -49,9 +53,9 @@ def contact_engagement(src: Sources, numbered: bool = True) -> DataFrame:
     )
     n = F.col("total_received")
     raw = (
-        F.col("total_opened") * ENGAGEMENT_OPEN_WEIGHT
-        + F.col("total_clicked") * ENGAGEMENT_CLICK_WEIGHT
-        - F.when(F.col("total_bounced") > 0, n * ENGAGEMENT_BOUNCE_PENALTY).otherwise(0)
+        F.col("total_opened") * open_weight
+        + F.col("total_clicked") * click_weight
+        - F.when(F.col("total_bounced") > 0, n * bounce_penalty).otherwise(0)
     )
     clamped = F.greatest(F.lit(0), F.least(n * 100, raw))
     score_h = round_div(clamped * 100, n)
@@ -60,7 +64,7 @@ def contact_engagement(src: Sources, numbered: bool = True) -> DataFrame:
         pct(F.col("total_opened"), n).alias("open_rate"),
         pct(F.col("total_clicked"), n).alias("click_rate"),
         hundredths_to_double(score_h).alias("engagement_score"),
-        tier(score_h, [(b * 100, lbl) for b, lbl in ENGAGEMENT_TIERS], ENGAGEMENT_DEFAULT_TIER)
+        tier(score_h, [(b * 100, lbl) for b, lbl in tiers], default_tier)
         .alias("engagement_tier"),
     )
     if not numbered:
@@ -70,7 +74,8 @@ def contact_engagement(src: Sources, numbered: bool = True) -> DataFrame:
     )
 
 
-def list_health(src: Sources) -> DataFrame:
+def list_health(src: Sources, *, bounce_weight: int = HEALTH_BOUNCE_WEIGHT,
+                badges=HEALTH_BADGES, default_badge: str = HEALTH_DEFAULT_BADGE) -> DataFrame:
     """Per mailing list with subscriptions: active share, bounce exposure, health.
 
     ``bounced_ever`` counts distinct bounced addresses held by a contact
@@ -103,12 +108,12 @@ def list_health(src: Sources) -> DataFrame:
     total = F.col("total_contacts")
     active = F.col("active_contacts")
     bounced_ever = F.coalesce(F.col("_bounced_ever"), F.lit(0))
-    health_h = round_div(F.greatest(F.lit(0), active * 100 - bounced_ever * HEALTH_BOUNCE_WEIGHT) * 100, total)
+    health_h = round_div(F.greatest(F.lit(0), active * 100 - bounced_ever * bounce_weight) * 100, total)
     badge = None
-    for bound, label in HEALTH_BADGES:
+    for bound, label in badges:
         cond = active * 100 >= total * bound
         badge = F.when(cond, label) if badge is None else badge.when(cond, label)
-    badge = badge.otherwise(HEALTH_DEFAULT_BADGE)
+    badge = badge.otherwise(default_badge)
     return j.select(
         F.col("list_id").alias("id"),
         "list_id",
@@ -132,11 +137,13 @@ def _ts_literal(as_of: dt.datetime | str | None) -> Column:
 
 
 def reengagement(src: Sources, as_of: dt.datetime | str | None = None,
-                 numbered: bool = True) -> DataFrame:
+                 numbered: bool = True, *, thresholds=REENGAGEMENT_DAYS) -> DataFrame:
     """Addresses whose last open is missing or more than 30 days before ``as_of``.
 
     ``campaigns_since_last_open`` counts distinct mailings with an unopened
     trace sent after the last open (any unopened trace if never opened).
+    ``thresholds`` are (days, status) from the longest to the shortest; the
+    shortest is the cut-off of the report.
 
     Plan: traces are pre-aggregated per (address, mailing) -- map-side, so a
     hot address is spread over its mailings -- then the address-level last
@@ -167,9 +174,9 @@ def reengagement(src: Sources, as_of: dt.datetime | str | None = None,
     def older_than(days: int) -> Column:
         return lo < now - F.make_dt_interval(F.lit(days))
 
-    per = per.where(lo.isNull() | older_than(REENGAGEMENT_DAYS[-1][0]))
-    status = F.when(lo.isNull(), REENGAGEMENT_DAYS[0][1])
-    for days, label in REENGAGEMENT_DAYS:
+    per = per.where(lo.isNull() | older_than(thresholds[-1][0]))
+    status = F.when(lo.isNull(), thresholds[0][1])
+    for days, label in thresholds:
         status = status.when(older_than(days), label)
     out = per.select(
         "email",

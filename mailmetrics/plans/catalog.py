@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Callable
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.tables import Sources
@@ -64,7 +65,10 @@ def register_reports(spark: SparkSession, src: Sources, *, prefix: str = "",
     """
     from ..operators.rollups import trace_rollup
 
-    rollup = trace_rollup(src.mailing_trace)
+    # One click/cancel rollup (one row per mailing) serves seven reports; kept
+    # persisted so querying several views scans the traces once.  A lost
+    # cached block is recomputed from lineage.
+    rollup = trace_rollup(src.mailing_trace).persist(StorageLevel.MEMORY_AND_DISK)
     out = {}
     for name in names or list(REPORTS):
         df = build_report(name, src, rollup=rollup, as_of=as_of)

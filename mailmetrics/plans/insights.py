@@ -80,15 +80,18 @@ def monthly_trend(src: Sources, rollup: DataFrame | None = None) -> DataFrame:
     )
 
 
-def campaign_ranking(src: Sources, rollup: DataFrame | None = None) -> DataFrame:
+def campaign_ranking(src: Sources, rollup: DataFrame | None = None, *,
+                     weights: dict[str, int] = RANKING_WEIGHTS,
+                     tiers=RANKING_TIERS, default_tier: str = RANKING_DEFAULT_TIER) -> DataFrame:
     """Done e-mail mailings scored 0.4 open + 0.3 delivery + 0.2 reply - 0.1 bounce.
 
     The score is rounded to 2 decimals before ranking and tiering; ``rank``
-    is SQL ``RANK`` (ties share a rank, gaps follow).
+    is SQL ``RANK`` (ties share a rank, gaps follow).  ``weights`` are in
+    tenths per stored ratio; ``tiers`` are (lower bound, label), highest first.
     """
     m = _sent_email_mailings(src, rollup, require_sent_date=False)
     weighted = None
-    for col, w in RANKING_WEIGHTS.items():
+    for col, w in weights.items():
         term = ratio_micro(col) * w
         weighted = term if weighted is None else weighted + term
     # micro-units * tenths -> hundredths of a point: divide by 10 * 10_000
@@ -112,7 +115,7 @@ def campaign_ranking(src: Sources, rollup: DataFrame | None = None) -> DataFrame
         "sent_date",
         "rank",
         hundredths_to_double(F.col("_score_h")).alias("engagement_score"),
-        tier(F.col("_score_h"), [(b * 100, lbl) for b, lbl in RANKING_TIERS], RANKING_DEFAULT_TIER)
+        tier(F.col("_score_h"), [(b * 100, lbl) for b, lbl in tiers], default_tier)
         .alias("performance_tier"),
         "open_rate", "click_rate", "delivery_rate", "reply_rate", "bounce_rate",
     )
@@ -160,7 +163,8 @@ def failure_breakdown(src: Sources) -> DataFrame:
     )
 
 
-def send_time_analysis(src: Sources, rollup: DataFrame | None = None) -> DataFrame:
+def send_time_analysis(src: Sources, rollup: DataFrame | None = None, *,
+                       best: float = SLOT_BEST, worst: float = SLOT_WORST) -> DataFrame:
     """Done e-mail mailings sliced by hour of day and by ISO weekday.
 
     One pass: each mailing is exploded into its two slots and grouped once.
@@ -186,7 +190,7 @@ def send_time_analysis(src: Sources, rollup: DataFrame | None = None) -> DataFra
     )
     prank = F.percent_rank().over(Window.partitionBy("slot_type").orderBy(F.col("avg_open_rate").asc_nulls_last()))
     g = g.withColumn("_prank", prank)
-    label = F.when(F.col("_prank") >= SLOT_BEST, "Best").when(F.col("_prank") <= SLOT_WORST, "Worst").otherwise("Average")
+    label = F.when(F.col("_prank") >= best, "Best").when(F.col("_prank") <= worst, "Worst").otherwise("Average")
     g = small_row_number(g, [F.col("slot_type").asc_nulls_last(), F.col("slot_value").asc_nulls_last()])
     return g.select(
         "id", "slot_type", "slot_label", "slot_value", "campaigns_sent", "avg_open_rate",

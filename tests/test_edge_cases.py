@@ -229,3 +229,14 @@ def test_e22_sms_and_unlinked_traces(spark):
     assert audience.contact_engagement(src).count() == 0
     row = audience.reengagement(src, as_of=AS_OF).collect()[0]
     assert row["email"] == "s@x" and row["campaigns_since_last_open"] == 1
+
+
+def test_parameters_change_tiers_and_thresholds(spark):
+    src = sources(spark, mailing_mailing=[mailing(1, opened_ratio=50.0, received_ratio=0.0,
+                                                  replied_ratio=0.0, bounced_ratio=0.0)])
+    row = insights.campaign_ranking(src, tiers=((10, "High"),), default_tier="Low").collect()[0]
+    assert (row["engagement_score"], row["performance_tier"]) == (20.0, "High")
+    traces = [trace(1, 1, "open", email="a@x", open_datetime=ts("2024-05-20 00:00:00"))]
+    got = audience.reengagement(sources(spark, mailing_trace=traces), as_of=AS_OF,
+                                thresholds=((20, "Late"), (7, "Quiet"))).collect()
+    assert [(r["reengagement_status"], r["days_since_last_open"]) for r in got] == [("Quiet", 12)]
