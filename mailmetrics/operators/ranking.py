@@ -52,16 +52,23 @@ def sequence_ids(
     )  # at most one row per partition
     offsets, running = [], 0
     for pid in range(max(counts, default=-1) + 1):
-        offsets.append(running)
+        offsets.append((pid, running))
         running += counts.get(pid, 0)
     if not offsets:
         return ranged.select(F.lit(None).cast("bigint").alias(name), *df.columns)
 
+    # One (partition, offset) row per partition: a size bounded by the
+    # partition count, so it is broadcast; the numbered side keeps its
+    # partitions (no shuffle), which the positions below rely on.
+    offs = spark.createDataFrame(offsets, "_pid int, _offset bigint")
     mid = F.monotonically_increasing_id()
-    pid = F.shiftright(mid, _POS_BITS)
-    pos = mid.bitwiseAND((1 << _POS_BITS) - 1)
-    base = F.element_at(F.array(*[F.lit(o).cast("bigint") for o in offsets]), (pid + 1).cast("int"))
-    return ranged.select((base + pos + 1).alias(name), *df.columns)
+    located = ranged.select(
+        *df.columns,
+        F.spark_partition_id().alias("_pid"),
+        mid.bitwiseAND((1 << _POS_BITS) - 1).alias("_pos"),
+    )
+    j = located.join(F.broadcast(offs), "_pid")
+    return j.select((F.col("_offset") + F.col("_pos") + 1).alias(name), *df.columns)
 
 
 def histogram_rank(df: DataFrame, value: str, name: str = "rank", descending: bool = True) -> DataFrame:
