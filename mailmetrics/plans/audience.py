@@ -145,10 +145,16 @@ def reengagement(src: Sources, as_of: dt.datetime | str | None = None,
     ``thresholds`` are (days, status) from the longest to the shortest; the
     shortest is the cut-off of the report.
 
-    Plan: traces are pre-aggregated per (address, mailing) -- map-side, so a
-    hot address is spread over its mailings -- then the address-level last
-    open is a window over those pairs and one more aggregate on the same
-    partitioning yields the count.  No self-join, one trace scan.
+    Plan: traces are pre-aggregated per (address, mailing) -- map-side, and
+    shuffled on both keys, so a hot address is spread over its mailings and
+    repeated traces of a pair collapse -- then the address-level last open
+    is a window over those pairs and one more aggregate on the same
+    partitioning yields the count.  No self-join, one trace scan, two
+    shuffles.  The window holds one row per mailing the address received,
+    so its largest group is bounded by the mailing dimension, not by the
+    trace fact.  (A salted variant that also splits that group was measured:
+    Spark cannot reuse the shared exchange there, so it scans and shuffles
+    the traces twice.)
     """
     now = _ts_literal(as_of)
     t = _addressed(src.mailing_trace)

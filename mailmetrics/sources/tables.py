@@ -70,9 +70,18 @@ class Sources:
     def replace(self, **frames: DataFrame) -> "Sources":
         return replace(self, **{k: conform(v, k) for k, v in frames.items()})
 
-    def write_parquet(self, root: str, mode: str = "overwrite") -> None:
-        """Persist all tables (used to stage fixtures for benchmarks)."""
+    def write_parquet(self, root: str, mode: str = "overwrite",
+                      files: dict[str, int] | None = None) -> None:
+        """Persist all tables (used to stage fixtures for benchmarks).
+
+        ``files`` optionally sets the number of files of a table (round-robin
+        split), e.g. to store the fact tables as several files so scans run
+        as parallel tasks.
+        """
         for name, df in self.as_dict().items():
+            n = (files or {}).get(name)
+            if n:
+                df = df.repartition(n)
             df.write.mode(mode).parquet(os.path.join(root, name))
 
 
