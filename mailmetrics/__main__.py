@@ -1,6 +1,6 @@
 """Run reports as a batch job and write them out.
 
-    spark-submit -m mailmetrics --sources s3://bucket/marketing \\
+    python -m mailmetrics --sources s3://bucket/marketing \\
         --out s3://bucket/reports --reports campaign_stats,list_health
 
 Reads the eight source tables (Parquet folders named like the tables, or
