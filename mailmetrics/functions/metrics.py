@@ -25,50 +25,116 @@ from pyspark.sql import functions as F
 
 MICRO = 1_000_000  # micro-units per percent point
 
+# Every helper takes column names / SQL expressions (str) or Columns.  With
+# str inputs the whole formula is built as one SQL expression (one
+# ``F.expr`` call instead of a dozen Column calls: plans are built faster);
+# the ``*_sql`` twins return the text so formulas can be nested.
+
 
 def _c(x) -> Column:
     return x if isinstance(x, Column) else F.col(x)
 
 
+def _all_sql(*xs) -> bool:
+    return all(isinstance(x, str) for x in xs)
+
+
 def idiv(num: Column, den: Column) -> Column:
     """SQL integral division (``num div den``), bigint."""
     return F.call_function("div", num, den)
 
 
+# -- SQL text builders ----------------------------------------------------------
+def round_div_sql(num: str, den: str) -> str:
+    d = f"nullif({den}, 0)"
+    q = f"((abs({num}) * 2 + {d}) div ({d} * 2))"
+    return f"(CASE WHEN ({num}) < 0 THEN -{q} ELSE {q} END)"
+
+
+def hundredths_to_double_sql(h: str) -> str:
+    return f"(CAST({h} AS DOUBLE) / 100.0D)"
+
+
+def ratio_micro_sql(ratio: str) -> str:
+    return f"CAST(CAST(coalesce({ratio}, 0D) AS DECIMAL(18,6)) * {MICRO} AS BIGINT)"
+
+
+def ratio2_sql(ratio: str) -> str:
+    return f"CAST(round(CAST(coalesce({ratio}, 0D) AS DECIMAL(18,6)), 2) AS DOUBLE)"
+
+
+def pct_sql(n: str, d: str) -> str:
+    return hundredths_to_double_sql(round_div_sql(f"({n}) * 10000", d))
+
+
+def pct_micro_sql(n: str, d: str) -> str:
+    return round_div_sql(f"({n}) * {100 * MICRO}", d)
+
+
+def mean2_sql(micro: str) -> str:
+    return hundredths_to_double_sql(round_div_sql(f"sum({micro})", f"count({micro}) * {MICRO // 100}"))
+
+
+def exact_mean_sql(micro: str) -> str:
+    return f"(CAST(sum({micro}) AS DECIMAL(38,0)) / CAST(count({micro}) AS DECIMAL(38,0)))"
+
+
+def to_hundredths_sql(value: str) -> str:
+    return f"CAST(CAST({value} AS DECIMAL(18,2)) * 100 AS BIGINT)"
+
+
+def mean2_of_hundredths_sql(value: str) -> str:
+    h = to_hundredths_sql(value)
+    return hundredths_to_double_sql(round_div_sql(f"sum({h})", f"count({h})"))
+
+
+# -- Column functions -------------------------------------------------------------
 def round_div(num, den) -> Column:
     """Nearest integer to ``num/den`` (halves away from zero); ``den > 0``.
 
     Null when ``den`` is null or 0.
     """
+    if _all_sql(num, den):
+        return F.expr(round_div_sql(num, den))
     num, den = _c(num), _c(den)
     den = F.nullif(den, F.lit(0))
     q = idiv(F.abs(num) * 2 + den, den * 2)
     return F.when(num < 0, -q).otherwise(q)
 
 
-def hundredths_to_double(h: Column) -> Column:
+def hundredths_to_double(h) -> Column:
     """Integer hundredths -> double with two decimals (``h / 100``)."""
+    if isinstance(h, str):
+        return F.expr(hundredths_to_double_sql(h))
     return h.cast("double") / F.lit(100.0)
 
 
 def ratio_micro(ratio) -> Column:
     """A stored percent (double, null as 0) as integer micro-units."""
-    d6 = F.coalesce(_c(ratio), F.lit(0.0)).cast("decimal(18,6)")
+    if isinstance(ratio, str):
+        return F.expr(ratio_micro_sql(ratio))
+    d6 = F.coalesce(ratio, F.lit(0.0)).cast("decimal(18,6)")
     return (d6 * F.lit(MICRO)).cast("bigint")
 
 
 def ratio2(ratio) -> Column:
     """A stored percent, null as 0, rounded to 2 decimals."""
-    return F.round(F.coalesce(_c(ratio), F.lit(0.0)).cast("decimal(18,6)"), 2).cast("double")
+    if isinstance(ratio, str):
+        return F.expr(ratio2_sql(ratio))
+    return F.round(F.coalesce(ratio, F.lit(0.0)).cast("decimal(18,6)"), 2).cast("double")
 
 
 def pct(n, d) -> Column:
     """``100 * n / d`` rounded to 2 decimals; null when ``d`` is 0 or null."""
+    if _all_sql(n, d):
+        return F.expr(pct_sql(n, d))
     return hundredths_to_double(round_div(_c(n) * 10000, _c(d)))
 
 
 def pct_micro(n, d) -> Column:
     """``100 * n / d`` in micro-units (1e-6 percent); null when ``d`` is 0 or null."""
+    if _all_sql(n, d):
+        return F.expr(pct_micro_sql(n, d))
     return round_div(_c(n) * (100 * MICRO), _c(d))
 
 
@@ -77,25 +143,32 @@ def mean2(micro) -> Column:
 
     Null when there is no non-null value (``AVG`` semantics).
     """
-    m = _c(micro)
+    if isinstance(micro, str):
+        return F.expr(mean2_sql(micro))
+    m = micro
     return hundredths_to_double(round_div(F.sum(m), F.count(m) * (MICRO // 100)))
 
 
 def exact_mean(micro) -> Column:
     """Aggregate: the unrounded mean of micro-units as a decimal (for ordering)."""
-    m = _c(micro)
-    return F.sum(m).cast("decimal(38,0)") / F.count(m).cast("decimal(38,0)")
+    if isinstance(micro, str):
+        return F.expr(exact_mean_sql(micro))
+    return F.sum(micro).cast("decimal(38,0)") / F.count(micro).cast("decimal(38,0)")
 
 
 def mean2_of_hundredths(value) -> Column:
     """Aggregate: mean of a 2-decimal double column, rounded to 2 decimals."""
-    h = (_c(value).cast("decimal(18,2)") * F.lit(100)).cast("bigint")
+    if isinstance(value, str):
+        return F.expr(mean2_of_hundredths_sql(value))
+    h = (value.cast("decimal(18,2)") * F.lit(100)).cast("bigint")
     return hundredths_to_double(round_div(F.sum(h), F.count(h)))
 
 
 def to_hundredths(value) -> Column:
     """A 2-decimal double as exact integer hundredths."""
-    return (_c(value).cast("decimal(18,2)") * F.lit(100)).cast("bigint")
+    if isinstance(value, str):
+        return F.expr(to_hundredths_sql(value))
+    return (value.cast("decimal(18,2)") * F.lit(100)).cast("bigint")
 
 
 def tier(value: Column, bands: Sequence[tuple[object, str]], otherwise: str) -> Column:

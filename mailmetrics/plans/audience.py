@@ -51,18 +51,20 @@ def contact_engagement(src: Sources, numbered: bool = True, *,
         F.count_if(st == "click").alias("total_clicked"),
         F.count_if(st == "bounce").alias("total_bounced"),
     )
-    n = F.col("total_received")
-    raw = (
-        F.col("total_opened") * open_weight
-        + F.col("total_clicked") * click_weight
-        - F.when(F.col("total_bounced") > 0, n * bounce_penalty).otherwise(0)
-    )
-    clamped = F.greatest(F.lit(0), F.least(n * 100, raw))
-    score_h = round_div(clamped * 100, n)
+    # score x n in percent points, clamped to 0..100 x n, then rounded / n
+    raw = (f"total_opened * ({open_weight}) + total_clicked * ({click_weight})"
+           f" - CASE WHEN total_bounced > 0 THEN total_received * ({bounce_penalty}) ELSE 0 END")
+    clamped = f"greatest(0, least(total_received * 100, {raw}))"
     scored = per.select(
         "email", "total_received", "total_opened", "total_clicked", "total_bounced",
-        pct(F.col("total_opened"), n).alias("open_rate"),
-        pct(F.col("total_clicked"), n).alias("click_rate"),
+        pct("total_opened", "total_received").alias("open_rate"),
+        pct("total_clicked", "total_received").alias("click_rate"),
+        round_div(f"{clamped} * 100", "total_received").alias("_score_h"),
+    )
+    score_h = F.col("_score_h")
+    scored = scored.select(
+        "email", "total_received", "total_opened", "total_clicked", "total_bounced",
+        "open_rate", "click_rate",
         hundredths_to_double(score_h).alias("engagement_score"),
         tier(score_h, [(b * 100, lbl) for b, lbl in tiers], default_tier)
         .alias("engagement_tier"),
@@ -108,7 +110,10 @@ def list_health(src: Sources, *, bounce_weight: int = HEALTH_BOUNCE_WEIGHT,
     total = F.col("total_contacts")
     active = F.col("active_contacts")
     bounced_ever = F.coalesce(F.col("_bounced_ever"), F.lit(0))
-    health_h = round_div(F.greatest(F.lit(0), active * 100 - bounced_ever * bounce_weight) * 100, total)
+    health_h = round_div(
+        f"greatest(0, active_contacts * 100 - coalesce(_bounced_ever, 0) * ({bounce_weight})) * 100",
+        "total_contacts",
+    )
     badge = None
     for bound, label in badges:
         cond = active * 100 >= total * bound
@@ -122,7 +127,7 @@ def list_health(src: Sources, *, bounce_weight: int = HEALTH_BOUNCE_WEIGHT,
         "active_contacts",
         "opted_out",
         bounced_ever.alias("bounced_ever"),
-        pct(active, total).alias("active_pct"),
+        pct("active_contacts", "total_contacts").alias("active_pct"),
         hundredths_to_double(health_h).alias("health_score"),
         badge.alias("health_badge"),
     )

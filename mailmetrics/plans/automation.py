@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.metrics import mean2, ratio_micro
+from ..functions.metrics import mean2, ratio_micro_sql
 from ..operators.ranking import sequence_ids
 from ..operators.rollups import participant_rollup
 from ..sources.tables import Sources
@@ -35,10 +35,10 @@ def automation_overview(src: Sources) -> DataFrame:
         F.col("id").alias("_mid"), *[F.col(r) for r, _ in _RATIOS]
     )
     aj = acts.join(mm, acts["mass_mailing_id"] == mm["_mid"], "left")
-    matched = F.col("_mid").isNotNull()
     act_stats = aj.groupBy("campaign_id").agg(
         F.count(F.lit(1)).alias("email_cnt"),
-        *[mean2(F.when(matched, ratio_micro(r))).alias(out) for r, out in _RATIOS],
+        *[mean2(f"CASE WHEN _mid IS NOT NULL THEN {ratio_micro_sql(r)} END").alias(out)
+          for r, out in _RATIOS],
     )
 
     c = src.marketing_campaign

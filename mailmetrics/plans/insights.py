@@ -13,9 +13,10 @@ from ..functions.metrics import (
     mean2,
     month_label,
     pct,
-    pct_micro,
+    pct_micro_sql,
     ratio2,
     ratio_micro,
+    ratio_micro_sql,
     round_div,
     tier,
     weekday_name,
@@ -67,10 +68,10 @@ def monthly_trend(src: Sources, rollup: DataFrame | None = None) -> DataFrame:
         F.coalesce(F.sum("opened"), F.lit(0)).alias("total_opened"),
         F.coalesce(F.sum("clicked"), F.lit(0)).alias("total_clicked"),
         F.coalesce(F.sum("bounced"), F.lit(0)).alias("total_bounced"),
-        mean2(ratio_micro("opened_ratio")).alias("open_rate"),
-        mean2(pct_micro(F.col("clicked"), F.col("sent"))).alias("click_rate"),
-        mean2(ratio_micro("bounced_ratio")).alias("bounce_rate"),
-        mean2(ratio_micro("received_ratio")).alias("delivery_rate"),
+        mean2(ratio_micro_sql("opened_ratio")).alias("open_rate"),
+        mean2(pct_micro_sql("clicked", "sent")).alias("click_rate"),
+        mean2(ratio_micro_sql("bounced_ratio")).alias("bounce_rate"),
+        mean2(ratio_micro_sql("received_ratio")).alias("delivery_rate"),
     )
     g = small_row_number(g, [F.col("year").desc_nulls_first(), F.col("month").desc_nulls_first()])
     return g.select(
@@ -90,18 +91,15 @@ def campaign_ranking(src: Sources, rollup: DataFrame | None = None, *,
     tenths per stored ratio; ``tiers`` are (lower bound, label), highest first.
     """
     m = _sent_email_mailings(src, rollup, require_sent_date=False)
-    weighted = None
-    for col, w in weights.items():
-        term = ratio_micro(col) * w
-        weighted = term if weighted is None else weighted + term
+    weighted = " + ".join(f"{ratio_micro_sql(col)} * ({w})" for col, w in weights.items())
     # micro-units * tenths -> hundredths of a point: divide by 10 * 10_000
-    score_h = round_div(weighted, F.lit(RANKING_WEIGHT_SCALE * 10_000))
+    score_h = round_div(f"({weighted})", str(RANKING_WEIGHT_SCALE * 10_000))
     scored = m.select(
         F.col("id"),
         F.col("subject"),
         F.col("sent_date"),
         ratio2("opened_ratio").alias("open_rate"),
-        pct(F.col("clicked"), F.col("sent")).alias("click_rate"),
+        pct("clicked", "sent").alias("click_rate"),
         ratio2("received_ratio").alias("delivery_rate"),
         ratio2("replied_ratio").alias("reply_rate"),
         ratio2("bounced_ratio").alias("bounce_rate"),
@@ -147,7 +145,7 @@ def failure_breakdown(src: Sources) -> DataFrame:
         F.count_distinct("mass_mailing_id").alias("affected_campaigns"),
     )
     g = g.withColumn("_total", F.sum("failure_count").over(Window.partitionBy()))
-    g = g.where(F.col("_is_mail")).withColumn("pct_of_total", pct(F.col("failure_count"), F.col("_total")))
+    g = g.where(F.col("_is_mail")).withColumn("pct_of_total", pct("failure_count", "_total"))
     g = small_row_number(
         g,
         [
@@ -181,7 +179,7 @@ def send_time_analysis(src: Sources, rollup: DataFrame | None = None, *,
     e = m.select(
         F.explode(slots).alias("slot"),
         ratio_micro("opened_ratio").alias("_open"),
-        F.coalesce(pct_micro(F.col("clicked"), F.col("sent")), F.lit(0)).alias("_click"),
+        F.expr(f"coalesce({pct_micro_sql('clicked', 'sent')}, 0)").alias("_click"),
     )
     g = e.groupBy("slot.slot_type", "slot.slot_label", "slot.slot_value").agg(
         F.count(F.lit(1)).alias("campaigns_sent"),
@@ -208,7 +206,7 @@ def subject_lines(src: Sources, rollup: DataFrame | None = None) -> DataFrame:
         F.length(F.coalesce(F.col("subject"), F.lit(""))).alias("subject_length"),
         F.coalesce(F.col("sent"), F.lit(0)).alias("sent"),
         ratio2("opened_ratio").alias("open_rate"),
-        pct(F.col("clicked"), F.col("sent")).alias("click_rate"),
+        pct("clicked", "sent").alias("click_rate"),
         ratio2("bounced_ratio").alias("bounce_rate"),
         "sent_date",
     )
@@ -234,7 +232,7 @@ def ab_test_results(src: Sources, rollup: DataFrame | None = None) -> DataFrame:
         F.coalesce(F.col("ab_testing_is_winner_mailing"), no).alias("is_winner"),
         F.coalesce(F.col("sent"), F.lit(0)).alias("sent"),
         ratio2("opened_ratio").alias("open_rate"),
-        pct(F.coalesce(F.col("clicked"), F.lit(0)), F.col("sent")).alias("click_rate"),
+        pct("coalesce(clicked, 0)", "sent").alias("click_rate"),
         ratio2("bounced_ratio").alias("bounce_rate"),
         "sent_date",
     )
@@ -262,10 +260,10 @@ def trigger_effectiveness(src: Sources, rollup: DataFrame | None = None) -> Data
     g = j.groupBy("trigger_type").agg(
         F.count("id").alias("activities_count"),
         F.coalesce(F.sum("_sent"), F.lit(0)).alias("total_sent"),
-        mean2(ratio_micro("opened_ratio")).alias("avg_open_rate"),
-        mean2(pct_micro(F.coalesce(F.col("clicked"), F.lit(0)), F.col("_sent"))).alias("avg_click_rate"),
-        mean2(ratio_micro("bounced_ratio")).alias("avg_bounce_rate"),
-        exact_mean(ratio_micro("opened_ratio")).alias("_open_exact"),
+        mean2(ratio_micro_sql("opened_ratio")).alias("avg_open_rate"),
+        mean2(pct_micro_sql("coalesce(clicked, 0)", "_sent")).alias("avg_click_rate"),
+        mean2(ratio_micro_sql("bounced_ratio")).alias("avg_bounce_rate"),
+        exact_mean(ratio_micro_sql("opened_ratio")).alias("_open_exact"),
     )
     g = small_row_number(
         g, [F.col("_open_exact").desc_nulls_first(), F.col("trigger_type").asc_nulls_last()]

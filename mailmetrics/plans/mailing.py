@@ -42,7 +42,7 @@ def campaign_stats(src: Sources, rollup: DataFrame | None = None) -> DataFrame:
         F.coalesce(F.col("failed"), F.lit(0)).alias("failed"),
         F.coalesce(F.col("canceled"), F.lit(0)).alias("canceled"),
         ratio2("opened_ratio").alias("open_rate"),
-        pct(clicked, F.col("sent")).alias("click_rate"),
+        pct("coalesce(clicked, 0)", "sent").alias("click_rate"),
         ratio2("bounced_ratio").alias("bounce_rate"),
         ratio2("received_ratio").alias("delivery_rate"),
         ratio2("replied_ratio").alias("reply_rate"),
