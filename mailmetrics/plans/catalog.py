@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ..sources.tables import Sources
 from . import audience, automation, insights, mailing
 
-# name -> (builder, view name)
+# report name (also its view name) -> builder
 REPORTS: dict[str, Callable[..., DataFrame]] = {
     "campaign_stats": mailing.campaign_stats,
     "delivery_details": mailing.delivery_details,
