@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.metrics import hundredths_to_double, pct, round_div, tier
 from ..operators.ranking import sequence_ids
+from ..session import ensure_checkpoint_dir
 from ..operators.rollups import email_mailing_ids
 from ..sources.tables import Sources
 
@@ -133,6 +134,62 @@ def list_health(src: Sources, *, bounce_weight: int = HEALTH_BOUNCE_WEIGHT,
     )
 
 
+def _pair_aggregates(t: DataFrame, keys: list[str]) -> DataFrame:
+    opened = F.col("open_datetime")
+    return t.groupBy(*keys).agg(
+        F.max(opened).alias("_pair_last_open"),
+        F.count_if(opened.isNull()).alias("_unopened"),
+        F.max(F.when(opened.isNull(), F.col("sent_datetime"))).alias("_unopened_last_sent"),
+    )
+
+
+def _missed(last: Column) -> Column:
+    return (
+        F.col("mass_mailing_id").isNotNull()
+        & (F.col("_unopened") > 0)
+        & (last.isNull() | (F.col("_unopened_last_sent") > last))
+    )
+
+
+def _missed_per_address(src: Sources) -> DataFrame:
+    """(address, last open, mailings missed since): pairs + window by address."""
+    pairs = _pair_aggregates(_addressed(src.mailing_trace), ["email", "mass_mailing_id"])
+    pairs = pairs.withColumn("_last", F.max("_pair_last_open").over(Window.partitionBy("email")))
+    return pairs.groupBy("email").agg(
+        F.max("_last").alias("last_opened"),
+        F.count_if(_missed(F.col("_last"))).alias("campaigns_since_last_open"),
+    )
+
+
+def _missed_per_address_split(src: Sources) -> DataFrame:
+    """Same result with no address-sized group in one task (opt-in).
+
+    Traces are hash-partitioned by (address, salt), the salt a hash of the
+    mailing, so one address is spread over all partitions.  The pair table is
+    checkpointed (eager) because it is read twice: per (address, salt) for
+    the latest open -- an address's last open is then a window over at most
+    one row per partition -- and joined back on (address, salt), which is its
+    own partitioning.  Costs one more write than the default plan.
+    """
+    spark = src.mailing_trace.sparkSession
+    ensure_checkpoint_dir(spark)
+    salts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    t = _addressed(src.mailing_trace).select(
+        "email", "mass_mailing_id", "sent_datetime", "open_datetime",
+        F.pmod(F.xxhash64("mass_mailing_id"), F.lit(salts)).alias("_salt"),
+    ).repartition("email", "_salt")
+    pairs = _pair_aggregates(t, ["email", "_salt", "mass_mailing_id"]).checkpoint(eager=True)
+    lasts = (
+        pairs.groupBy("email", "_salt").agg(F.max("_pair_last_open").alias("_salt_last"))
+        .select("email", "_salt", F.max("_salt_last").over(Window.partitionBy("email")).alias("_last"))
+    )
+    j = pairs.join(lasts, ["email", "_salt"])
+    return j.groupBy("email").agg(
+        F.max("_last").alias("last_opened"),
+        F.count_if(_missed(F.col("_last"))).alias("campaigns_since_last_open"),
+    )
+
+
 def _ts_literal(as_of: dt.datetime | str | None) -> Column:
     if as_of is None:
         as_of = dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
@@ -142,13 +199,16 @@ def _ts_literal(as_of: dt.datetime | str | None) -> Column:
 
 
 def reengagement(src: Sources, as_of: dt.datetime | str | None = None,
-                 numbered: bool = True, *, thresholds=REENGAGEMENT_DAYS) -> DataFrame:
+                 numbered: bool = True, *, thresholds=REENGAGEMENT_DAYS,
+                 split_hot_addresses: bool = False) -> DataFrame:
     """Addresses whose last open is missing or more than 30 days before ``as_of``.
 
     ``campaigns_since_last_open`` counts distinct mailings with an unopened
     trace sent after the last open (any unopened trace if never opened).
     ``thresholds`` are (days, status) from the longest to the shortest; the
-    shortest is the cut-off of the report.
+    shortest is the cut-off of the report.  ``split_hot_addresses`` selects
+    the salted plan of ``_missed_per_address_split`` (for data where one
+    address received a huge number of distinct mailings).
 
     Plan: traces are pre-aggregated per (address, mailing) -- map-side, and
     shuffled on both keys, so a hot address is spread over its mailings and
@@ -157,29 +217,13 @@ def reengagement(src: Sources, as_of: dt.datetime | str | None = None,
     partitioning yields the count.  No self-join, one trace scan, two
     shuffles.  The window holds one row per mailing the address received,
     so its largest group is bounded by the mailing dimension, not by the
-    trace fact.  (A salted variant that also splits that group was measured:
-    Spark cannot reuse the shared exchange there, so it scans and shuffles
-    the traces twice.)
+    trace fact.  The opt-in split plan removes that bound at the cost of a
+    checkpoint of the pair table (without it Spark would scan and shuffle
+    the traces twice, as the two uses prune to different columns).
     """
     now = _ts_literal(as_of)
-    t = _addressed(src.mailing_trace)
-    opened = F.col("open_datetime")
-    pairs = t.groupBy("email", "mass_mailing_id").agg(
-        F.max(opened).alias("_pair_last_open"),
-        F.count_if(opened.isNull()).alias("_unopened"),
-        F.max(F.when(opened.isNull(), F.col("sent_datetime"))).alias("_unopened_last_sent"),
-    )
-    pairs = pairs.withColumn("_last", F.max("_pair_last_open").over(Window.partitionBy("email")))
-    last = F.col("_last")
-    missed = (
-        F.col("mass_mailing_id").isNotNull()
-        & (F.col("_unopened") > 0)
-        & (last.isNull() | (F.col("_unopened_last_sent") > last))
-    )
-    per = pairs.groupBy("email").agg(
-        F.max("_last").alias("last_opened"),
-        F.count_if(missed).alias("campaigns_since_last_open"),
-    )
+    per = (_missed_per_address_split(src) if split_hot_addresses
+           else _missed_per_address(src))
     lo = F.col("last_opened")
 
     def older_than(days: int) -> Column:

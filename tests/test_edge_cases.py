@@ -240,3 +240,16 @@ def test_parameters_change_tiers_and_thresholds(spark):
     got = audience.reengagement(sources(spark, mailing_trace=traces), as_of=AS_OF,
                                 thresholds=((20, "Late"), (7, "Quiet"))).collect()
     assert [(r["reengagement_status"], r["days_since_last_open"]) for r in got] == [("Quiet", 12)]
+
+
+def test_split_hot_addresses_same_edges(spark):
+    traces = [trace(1, 1, "open", email="o@x", open_datetime=ts("2024-01-01 00:00:00")),
+              trace(2, 2, "sent", email="o@x", sent_datetime=ts("2024-02-01 00:00:00")),
+              trace(3, 3, "outgoing", email="o@x", sent_datetime=None),
+              trace(4, 1, "sent", email="n@x"), trace(5, 2, "sent", email="n@x"),
+              trace(6, 3, "outgoing", email="n@x", sent_datetime=None),
+              trace(7, None, "sent", email="n@x")]
+    src = sources(spark, mailing_trace=traces)
+    a = sorted(map(tuple, audience.reengagement(src, as_of=AS_OF).collect()))
+    b = sorted(map(tuple, audience.reengagement(src, as_of=AS_OF, split_hot_addresses=True).collect()))
+    assert a == b and len(a) == 2

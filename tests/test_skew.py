@@ -56,3 +56,11 @@ def test_report_under_skew(skewed, name):
     src, con = skewed
     df = build_report(name, src, as_of=AS_OF)
     assert compare(df, con, report_sql(name, over_fixtures=False)) == []
+
+
+def test_split_hot_addresses_plan_matches_oracle(skewed):
+    from mailmetrics.plans.audience import reengagement
+
+    src, con = skewed
+    df = reengagement(src, as_of=AS_OF, split_hot_addresses=True)
+    assert compare(df, con, report_sql("reengagement", over_fixtures=False)) == []
