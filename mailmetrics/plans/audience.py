@@ -154,10 +154,17 @@ def _missed(last: Column) -> Column:
 def _missed_per_address(src: Sources) -> DataFrame:
     """(address, last open, mailings missed since): pairs + window by address."""
     pairs = _pair_aggregates(_addressed(src.mailing_trace), ["email", "mass_mailing_id"])
-    pairs = pairs.withColumn("_last", F.max("_pair_last_open").over(Window.partitionBy("email")))
+    # Narrow rows for the shuffle by address: the pair's own test as a flag.
+    pairs = pairs.select(
+        "email", "_pair_last_open", "_unopened_last_sent",
+        (F.col("mass_mailing_id").isNotNull() & (F.col("_unopened") > 0)).alias("_candidate"),
+    )
+    last = F.max("_pair_last_open").over(Window.partitionBy("email"))
+    pairs = pairs.withColumn("_last", last)
+    missed = F.col("_candidate") & (F.col("_last").isNull() | (F.col("_unopened_last_sent") > F.col("_last")))
     return pairs.groupBy("email").agg(
         F.max("_last").alias("last_opened"),
-        F.count_if(_missed(F.col("_last"))).alias("campaigns_since_last_open"),
+        F.count_if(missed).alias("campaigns_since_last_open"),
     )
 
 
