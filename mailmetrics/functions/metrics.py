@@ -186,6 +186,14 @@ def month_label(ts) -> Column:
     return F.concat(F.rpad(F.date_format(t, "MMMM"), 9, " "), F.lit(" "), F.date_format(t, "yyyy"))
 
 
+def month_label_of(year, month) -> Column:
+    """``month_label`` of the first day of (year, month); null if either is null.
+
+    Lets a report group by the two integers and label the (small) result.
+    """
+    return month_label(F.make_date(_c(year), _c(month), F.lit(1)))
+
+
 def weekday_name(ts) -> Column:
     return F.date_format(_c(ts), "EEEE")
 

@@ -11,7 +11,7 @@ from ..functions.metrics import (
     hundredths_to_double,
     iso_weekday,
     mean2,
-    month_label,
+    month_label_of,
     pct,
     pct_micro_sql,
     ratio2,
@@ -57,7 +57,6 @@ def monthly_trend(src: Sources, rollup: DataFrame | None = None) -> DataFrame:
     g = m.groupBy(
         F.year(sd).cast("int").alias("year"),
         F.month(sd).cast("int").alias("month"),
-        month_label(sd).alias("month_label"),
     ).agg(
         F.count("id").alias("campaigns_sent"),
         F.coalesce(F.sum("sent"), F.lit(0)).alias("total_sent"),
@@ -75,7 +74,7 @@ def monthly_trend(src: Sources, rollup: DataFrame | None = None) -> DataFrame:
     )
     g = small_row_number(g, [F.col("year").desc_nulls_first(), F.col("month").desc_nulls_first()])
     return g.select(
-        "id", "month_label", "year", "month", "campaigns_sent", "total_sent", "total_delivered",
+        "id", month_label_of("year", "month").alias("month_label"), "year", "month", "campaigns_sent", "total_sent", "total_delivered",
         "total_opened", "total_clicked", "total_bounced", "open_rate", "click_rate",
         "bounce_rate", "delivery_rate",
     )
@@ -136,7 +135,6 @@ def failure_breakdown(src: Sources) -> DataFrame:
     sd = F.col("sent_datetime")
     g = tagged.groupBy(
         "failure_type",
-        month_label(sd).alias("month_label"),
         F.year(sd).cast("int").alias("year"),
         F.month(sd).cast("int").alias("month"),
         "_is_mail",
@@ -156,7 +154,8 @@ def failure_breakdown(src: Sources) -> DataFrame:
         ],
     )
     return g.select(
-        "id", "failure_type", "month_label", "year", "month", "failure_count",
+        "id", "failure_type", month_label_of("year", "month").alias("month_label"), "year", "month",
+        "failure_count",
         "pct_of_total", "affected_campaigns",
     )
 
