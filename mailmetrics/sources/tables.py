@@ -11,6 +11,7 @@ import os
 from dataclasses import dataclass, fields, replace
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from .schemas import SCHEMAS
@@ -45,9 +46,10 @@ class Sources:
         frames = {}
         for name, schema in SCHEMAS.items():
             path = os.path.join(root, name)
-            if not _exists(spark, path) and _exists(spark, path + ".parquet"):
-                path = path + ".parquet"
-            frames[name] = spark.read.schema(schema).parquet(path)
+            try:
+                frames[name] = spark.read.schema(schema).parquet(path)
+            except AnalysisException:  # no such folder: try "<table>.parquet"
+                frames[name] = spark.read.schema(schema).parquet(path + ".parquet")
         return cls.from_frames(frames)
 
     @classmethod
@@ -99,10 +101,3 @@ def conform(df: DataFrame, table: str) -> DataFrame:
             c = c.cast(f.dataType)
         cols.append(c.alias(f.name))
     return df.select(*cols)
-
-
-def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    hpath = jvm.org.apache.hadoop.fs.Path(path)
-    fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return fs.exists(hpath)
