@@ -140,7 +140,8 @@ def failure_breakdown(src: Sources) -> DataFrame:
         "_is_mail",
     ).agg(
         F.count(F.lit(1)).alias("failure_count"),
-        F.count_distinct("mass_mailing_id").alias("affected_campaigns"),
+        # only e-mail groups are reported; other rows add nothing to the distinct set
+        F.count_distinct(F.when(F.col("_is_mail"), F.col("mass_mailing_id"))).alias("affected_campaigns"),
     )
     g = g.withColumn("_total", F.sum("failure_count").over(Window.partitionBy()))
     g = g.where(F.col("_is_mail")).withColumn("pct_of_total", pct("failure_count", "_total"))
