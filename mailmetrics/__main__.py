@@ -29,6 +29,8 @@ def parse_args(argv=None) -> argparse.Namespace:
     p.add_argument("--as-of", default=None, help="clock of the re-engagement report (UTC)")
     p.add_argument("--format", default="parquet")
     p.add_argument("--mode", default="overwrite")
+    p.add_argument("--no-ids", action="store_true",
+                   help="leave out the row-number ids of R5, R13 and R15 (no checkpoint)")
     return p.parse_args(argv)
 
 
@@ -46,7 +48,7 @@ def main(argv=None, spark: SparkSession | None = None) -> list[str]:
     rollup = trace_rollup(src.mailing_trace)
     written = []
     for name in names:
-        df = build_report(name, src, rollup=rollup, as_of=args.as_of)
+        df = build_report(name, src, rollup=rollup, as_of=args.as_of, numbered=not args.no_ids)
         target = f"{args.out.rstrip('/')}/{name}"
         df.write.mode(args.mode).format(args.format).save(target)
         written.append(target)

@@ -18,3 +18,11 @@ def test_cli_writes_reports(spark):
     stats = spark.read.parquet(written[0])
     assert stats.count() == Sources.from_parquet(spark, root).mailing_mailing.where("mailing_type = 'mail'").count()
     assert spark.read.parquet(written[1]).where("reengagement_status IS NULL").count() == 0
+
+
+def test_cli_without_ids(spark):
+    root = tempfile.mkdtemp(prefix="mailmetrics-cli-src-")
+    Sources.from_driver_tables(spark, sf_dir("0.001")).write_parquet(root)
+    out = tempfile.mkdtemp(prefix="mailmetrics-cli-out-")
+    written = main(["--sources", root, "--out", out, "--reports", "contact_engagement", "--no-ids"], spark=spark)
+    assert "id" not in spark.read.parquet(written[0]).columns
