@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -92,7 +93,7 @@ def slices(batches: Iterator[pa.RecordBatch], text_col: str = "text", most: int
         n = b.num_rows
         if not n:
             continue
-        sizes = np.asarray(pa.compute.fill_null(pa.compute.binary_length(b.column(text_col)), 0)).astype(np.int64)
+        sizes = np.asarray(pc.fill_null(pc.binary_length(b.column(text_col)), 0)).astype(np.int64)
         ends = np.cumsum(sizes)
         i = 0
         while i < n:
@@ -104,7 +105,7 @@ def slices(batches: Iterator[pa.RecordBatch], text_col: str = "text", most: int
 
 def text_bytes(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes of all texts end to end, offsets with one more entry than rows); null: empty."""
-    sizes = np.asarray(pa.compute.fill_null(pa.compute.binary_length(col), 0)).astype(np.int64)
+    sizes = np.asarray(pc.fill_null(pc.binary_length(col), 0)).astype(np.int64)
     offsets = np.zeros(len(col) + 1, np.int64)
     np.cumsum(sizes, out=offsets[1:])
     data = b"".join(x.as_buffer().to_pybytes() if x.is_valid else b"" for x in col) if col.null_count else None
