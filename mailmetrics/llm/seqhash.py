@@ -52,7 +52,7 @@ def all_runs(pre: np.ndarray, k: int) -> np.ndarray:
     n = len(pre) - k
     if n <= 0:
         return np.zeros(0, np.uint64)
-    return mix((pre[k:] - pre[:-k]) * _table(_INV, n) + np.uint64(k) * _ODD)
+    return mix((pre[k:] - pre[:-k]) * _table(_INV, n) + np.uint64(k * int(_ODD) % (1 << 64)))
 
 
 def anchors(kh: np.ndarray, width: int) -> np.ndarray:
