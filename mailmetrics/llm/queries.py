@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, phrases, suffix_index
-from .common import read_table
+from . import bpe, decontaminate, langid, phrases, suffix_index
+from .common import crc_mod, read_table
 
 #: The vocabulary file of ``op8_bpe`` (a parameter of the operator).
 VOCABULARY = "byte_bpe_50k.json"
@@ -31,6 +31,12 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(read_table(spark, sf_dir, "documents"), vocabulary_path())
 
 
+def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    held_out = crc_mod("doc_id", 4) == 2
+    return langid.predict(docs, langid.fit(docs, ~held_out), held_out)
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
@@ -39,6 +45,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_suffix_dedup": op3_suffix_dedup,
     "op5_phrase_dedup": op5_phrase_dedup,
     "op8_bpe": op8_bpe,
+    "op9_langid": op9_langid,
     "op10_decontaminate": op10_decontaminate,
 }
 
