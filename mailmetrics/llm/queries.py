@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, langid, phrases, suffix_index
+from . import bpe, decontaminate, html_extract, langid, licenses, phrases, suffix_index, topk
 from .common import crc_mod, read_table
 
 #: The vocabulary file of ``op8_bpe`` (a parameter of the operator).
@@ -19,10 +20,22 @@ def vocabulary_path() -> str:
     return public_tokenizers.path(VOCABULARY)
 
 
+def op1_tag_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract_pages(read_table(spark, sf_dir, "pages"))
+
+
+def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(read_table(spark, sf_dir, "documents"))
+
+
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_index.remove_repeats(read_table(spark, sf_dir, "documents"))
 
 
+def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op5_phrase_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.remove_repeated_passages(read_table(spark, sf_dir, "documents"))
 
@@ -42,7 +55,10 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_tag_paths": op1_tag_paths,
+    "op2_licenses": op2_licenses,
     "op3_suffix_dedup": op3_suffix_dedup,
+    "op4_topk": op4_topk,
     "op5_phrase_dedup": op5_phrase_dedup,
     "op8_bpe": op8_bpe,
     "op9_langid": op9_langid,
@@ -50,4 +66,19 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 #: DuckDB SQL where SQL can express the result.
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op2_licenses": licenses.oracle_sql(),
+    "op4_topk": """
+with v as (
+  select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)) as v
+  from embeddings
+  where vec_id is not null and embedding is not null
+    and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0),
+s as (
+  select q.vec_id as query_id, c.vec_id, list_dot_product(q.v, c.v)::bigint as score
+  from (select vec_id, min(v) as v from v where vec_id % 50 = 0 group by vec_id) q
+  join v c on c.vec_id <> q.vec_id and len(c.v) = len(q.v)),
+r as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s)
+select query_id, rank::int as rank, vec_id, score from r where rank <= 5
+""",
+}
