@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, html_extract, langid, licenses, phrases, suffix_index, topk
+from . import bpe, decontaminate, html_extract, langid, licenses, near_duplicates, phrases, suffix_index, topk
 from .common import crc_mod, read_table
 
 #: The vocabulary file of ``op8_bpe`` (a parameter of the operator).
@@ -40,6 +40,10 @@ def op5_phrase_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.remove_repeated_passages(read_table(spark, sf_dir, "documents"))
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.jaccard_join(read_table(spark, sf_dir, "documents")).select("doc_id", "class_id", "copy_id", "n_links")
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(read_table(spark, sf_dir, "documents"), vocabulary_path())
 
@@ -60,6 +64,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_suffix_dedup": op3_suffix_dedup,
     "op4_topk": op4_topk,
     "op5_phrase_dedup": op5_phrase_dedup,
+    "op7_jaccard_join": op7_jaccard_join,
     "op8_bpe": op8_bpe,
     "op9_langid": op9_langid,
     "op10_decontaminate": op10_decontaminate,
