@@ -120,3 +120,29 @@ def text_bytes(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def out(schema: pa.Schema, **cols) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(cols[f.name], f.type) for f in schema], schema=schema)
+
+
+def grouped(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Whole groups of rows that follow each other with equal first ``keys`` columns: (rows, bounds of the groups)."""
+    left: pa.Table | None = None
+    for b in batches:
+        t = pa.Table.from_batches([b])
+        t = t if left is None else pa.concat_tables([left, t])
+        if not t.num_rows:
+            continue
+        bounds = _bounds(t, keys)
+        last = int(bounds[-2])
+        left = t.slice(last)
+        if last:
+            yield t.slice(0, last).combine_chunks(), bounds[:-1]
+    if left is not None and left.num_rows:
+        yield left.combine_chunks(), np.array([0, left.num_rows])
+
+
+def _bounds(t: pa.Table, keys: int) -> np.ndarray:
+    new = np.ones(t.num_rows + 1, bool)
+    new[1:-1] = False
+    for i in range(keys):
+        c = t.column(i).to_numpy()
+        new[1:-1] |= c[1:] != c[:-1]
+    return np.flatnonzero(new)
