@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, html_extract, langid, licenses, near_duplicates, phrases, suffix_index, topk
-from .common import crc_mod, read_table
+from . import bpe, decontaminate, html_extract, langid, licenses, near_duplicates, phrases, suffix_index, topk, toxicity
+from .common import crc_mod, read_table, ship_package
 
 #: The vocabulary file of ``op8_bpe`` (a parameter of the operator).
 VOCABULARY = "byte_bpe_50k.json"
@@ -40,6 +40,11 @@ def op5_phrase_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.remove_repeated_passages(read_table(spark, sf_dir, "documents"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = read_table(spark, sf_dir, "documents"), crc_mod("doc_id", 5) == 0
+    return toxicity.predict(docs, toxicity.fit(docs, read_table(spark, sf_dir, "labels"), ~held_out), held_out)
+
+
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.jaccard_join(read_table(spark, sf_dir, "documents")).select("doc_id", "class_id", "copy_id", "n_links")
 
@@ -58,17 +63,26 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+def shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship_package(spark)
+        return query(spark, sf_dir)
+
+    return run
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: shipped(query) for name, query in {
     "op1_tag_paths": op1_tag_paths,
     "op2_licenses": op2_licenses,
     "op3_suffix_dedup": op3_suffix_dedup,
     "op4_topk": op4_topk,
     "op5_phrase_dedup": op5_phrase_dedup,
+    "op6_toxicity": op6_toxicity,
     "op7_jaccard_join": op7_jaccard_join,
     "op8_bpe": op8_bpe,
     "op9_langid": op9_langid,
     "op10_decontaminate": op10_decontaminate,
-}
+}.items()}
 
 #: DuckDB SQL where SQL can express the result.
 ORACLE_SQL: dict[str, str] = {
