@@ -99,7 +99,7 @@ def crc_mod(id_col: str, n: int):
     return F.crc32(F.coalesce(F.col(id_col).cast("long").cast("string"), F.lit("")).cast("binary")) % n
 
 
-def slices(batches: Iterator[pa.RecordBatch], text_col: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], text_col: str | int = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches into runs of rows with at most ``most`` bytes of text (one row at least)."""
     for b in batches:
         n = b.num_rows

@@ -45,8 +45,6 @@ _IN_WORD[48:58] = _IN_WORD[97:123] = _IN_WORD[128:] = True
 
 RESULT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("n_items", pa.int64()),
                     ("items_sha256", pa.string()), ("contaminated", pa.bool_()), ("longest", pa.int64())])
-CARRY = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("spans", pa.list_(pa.int64())),
-                   ("items", pa.list_(pa.string())), ("longest", pa.int64())])
 
 
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -138,7 +136,6 @@ class TestSuffixes:
         """For each occurrence, the words of the verbatim match that ends there."""
         order = np.lexsort((win, at))
         win, at = win[order], at[order]
-        best = dict.fromkeys(())
         sizes = np.zeros(len(win), np.int64)
         by: dict[int, list[tuple[int, int]]] = {}
         follow = set(self.follow.tolist())
@@ -150,7 +147,6 @@ class TestSuffixes:
             by.setdefault(p, []).append((w, got))
             by.pop(p - 2, None)
             sizes[i] = got
-        del best
         back = np.empty(len(order), np.int64)
         back[order] = np.arange(len(order))
         return sizes[back]
@@ -183,7 +179,8 @@ def scan(test: TestSuffixes, texts: pa.Array) -> list[tuple[int, np.ndarray, lis
     return res
 
 
-def _blocks(benchmark: DataFrame, block_words: int) -> list[list[tuple[str, str]]]:
+def _blocks(benchmark: DataFrame, block_words: int) -> Iterator[list[tuple[str, str]]]:
+    """The test texts in blocks of about ``block_words`` words, one block at a time on the driver."""
     rows = benchmark.where("item_id is not null and text is not null").selectExpr("cast(item_id as string) as item_id", "text")
     size = rows.agg(F.sum(F.length("text"))).first()[0] or 0
     n = max(1, -(-size // (block_words * 2)))  # a word takes two characters at least
@@ -199,38 +196,62 @@ def covered(spans: np.ndarray) -> int:
     return got
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW_WORDS, share: int = HIT_SHARE,
-                       block_words: int = BLOCK_WORDS, id_col: str = "doc_id", text_col: str = "text",
-                       item_col: str = "item_id", item_text_col: str = "text", detail: bool = False) -> DataFrame:
-    """One row per document; ``detail``: with its text, hit word spans and items instead of the digests."""
+def _search(docs: DataFrame, benchmark: DataFrame, n: int, block_words: int, text_col: str, item_col: str, item_text_col: str):
+    """``docs`` with the columns _spans, _items, _longest of all blocks but the last, and the last block."""
     spark = docs.sparkSession
     b = benchmark.selectExpr(f"`{item_col}` as item_id", f"cast(`{item_text_col}` as string) as text")
-    df = docs.selectExpr(f"cast(`{id_col}` as long) as doc_id", f"cast(`{text_col}` as string) as text",
-                         "cast(array() as array<long>) as spans", "cast(array() as array<string>) as items", "0L as longest")
-    blocks = list(_blocks(b, block_words)) or [[]]
+    df = docs.withColumns({"_spans": F.array().cast("array<long>"), "_items": F.array().cast("array<string>"), "_longest": F.lit(0).cast("long")})
+    blocks = [spark.sparkContext.broadcast(TestSuffixes(block, n)) for block in _blocks(b, block_words)]
     scratch = Scratch(spark, "decontaminate") if len(blocks) > 1 else None
-    for i, block in enumerate(blocks):
-        test = spark.sparkContext.broadcast(TestSuffixes(block, n))
-        last = i == len(blocks) - 1
-        df = df.mapInArrow(functools.partial(_run, test, share, last and not detail),
-                           "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, longest long"
-                           if last and not detail else "doc_id long, text string, spans array<long>, items array<string>, longest long")
-        if not last:
-            df = scratch.stage(df, f"block{i}")
-    return df
-
-
-def _run(test, share: int, digest: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for i, test in enumerate(blocks[:-1]):
+        df = scratch.stage(df.mapInArrow(functools.partial(_add, test, docs.columns.index(text_col)), df.schema), f"block{i}")
+    return df, blocks[-1]
+
+
+def find_contamination(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW_WORDS, share: int = HIT_SHARE,
+                       block_words: int = BLOCK_WORDS, id_col: str = "doc_id", text_col: str = "text",
+                       item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """One row per document: words, words hit, items with hits, their digest, the verdict and the longest match."""
+    rows = docs.selectExpr(f"cast(`{id_col}` as long) as doc_id", f"cast(`{text_col}` as string) as text")
+    df, test = _search(rows, benchmark, n, block_words, "text", item_col, item_text_col)
+    return df.mapInArrow(functools.partial(_verdict, test, share), "doc_id long, n_words long, n_hit long, n_items long, "
+                         "items_sha256 string, contaminated boolean, longest long")
+
+
+def remove_contaminated(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW_WORDS, share: int = HIT_SHARE,
+                        block_words: int = BLOCK_WORDS, text_col: str = "text", item_col: str = "item_id",
+                        item_text_col: str = "text") -> DataFrame:
+    """``docs`` without its contaminated rows, all columns kept (no shuffle)."""
+    df, test = _search(docs, benchmark, n, block_words, text_col, item_col, item_text_col)
+    return df.mapInArrow(functools.partial(_clean, test, share, docs.columns.index(text_col)), docs.schema)
+
+
+def _hits(test, b: pa.RecordBatch, text_at: int) -> list[tuple[int, np.ndarray, list[str], int]]:
+    """What the block and the earlier ones (last three columns) find: words, covered runs, items, longest match."""
+    got = scan(test.value, b.column(text_at).cast(pa.string()))
+    spans, items, longest = (b.column(b.num_columns - i).to_pylist() for i in (3, 2, 1))
+    return [(g[0], np.concatenate([np.array(s, np.int64), g[1]]) if s else g[1], sorted({*i, *g[2]}), max(x, g[3]))
+            for g, s, i, x in zip(got, spans, items, longest, strict=True)]
+
+
+def _add(test, text_at: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in slices(batches, text_at):
+        got = _hits(test, b, text_at)
+        new = [pa.array([g[1].tolist() for g in got], pa.list_(pa.int64())), pa.array([g[2] for g in got], pa.list_(pa.string())),
+               pa.array([g[3] for g in got], pa.int64())]
+        yield pa.RecordBatch.from_arrays([*b.columns[:-3], *new], names=b.schema.names)
+
+
+def _verdict(test, share: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in slices(batches):
-        got = scan(test.value, b.column(1))
-        spans0, items0, long0 = (b.column(i).to_pylist() for i in (2, 3, 4))
-        spans = [np.concatenate([np.array(s, np.int64), g[1]]) if s else g[1] for s, g in zip(spans0, got, strict=True)]
-        items = [sorted({*i, *g[2]}) for i, g in zip(items0, got, strict=True)]
-        longest = [max(x, g[3]) for x, g in zip(long0, got, strict=True)]
-        if not digest:
-            yield out(CARRY, doc_id=b.column(0), text=b.column(1), spans=[s.tolist() for s in spans], items=items, longest=longest)
-            continue
-        hit, n = [covered(s) if len(s) else 0 for s in spans], [g[0] for g in got]
-        yield out(RESULT, doc_id=b.column(0), n_words=n, n_hit=hit, n_items=[len(i) for i in items],
-                  items_sha256=[hashlib.sha256(",".join(i).encode()).hexdigest() for i in items],
-                  contaminated=[h > 0 and share * h >= w for h, w in zip(hit, n, strict=True)], longest=longest)
+        got = _hits(test, b, 1)
+        hit = [covered(g[1]) for g in got]
+        yield out(RESULT, doc_id=b.column(0), n_words=[g[0] for g in got], n_hit=hit, n_items=[len(g[2]) for g in got],
+                  items_sha256=[hashlib.sha256(",".join(g[2]).encode()).hexdigest() for g in got],
+                  contaminated=[h > 0 and share * h >= g[0] for h, g in zip(hit, got, strict=True)], longest=[g[3] for g in got])
+
+
+def _clean(test, share: int, text_at: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in slices(batches, text_at):
+        keep = [not (0 < (h := covered(g[1])) and share * h >= g[0]) for g in _hits(test, b, text_at)]
+        yield pa.RecordBatch.from_arrays(b.columns[:-3], names=b.schema.names[:-3]).filter(pa.array(keep))

@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import functools
 import math
+import re
 from collections import Counter
 from collections.abc import Iterator
 
@@ -45,7 +46,7 @@ LEAST_WEIGHT = 1.0
 #: Weighted features of the model, the heaviest first (the model's size is a parameter).
 MODEL_SIZE = 100_000
 #: Distinct words whose reading and features a task remembers.
-CACHE_WORDS = 200_000
+CACHE_WORDS = 400_000
 
 # Look-alikes of letters.
 LOOKALIKES = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g",
@@ -57,8 +58,9 @@ RESULT = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("score",
 
 _WORD = regex.compile(r"[\p{L}\p{N}@$!|+(€£¡]+(?:['’\-_.*]\p{L}+)*")
 _PLAIN = regex.compile(r"\p{L}+")
-_SPACED = regex.compile(r"(?<![\p{L}\p{N}])(?:[\p{L}\p{N}@$!|+][ .\-_*]{1,2}){3,}[\p{L}\p{N}@$!|+](?![\p{L}\p{N}])")
-_REPEAT = regex.compile(r"(\p{L})\1\1")
+_SPACED = regex.compile(r"(?<![\p{L}\p{N}])(?:[\p{L}\p{N}@$!|+][.\-_*]){3,}[\p{L}\p{N}@$!|+](?![\p{L}\p{N}])")
+_REPEAT = re.compile(r"(.)\1\1")
+_OPEN, _CLOSE = ".,;:?\"'([{#%&*-–—«»„“”", ".,;:?\"')]}#%&*-–—«»„“”…!|+("
 _TAIL = regex.compile(r"(?:([@$+(€£¡|!])\1+|[!|+(]+)$")
 
 
@@ -127,22 +129,35 @@ def suspicious(word: str) -> bool:
         return _REPEAT.search(word) is not None
     letters = sum(c.isalpha() for c in word)
     odd = sum(c in LOOKALIKES for c in word)
-    return letters >= 2 and odd >= 1 and len(word) <= 40 and letters + odd >= len(word) - 1 and letters >= odd
+    return letters >= 2 and odd >= 1 and len(word) <= 40 and letters + odd >= len(word) - 1 and 2 * letters >= odd
 
 
 class Reader:
-    """Texts to the distinct features of their restored words."""
-
-    def __init__(self, model: CharModel):
-        self.model = model
-        self.cache: dict[str, tuple[tuple[str, ...], bool]] = {}
-
-    def word(self, w: str) -> tuple[tuple[str, ...], bool]:
-        bare = _TAIL.sub("", w)
-        if bare and suspicious(bare):
-            read = self.model.restore(lattice(bare))
-            return self.features(read), True
-        return self.features("".join(c for c in bare if c.isalpha())), False
+    """Texts to the distinct features of their restored words (``known``: only those)."""
+
+    def __init__(self, model: CharModel, known: dict[str, float] | None = None):
+        self.model, self.known = model, known
+        self.cache: dict[str, tuple[tuple[str, ...], int]] = {}
+
+    def token(self, token: str) -> tuple[tuple[str, ...], int]:
+        """Features of the words of a token (no white space inside), and how many were restored."""
+        plain = token.lstrip(_OPEN).rstrip(_CLOSE)
+        if plain.isalpha() and _REPEAT.search(plain) is None:
+            found = self.features(plain)
+            return (found if self.known is None else tuple([f for f in found if f in self.known])), 0
+        found, restored = [], 0
+        rest = token
+        for s in _SPACED.findall(token):
+            found += self.features(self.model.restore(lattice(s)))
+            rest, restored = rest.replace(s, " "), restored + 1
+        for w in _WORD.findall(rest):
+            bare = _TAIL.sub("", w)
+            if bare and suspicious(bare):
+                found += self.features(self.model.restore(lattice(bare)))
+                restored += 1
+            else:
+                found += self.features("".join(c for c in bare if c.isalpha()))
+        return tuple(found if self.known is None else [f for f in found if f in self.known]), restored
 
     @staticmethod
     def features(w: str) -> tuple[str, ...]:
@@ -151,22 +166,30 @@ class Reader:
         return (w, *[w[:n] + "*" for n in PREFIXES if len(w) > n])
 
     def read(self, text: str) -> tuple[set[str], int]:
-        low = text.lower()
-        found = Counter(_WORD.findall(low))
-        spaced = _SPACED.findall(low)
-        if len(self.cache) > CACHE_WORDS:
-            self.cache.clear()
-        feats: set[str] = set()
-        restored = len(spaced)
+        """(features, distinct readings restored)."""
+        tokens = text.lower().split()
         cache = self.cache
-        for w in found:
+        if len(cache) > CACHE_WORDS:
+            cache.clear()
+        feats: set[str] = set()
+        restored = 0
+        for w in set(tokens):
             got = cache.get(w)
             if got is None:
-                got = cache[w] = self.word(w)
-            feats.update(got[0])
-            restored += got[1] * found[w]
-        for s in spaced:
-            feats.update(self.features(self.model.restore(lattice(s))))
+                got = cache[w] = self.token(w)
+            if got[0]:
+                feats.update(got[0])
+            restored += got[1]
+        # letters spaced apart: four or more tokens of one character in a row
+        sizes = bytes([1 if n == 1 else 0 for n in map(len, tokens)])
+        at = sizes.find(b"\1\1\1\1")
+        while at >= 0:
+            end = sizes.find(b"\0", at)
+            end = len(sizes) if end < 0 else end
+            found = self.features(self.model.restore(lattice("".join(tokens[at:end]))))
+            feats.update(f for f in found if self.known is None or f in self.known)
+            restored += 1
+            at = sizes.find(b"\1\1\1\1", end)
         return feats, restored
 
 
@@ -297,7 +320,7 @@ def predict(docs: DataFrame, scorer: Scorer, held_out: Column, id_col: str = "do
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out.alias("held_out"), F.col(text_col).cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = Reader(shared.value.model)
+        reader = Reader(shared.value.model, shared.value.weights)
         for b in slices(batches):
             got = [reader.read(t or "") for t in b.column(2).to_pylist()]
             score = [shared.value.score(f) for f, _ in got]
