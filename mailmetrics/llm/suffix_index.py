@@ -18,7 +18,8 @@ hash of all its bytes:
 
 * the runs of an anchor key are all alike: every window in them repeats;
 * they differ: runs with the same hash repeat as a whole; of the others, and
-  of one of each kind, all windows are compared one by one.
+  of one of each kind, all windows are compared one by one: an anchor's kinds
+  in one task if they are at most ``KINDS``, else each window as a row.
 
 So a group of copies, however large, is counted by partial sums and never
 paired up.  Positions are per row; a repeated row is an occurrence elsewhere.
@@ -38,20 +39,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import seqhash
-from .common import Scratch, keyed, out, slices, text_bytes
+from .common import Scratch, grouped, keyed, out, slices, text_bytes
 
 REPEAT_BYTES = 200
-ANCHOR_BYTES = 40
+ANCHOR_BYTES = 64
 BATCHES = 4
 #: Bytes whose windows are hashed at once (longer texts are cut into pieces that overlap).
 PIECE = 1 << 22
 #: A run is one number: first start * 2^16 + (starts - 1).
 LEN_BITS = 16
+#: Different runs of an anchor that one task compares.
+KINDS = 1024
 
 ENTRY = pa.schema([("dk", pa.int64()), ("rk", pa.int32()), ("batch", pa.int32()), ("a", pa.int64()),
                    ("w", pa.int64()), ("run", pa.int64())])
-WINDOW = pa.schema([("dk", pa.int64()), ("rk", pa.int32()), ("run", pa.int64()), ("v", pa.int64()),
-                    ("w", pa.int64()), ("alone", pa.bool_())])
+SPAN = pa.schema([("a", pa.int64()), ("w", pa.int64()), ("many", pa.bool_()), ("alone", pa.bool_()), ("dk", pa.int64()),
+                  ("rk", pa.int32()), ("run", pa.int64()), ("span", pa.binary())])
+WINDOW = pa.schema([("v", pa.int64()), ("w", pa.int64()), ("alone", pa.bool_()), ("dk", pa.int64()), ("rk", pa.int32()), ("run", pa.int64())])
+FOUND = pa.schema([("dk", pa.int64()), ("rk", pa.int32()), ("run", pa.int64())])
 RESULT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()),
                     ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
 KEPT = pa.schema([("doc_id", pa.int64()), ("text", pa.binary()), ("spans", pa.list_(pa.int64()))])
@@ -152,55 +157,92 @@ def repeated_runs(docs: DataFrame, n: int = REPEAT_BYTES, k: int = ANCHOR_BYTES,
     matches: list[DataFrame] = []
     for i in range(batches):
         matches += family.add(entries.where(F.col("batch") == i).select("a", "w"), last=i == batches - 1)
+        scratch.free_shuffles()
     family.close()
     keys = matches[0]
     for m in matches[1:]:
         keys = keys.unionByName(m)
     keys = keys.groupBy("a").agg(F.min("w").alias("lo"), F.max("w").alias("hi"), F.max("mixed").alias("mixed"))
-    keys = keys.selectExpr("a", "mixed or lo <> hi as mixed")
+    keys = scratch.stage(keys.selectExpr("a", "mixed or lo <> hi as mixed"), "keys")  # else a hot anchor can't be split below
     hits = scratch.stage(entries.select("dk", "rk", "a", "w", "run").join(keys, "a"), "hits")
     scratch.free_shuffles()
     scratch.drop("entries")
 
-    kinds = hits.where("mixed").groupBy("a", "w").agg(
-        F.count("*").alias("n"), F.min(F.struct("dk", "rk", "run")).alias("one"))
-    kinds = scratch.stage(kinds, "kinds")
-    single = kinds.where("n = 1").select("a").distinct()
-    shown = kinds.join(single, "a", "left_semi").selectExpr("one.dk", "one.rk", "one.run", "w", "n = 1 as alone")
-    shown = shown.groupBy("dk", "rk").agg(F.collect_list(F.struct("run", "w", "alone")).alias("runs"))
-    windows = docs.select("dk", "rk", "text").join(shown, ["dk", "rk"]).mapInArrow(
-        _windows(n), "dk long, rk int, run long, v long, w long, alone boolean")
-    windows = scratch.stage(windows, "windows")
+    kinds = scratch.stage(hits.where("mixed").groupBy("a", "w").agg(
+        F.count("*").alias("n"), F.min(F.struct("dk", "rk", "run")).alias("one")), "kinds")
+    open_ = kinds.groupBy("a").agg(F.min("n").alias("least"), F.count("*").alias("kinds")).where("least = 1").selectExpr("a", f"kinds > {KINDS} as many")
+    shown = kinds.join(scratch.stage(open_, "open"), "a").selectExpr("one.dk", "one.rk", "one.run", "a", "w", "many", "n = 1 as alone")
+    shown = shown.groupBy("dk", "rk").agg(F.collect_list(F.struct("run", "a", "w", "many", "alone")).alias("runs"))
+    spans = docs.select("dk", "rk", "text").join(shown, ["dk", "rk"]).mapInArrow(
+        _spans(n), "a long, w long, many boolean, alone boolean, dk long, rk int, run long, span binary")
+    spans = scratch.stage(spans, "spans")
     scratch.free_shuffles()
+    few = spans.where("not many").repartition("a").sortWithinPartitions("a", "w").mapInArrow(_compare(n), "dk long, rk int, run long")
+    windows = spans.where("many").mapInArrow(_windows(n), "v long, w long, alone boolean, dk long, rk int, run long")
     twice = windows.groupBy("v").agg(F.min("w").alias("lo"), F.max("w").alias("hi")).where("lo <> hi").select("v")
-    alone = windows.where("alone").join(twice, "v", "left_semi").select("dk", "rk", "run")
+    many = windows.where("alone").join(scratch.stage(twice, "twice"), "v", "left_semi").select("dk", "rk", "run")
     whole = hits.where("not mixed").select("dk", "rk", "run").unionByName(
         hits.where("mixed").join(kinds.where("n > 1").select("a", "w"), ["a", "w"], "left_semi").select("dk", "rk", "run"))
-    return whole.unionByName(alone).groupBy("dk", "rk").agg(F.collect_list("run").alias("runs"))
+    return whole.unionByName(few).unionByName(many).groupBy("dk", "rk").agg(F.collect_list("run").alias("runs"))
 
 
-def _windows(n: int):
-    """Every window of the given runs, hashed."""
+def _spans(n: int):
+    """The bytes of the given runs' windows."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            data, offsets = text_bytes(b.column(2))
-            lists = b.column(3)
+            texts, lists = b.column(2).cast(pa.binary()).to_pylist(), b.column(3)
             flat = lists.flatten()
-            runs = np.asarray(flat.field("run")).astype(np.int64)
+            runs = np.asarray(flat.field("run"))
             doc = np.repeat(np.arange(len(lists)), np.asarray(pc.list_value_length(lists)))
-            size = (runs & ((1 << LEN_BITS) - 1)) + 1
-            row = np.repeat(np.arange(len(runs)), size)
-            start = (runs >> LEN_BITS)[row] + np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
-            whole = start + offsets[doc[row]]
-            v = np.zeros(len(row), np.uint64)
-            for at, part in pieces(data, n):
-                own = (whole >= at) & (whole < at + PIECE)
-                if own.any():
-                    pre = seqhash.prefix(seqhash.BYTE[part])
-                    v[own] = seqhash.runs(pre, whole[own] - at, whole[own] - at + n)
-            take = pa.array(doc[row])
-            yield out(WINDOW, dk=b.column(0).take(take), rk=b.column(1).take(take), run=start << LEN_BITS, v=seqhash.i64(v),
-                      w=flat.field("w").take(pa.array(row)), alone=flat.field("alone").take(pa.array(row)))
+            start, size = runs >> LEN_BITS, (runs & ((1 << LEN_BITS) - 1)) + n
+            take = pa.array(doc)
+            yield out(SPAN, a=flat.field("a"), w=flat.field("w"), many=flat.field("many"), alone=flat.field("alone"),
+                      dk=b.column(0).take(take), rk=b.column(1).take(take), run=runs,
+                      span=[texts[d][s:s + m] for d, s, m in zip(doc.tolist(), start.tolist(), size.tolist(), strict=True)])
+    return run
+
+
+def _hashed(runs: np.ndarray, spans: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, window as a run of one start, hash) of every window of the runs."""
+    data, offsets = text_bytes(spans)
+    size = (runs & ((1 << LEN_BITS) - 1)) + 1
+    row = np.repeat(np.arange(len(runs)), size)
+    place = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
+    at = offsets[:-1][row] + place
+    v = seqhash.runs(seqhash.prefix(seqhash.BYTE[data]), at, at + n)
+    return row, ((runs >> LEN_BITS)[row] + place) << LEN_BITS, v
+
+
+def _one(col: pa.ChunkedArray) -> pa.Array:
+    return col.chunk(0) if col.num_chunks == 1 else pa.concat_arrays(col.chunks) if col.num_chunks else pa.array([], col.type)
+
+
+def _compare(n: int):
+    """Windows of the runs that are alone, if a run of another kind has them too; whole anchors follow each other."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, _ in grouped(batches, 1):
+            a, w = t.column("a").to_numpy(), t.column("w").to_numpy()
+            new = np.ones(len(a), bool)
+            new[1:] = (a[1:] != a[:-1]) | (w[1:] != w[:-1])  # a repeated row shows its run again
+            t = t.filter(pa.array(new))
+            runs, alone = t.column("run").to_numpy(), t.column("alone").to_numpy(zero_copy_only=False)
+            row, start, v = _hashed(runs, _one(t.column("span")), n)
+            _, back, count = np.unique(v, return_inverse=True, return_counts=True)
+            hit = (count[back] > 1) & alone[row]
+            yield out(FOUND, dk=t.column("dk").to_numpy()[row[hit]], rk=t.column("rk").to_numpy()[row[hit]], run=start[hit])
+    return run
+
+
+def _windows(n: int):
+    """Every window of the runs as a row."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(0, b.num_rows, 2000):
+                t = b.slice(i, 2000)
+                row, start, v = _hashed(np.asarray(t.column(6)), t.column(7), n)
+                take = pa.array(row)
+                yield out(WINDOW, v=seqhash.i64(v), w=t.column(1).take(take), alone=t.column(3).take(take),
+                          dk=t.column(4).take(take), rk=t.column(5).take(take), run=start)
     return run
 
 
