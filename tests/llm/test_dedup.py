@@ -1,0 +1,109 @@
+import pytest
+from brute import awkward, jaccard, near_copies, passages, repeats
+from pyspark.sql import functions as F
+
+from mailmetrics.llm import near_duplicates, phrases, suffix_index
+
+DOCS = "doc_id long, text string"
+
+
+def tuples(df):
+    return sorted([tuple(r) for r in df.collect()], key=str)
+
+
+@pytest.mark.parametrize("kinds", [2, 1024])
+def test_repeated_bytes_against_brute_force(spark, monkeypatch, kinds):
+    monkeypatch.setattr(suffix_index, "KINDS", kinds)  # also the way for anchors of very many kinds
+    rows = awkward(60, 5)
+    df = spark.createDataFrame(rows, DOCS)
+    assert tuples(suffix_index.remove_repeats(df, 24, 6)) == repeats(rows, 24)
+
+
+def test_repeated_bytes_one_long_text(spark, monkeypatch):
+    monkeypatch.setattr(suffix_index, "PIECE", 500)  # pieces of a long text overlap
+    rows = [(1, "x" * 3000), (2, ("abc" * 400) + "ñ" * 300), (3, None)]
+    assert tuples(suffix_index.remove_repeats(spark.createDataFrame(rows, DOCS), 40, 12)) == repeats(rows, 40)
+
+
+def test_index_levels_merge_geometrically(spark):
+    from mailmetrics.llm.common import Scratch
+
+    family = suffix_index.SuffixArrayFamily(spark, Scratch(spark, "test"))
+    got = []
+    for i in range(5):
+        batch = spark.range(10).select((F.col("id") + 7 * i).alias("a"), F.lit(i % 2).cast("long").alias("w"))
+        got.append({(r.a, r.mixed) for m in family.add(batch) for r in m.collect()})
+    assert sorted(family.levels) == [0, 2]  # five batches: one of four, one of one
+    assert got[0] == set()
+    assert got[1] == {(7, True), (8, True), (9, True)}  # the overlap of batches 0 and 1
+    family.close()
+
+
+def test_passages_against_brute_force(spark):
+    rows = awkward(60, 6)
+    df = spark.createDataFrame(rows, DOCS)
+    assert tuples(phrases.remove_repeated_passages(df, 6, 2)) == passages(rows, 6)
+
+
+def test_passages_whole_table(spark):
+    df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rows = [(r[0], r[1]) for r in df.select("doc_id", "text").collect()]
+    assert tuples(phrases.remove_repeated_passages(df)) == passages(rows, 50)
+    assert tuples(suffix_index.remove_repeats(df)) == repeats(rows, 200)
+
+
+def test_rewrite_keeps_columns(spark):
+    text = " ".join(f"w{i}" for i in range(80))
+    df = spark.createDataFrame([(2, "a\nb  " + text, "x", 1), (1, text, "y", 2), (3, None, None, None)], "doc_id int, text string, runs string, dk int")
+    got = {r.doc_id: r for r in phrases.rewrite_documents(df).collect()}
+    assert got[1].text == text and got[2].text == "a b" and got[3].text is None
+    assert (got[2].runs, got[2].dk) == ("x", 1)
+
+
+@pytest.mark.parametrize("block", [16, 512])
+def test_jaccard_against_brute_force(spark, monkeypatch, block):
+    monkeypatch.setattr(near_duplicates, "BLOCK", block)  # large groups in pairs of blocks
+    rows = near_copies(2)
+    df = spark.createDataFrame(rows, DOCS)
+    assert tuples(near_duplicates.jaccard_join(df).select("doc_id", "class_id", "copy_id", "n_links")) == sorted(jaccard(rows), key=str)
+
+
+def test_keep_one_of_each_group(spark):
+    rows = near_copies(3, 120)
+    df = spark.createDataFrame([(d, t, "s", 1) for d, t in rows], "doc_id long, text string, stays string, id int")
+    kept = near_duplicates.keep_one(df).collect()
+    groups = {c for d, c, _, _ in jaccard(rows)}
+    assert {r.doc_id for r in kept if r.text} == {c for c in groups if dict(rows)[c]}
+    assert len([r for r in kept if r.text]) == len({r.doc_id for r in kept if r.text})
+    assert sorted(r.doc_id for r in kept if not r.text) == sorted(d for d, t in rows if not t)  # take no part
+
+
+def test_band_count():
+    assert near_duplicates.band_count(0.8, 4, 0.9999) == 18
+    b = near_duplicates.band_count(0.8, 5, 0.999)
+    assert 1 - (1 - 0.8**5) ** b >= 0.999 > 1 - (1 - 0.8**5) ** (b - 1)
+
+
+def test_empty_tables(spark):
+    none = spark.createDataFrame([], DOCS)
+    assert suffix_index.remove_repeats(none).count() == 0
+    assert phrases.remove_repeated_passages(none).count() == 0
+    assert near_duplicates.jaccard_join(none).count() == 0
+    assert near_duplicates.keep_one(none).count() == 0
+
+
+def test_only_nulls(spark):
+    df = spark.createDataFrame([(None, None), (None, "")], DOCS)
+    assert {tuple(r)[1:4] for r in suffix_index.remove_repeats(df).collect()} == {(0, 0, 0)}
+    assert phrases.remove_repeated_passages(df).count() == 2
+    assert {r.n_links for r in near_duplicates.jaccard_join(df).collect()} == {0}
+
+
+def test_components_of_a_long_chain(spark):
+    from mailmetrics.llm.common import Scratch
+    from mailmetrics.llm.components import components
+
+    edges = spark.range(200).select(((F.col("id") * 37) % 201).alias("u"), (((F.col("id") + 1) * 37) % 201).alias("v"))
+    got = components(edges, Scratch(spark, "test")).collect()
+    assert len(got) == 200 and {r.root for r in got} == {0}
+    assert components(edges.where("u < 0"), Scratch(spark, "test")).count() == 0
