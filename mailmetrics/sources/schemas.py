@@ -91,7 +91,7 @@ MARKETING_ACTIVITY = _schema(
 )
 
 MAILING_LIST = _schema(
-    ("id", IntegerType()),
+    ("id", LongType()),
     ("name", StringType()),
 )
 
@@ -103,7 +103,7 @@ MAILING_CONTACT = _schema(
 MAILING_CONTACT_SUBSCRIPTION = _schema(
     ("id", LongType()),
     ("contact_id", LongType()),
-    ("list_id", IntegerType()),
+    ("list_id", LongType()),
     ("opt_out", BooleanType()),
 )
 

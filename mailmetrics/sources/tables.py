@@ -41,15 +41,17 @@ class Sources:
     def from_parquet(cls, spark: SparkSession, root: str) -> "Sources":
         """Read ``<root>/<table>`` (a Parquet file or directory) per table.
 
-        The explicit schema means only the listed columns are read.
+        The files' own schema is read, so ``conform`` sees a missing column
+        (and raises) and casts other types up; scans still read only the
+        columns that a report uses.
         """
         frames = {}
-        for name, schema in SCHEMAS.items():
+        for name in SCHEMAS:
             path = os.path.join(root, name)
             try:
-                frames[name] = spark.read.schema(schema).parquet(path)
+                frames[name] = spark.read.parquet(path)
             except AnalysisException:  # no such folder: try "<table>.parquet"
-                frames[name] = spark.read.schema(schema).parquet(path + ".parquet")
+                frames[name] = spark.read.parquet(path + ".parquet")
         return cls.from_frames(frames)
 
     @classmethod
