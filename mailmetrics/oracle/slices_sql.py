@@ -57,7 +57,7 @@ def _from(report: str) -> str:
 
 def _visible(report: str) -> str:
     v = VIEWS[report]
-    return ", ".join(c for c in REPORT_COLUMNS[report] if c not in v.hidden)
+    return ", ".join(v.columns or [c for c in REPORT_COLUMNS[report] if c not in v.hidden])
 
 
 def list_sql(report: str) -> str:
@@ -80,6 +80,12 @@ def pivot_sql(report: str) -> str:
         for m in p.measures:
             name = label if len(p.measures) == 1 else f"{label}_{m}"
             parts.append(f'{_agg(m, cond)} AS "{name}"')
+    if not p.closed:  # values outside the list, and no value
+        listed = ", ".join(_lit(v) for v in p.values)
+        for label, cond in (("other", f"{p.column} NOT IN ({listed})"), ("null", f"{p.column} IS NULL")):
+            for m in p.measures:
+                name = label if len(p.measures) == 1 else f"{label}_{m}"
+                parts.append(f'{_agg(m, cond)} AS "{name}"')
     return f"SELECT {p.rows}, {', '.join(parts)} FROM {_from(report)} GROUP BY {p.rows}"
 
 

@@ -35,6 +35,9 @@ class Pivot:
     # Known domain of ``column``: the wide form is built with these values
     # (no extra job to discover them).  None: long form unless given.
     values: tuple | None = None
+    # Whether the report itself makes the values.  Else the data may hold
+    # others: they are gathered in the column ``other``, nulls in ``null``.
+    closed: bool = False
 
 
 @dataclass(frozen=True)
@@ -54,6 +57,7 @@ class ReportView:
     predicates: dict[str, tuple[str, str, object]] = field(default_factory=dict)
     search: tuple[str, ...] = ()
     group_bys: dict[str, str] = field(default_factory=dict)  # name -> column / 'col:month'
+    columns: tuple[str, ...] = ()                 # the list's own column order, if not the report's
 
 
 def _eq(col: str, value) -> tuple[str, str, object]:
@@ -129,6 +133,8 @@ VIEWS: dict[str, ReportView] = {
                                              ("poor", "Needs Attention")]),
         ("subject",),
         {"performance_tier": "performance_tier"},
+        ("rank", "subject", "engagement_score", "performance_tier", "open_rate", "click_rate",
+         "delivery_rate", "reply_rate", "bounce_rate", "sent_date"),
     ),
     "failure_breakdown": ReportView(
         "failure_breakdown", ("id", "year", "month"), (("failure_count", DESC),),
@@ -141,7 +147,7 @@ VIEWS: dict[str, ReportView] = {
     "send_time_analysis": ReportView(
         "send_time_analysis", ("id", "slot_value"), (("avg_open_rate", DESC),),
         Pivot("slot_label", ("campaigns_sent", "avg_open_rate", "avg_click_rate"), "slot_type",
-              ("hour", "day")),
+              ("hour", "day"), closed=True),
         None,
         {**_status_filters("slot_type", [("by_hour", "hour"), ("by_day", "day")]),
          **_status_filters("performance_label", [("best", "Best"), ("worst", "Worst")])},
@@ -159,7 +165,7 @@ VIEWS: dict[str, ReportView] = {
     "ab_test_results": ReportView(
         "ab_test_results", ("id", "mailing_id", "ab_testing_enabled", "is_winner"), (("sent_date", DESC),),
         Pivot("ab_testing_winner_selection", ("sent", "open_rate", "click_rate"),
-              "ab_testing_completed", (True, False)),
+              "ab_testing_completed", (True, False), closed=True),
         None,
         {"completed": _eq("ab_testing_completed", True), "in_progress": _eq("ab_testing_completed", False)},
         ("subject",),
@@ -233,7 +239,7 @@ def _order_col(col: str, direction: str) -> Column:
 def list_view(df: DataFrame, report: str, ordered: bool = True) -> DataFrame:
     """The report's list: visible columns, optionally in the default order."""
     v = VIEWS[report]
-    out = df.select(*[c for c in df.columns if c not in v.hidden])
+    out = df.select(*(v.columns or [c for c in df.columns if c not in v.hidden]))
     if ordered:
         out = out.orderBy(*[_order_col(c, d) for c, d in v.order])
     return out
@@ -244,7 +250,9 @@ def pivot_view(df: DataFrame, report: str, values: Sequence | None = None) -> Da
 
     With a column dimension of known domain (or ``values`` given) the result
     is wide, columns ``<value>_<measure>`` (``<value>`` for one measure);
-    otherwise long: one row per (row value, column value).
+    otherwise long: one row per (row value, column value).  A wide pivot over
+    stored values has the columns ``other`` (any other value) and ``null``
+    beside them, so no row is lost.
     """
     p = VIEWS[report].pivot
     aggs = [measure(m) for m in p.measures]
@@ -253,7 +261,14 @@ def pivot_view(df: DataFrame, report: str, values: Sequence | None = None) -> Da
     vals = values if values is not None else p.values
     if vals is None:
         return df.groupBy(p.rows, p.column).agg(*aggs)
-    return df.groupBy(p.rows).pivot(p.column, list(vals)).agg(*aggs)
+    vals = list(vals)
+    if p.closed and values is None:
+        return df.groupBy(p.rows).pivot(p.column, vals).agg(*aggs)
+    c = F.col(p.column)
+    key = F.when(c.isNull(), "null").when(c.isin(vals), c.cast("string")).otherwise("other")
+    names = [str(v).lower() if isinstance(v, bool) else str(v) for v in vals]
+    keyed = df.withColumn("_column", key)
+    return keyed.groupBy(p.rows).pivot("_column", [*names, "other", "null"]).agg(*aggs)
 
 
 def chart_series(df: DataFrame, report: str) -> DataFrame:

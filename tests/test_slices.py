@@ -62,3 +62,58 @@ def test_chart_missing_raises(spark):
     src = sources(spark, mailing_mailing=[mailing(1)])
     with pytest.raises(KeyError):
         slices.chart_series(insights.campaign_ranking(src), "campaign_ranking")
+
+
+def test_wide_pivots_lose_no_row(spark):
+    """Null and unlisted column values have columns of their own."""
+    rows = [(1, "running"), (1, None), (1, "paused"), (2, "removed"), (None, "odd")]
+    df = spark.createDataFrame(rows, "campaign_id long, state string").selectExpr("*", "1L as participant_count")
+    got = {r["campaign_id"]: r.asDict() for r in slices.pivot_view(df, "participant_breakdown").collect()}
+    assert (got[1]["running"], got[1]["other"], got[1]["null"]) == (1, 1, 1)
+    total = sum(v or 0 for r in got.values() for k, v in r.items() if k != "campaign_id")
+    assert total == len(rows)
+
+
+# Written from the reference views, not from the engine's table: list columns and default order.
+ORDERS = {
+    "campaign_stats": [("sent_date", True)],
+    "delivery_details": [("sent_datetime", True)],
+    "automation_overview": [("create_date", True)],
+    "activity_stats": [("campaign_id", False), ("activity_name", False)],
+    "participant_breakdown": [("campaign_id", False), ("state", False)],
+    "monthly_trend": [("year", True), ("month", True)],
+    "campaign_ranking": [("rank", False)],
+    "failure_breakdown": [("failure_count", True)],
+    "send_time_analysis": [("avg_open_rate", True)],
+    "subject_lines": [("open_rate", True)],
+    "ab_test_results": [("sent_date", True)],
+    "trigger_effectiveness": [("avg_open_rate", True)],
+    "contact_engagement": [("engagement_score", True)],
+    "list_health": [("health_score", True)],
+    "reengagement": [("days_since_last_open", True)],
+}
+
+
+@pytest.mark.parametrize("name", list(ORDERS))
+def test_all_default_orders(spark, name):
+    """Descending puts nulls first, ascending puts them last."""
+    keys = ORDERS[name]
+    hidden = slices.VIEWS[name].hidden
+    cols = ["c1", *[c for c, _ in keys]]
+    data = [(str(i), *[None if (i + j) % 4 == 0 else (i * 7 + j) % 5 for j in range(len(keys))]) for i in range(20)]
+    df = spark.createDataFrame(data, ", ".join(["c1 string", *[f"{c} int" for c, _ in keys]])).repartition(4)
+    if name == "campaign_ranking":
+        df = df.selectExpr(*cols, *[f"0 as {c}" for c in slices.VIEWS[name].columns if c != "rank"])
+    got = [tuple(r[c] for c, _ in keys if c not in hidden) for r in slices.list_view(df, name).collect()] if not set(c for c, _ in keys) & set(hidden) \
+        else [tuple(r[c] for c, _ in keys) for r in df.orderBy(*[slices._order_col(c, d) for c, d in slices.VIEWS[name].order]).collect()]
+
+    def key(row):
+        return [((0, 0) if v is None else (1, -v)) if desc else ((1, 0) if v is None else (0, v)) for v, (_, desc) in zip(row, keys)]
+
+    assert got == sorted(got, key=key)
+
+
+def test_ranking_list_starts_with_rank_and_ends_with_the_send_date(spark):
+    df = slices.list_view(insights.campaign_ranking(sources(spark, mailing_mailing=[mailing(1)])), "campaign_ranking")
+    assert df.columns == ["rank", "subject", "engagement_score", "performance_tier", "open_rate", "click_rate",
+                          "delivery_rate", "reply_rate", "bounce_rate", "sent_date"]
