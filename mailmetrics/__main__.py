@@ -15,7 +15,7 @@ import argparse
 
 from pyspark.sql import SparkSession
 
-from .plans.catalog import REPORTS, build_report
+from .plans.catalog import REPORTS, USES_ROLLUP, build_report
 from .operators.rollups import trace_rollup
 from .sources.tables import Sources
 
@@ -30,7 +30,7 @@ def parse_args(argv=None) -> argparse.Namespace:
     p.add_argument("--format", default="parquet")
     p.add_argument("--mode", default="overwrite")
     p.add_argument("--no-ids", action="store_true",
-                   help="leave out the row-number ids of R5, R13 and R15 (no checkpoint)")
+                   help="leave out the row-number ids of R5, R13 and R15")
     return p.parse_args(argv)
 
 
@@ -45,8 +45,14 @@ def main(argv=None, spark: SparkSession | None = None) -> list[str]:
     spark = spark or SparkSession.builder.appName("mailmetrics").getOrCreate()
     src = (Sources.from_parquet(spark, args.sources) if args.sources
            else Sources.from_catalog(spark, args.catalog))
-    rollup = trace_rollup(src.mailing_trace)
     written = []
+    # One click/cancel rollup serves seven reports: written once beside the
+    # reports when more than one of them is asked for.
+    rollup = None
+    if len(USES_ROLLUP.intersection(names)) > 1:
+        path = f"{args.out.rstrip('/')}/_trace_rollup"
+        trace_rollup(src.mailing_trace).write.mode("overwrite").parquet(path)
+        rollup = spark.read.parquet(path)
     for name in names:
         df = build_report(name, src, rollup=rollup, as_of=args.as_of, numbered=not args.no_ids)
         target = f"{args.out.rstrip('/')}/{name}"

@@ -5,7 +5,6 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Callable
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.tables import Sources
@@ -37,7 +36,7 @@ USES_ROLLUP = {
 }
 
 
-# Reports numbered in parallel (eager checkpoint); ``numbered=False`` skips ids.
+# Reports numbered by buckets; ``numbered=False`` skips ids.
 NUMBERED = {"participant_breakdown", "contact_engagement", "reengagement"}
 
 
@@ -58,20 +57,15 @@ def register_reports(spark: SparkSession, src: Sources, *, prefix: str = "",
                      names: list[str] | None = None) -> dict[str, DataFrame]:
     """(Re)create each report as a temp view ``<prefix><name>``; repeatable.
 
-    Views hold plans, not data: a query on a view re-optimises the report
-    together with the user's own filters and projections.  The reports with
-    parallel numbering (R5, R13, R15) checkpoint their numbered result when
-    the view is created.
+    Views hold plans, not data: every query on a view reads the source tables
+    as they are then (and the clock, unless ``as_of`` is given), and is
+    optimised together with the user's own filters and projections.  Nothing
+    is cached or checkpointed.  (Spark itself remembers the files of a table
+    read by path until ``REFRESH TABLE <view>``; catalog tables need none.)
     """
-    from ..operators.rollups import trace_rollup
-
-    # One click/cancel rollup (one row per mailing) serves seven reports; kept
-    # persisted so querying several views scans the traces once.  A lost
-    # cached block is recomputed from lineage.
-    rollup = trace_rollup(src.mailing_trace).persist(StorageLevel.MEMORY_AND_DISK)
     out = {}
     for name in names or list(REPORTS):
-        df = build_report(name, src, rollup=rollup, as_of=as_of)
+        df = build_report(name, src, as_of=as_of)
         df.createOrReplaceTempView(prefix + name)
         out[name] = df
     return out
