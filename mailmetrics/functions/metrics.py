@@ -1,17 +1,17 @@
 """Column functions shared by the reports: rates, exact means, labels, tiers.
 
 Numeric policy.  The reports publish values rounded to two decimals, half
-away from zero (SQL ``ROUND(numeric, 2)``).  Doubles would make the last digit
-depend on summation order (which differs per partitioning), so every rate,
-mean and score here is computed in integers:
+away from zero (SQL ``ROUND(numeric, 2)``), once.  Doubles would make the last
+digit depend on summation order (which differs per partitioning), so:
 
-* a stored ratio (a percent held as double) becomes integer *micro-units*
-  (1e-6 percent) via ``decimal(18,6)``;
-* a computed percent ``100*n/d`` becomes micro-units by rounded integer
-  division;
-* a mean is ``sum(micro) / count`` rounded to hundredths by integer division.
+* a stored ratio (a percent held as double) is rounded from its decimal value
+  in one step;
+* means sum exact decimals of 13 places (a stored ratio of 15 significant
+  digits fits; a computed percent ``100*n/d`` is divided to 13 places) and
+  are rounded by integer division of the exact sum by the count;
+* counts give percents by rounded integer division.
 
-Sums of integers are associative, so the result does not depend on how
+Sums of decimals are associative, so the result does not depend on how
 Spark splits the partial aggregates.  All of it stays inside whole-stage
 codegen (``div`` is the SQL integral division).
 """
@@ -23,7 +23,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-MICRO = 1_000_000  # micro-units per percent point
+# Exact percents: up to 7 digits before and 13 after the point.
+EXACT = "DECIMAL(20,13)"
 
 # Every helper takes column names / SQL expressions (str) or Columns.  With
 # str inputs the whole formula is built as one SQL expression (one
@@ -55,28 +56,28 @@ def hundredths_to_double_sql(h: str) -> str:
     return f"(CAST({h} AS DOUBLE) / 100.0D)"
 
 
-def ratio_micro_sql(ratio: str) -> str:
-    return f"CAST(CAST(coalesce({ratio}, 0D) AS DECIMAL(18,6)) * {MICRO} AS BIGINT)"
+def ratio_exact_sql(ratio: str) -> str:
+    return f"CAST(coalesce({ratio}, 0D) AS {EXACT})"
 
 
 def ratio2_sql(ratio: str) -> str:
-    return f"CAST(round(CAST(coalesce({ratio}, 0D) AS DECIMAL(18,6)), 2) AS DOUBLE)"
+    return f"CAST(CAST(coalesce({ratio}, 0D) AS DECIMAL(18,2)) AS DOUBLE)"
 
 
 def pct_sql(n: str, d: str) -> str:
     return hundredths_to_double_sql(round_div_sql(f"({n}) * 10000", d))
 
 
-def pct_micro_sql(n: str, d: str) -> str:
-    return round_div_sql(f"({n}) * {100 * MICRO}", d)
+def pct_exact_sql(n: str, d: str) -> str:
+    return f"CAST(CAST(({n}) * 100 AS DECIMAL(20,0)) / nullif(CAST({d} AS DECIMAL(19,0)), 0) AS {EXACT})"
 
 
-def mean2_sql(micro: str) -> str:
-    return hundredths_to_double_sql(round_div_sql(f"sum({micro})", f"count({micro}) * {MICRO // 100}"))
+def mean2_sql(value: str) -> str:
+    return hundredths_to_double_sql(round_div_sql(f"(sum({value}) * 100)", f"count({value})"))
 
 
-def exact_mean_sql(micro: str) -> str:
-    return f"(CAST(sum({micro}) AS DECIMAL(38,0)) / CAST(count({micro}) AS DECIMAL(38,0)))"
+def exact_mean_sql(value: str) -> str:
+    return f"(sum({value}) / CAST(count({value}) AS DECIMAL(20,0)))"
 
 
 def to_hundredths_sql(value: str) -> str:
@@ -109,19 +110,22 @@ def hundredths_to_double(h) -> Column:
     return h.cast("double") / F.lit(100.0)
 
 
-def ratio_micro(ratio) -> Column:
-    """A stored percent (double, null as 0) as integer micro-units."""
-    if isinstance(ratio, str):
-        return F.expr(ratio_micro_sql(ratio))
-    d6 = F.coalesce(ratio, F.lit(0.0)).cast("decimal(18,6)")
-    return (d6 * F.lit(MICRO)).cast("bigint")
+def _sql_only(*xs) -> None:
+    if not _all_sql(*xs):
+        raise TypeError("column names or SQL expressions are expected")
+
+
+def ratio_exact(ratio: str) -> Column:
+    """A stored percent (double, null as 0) as an exact decimal."""
+    _sql_only(ratio)
+    return F.expr(ratio_exact_sql(ratio))
 
 
 def ratio2(ratio) -> Column:
-    """A stored percent, null as 0, rounded to 2 decimals."""
+    """A stored percent, null as 0, rounded once to 2 decimals, half away from zero."""
     if isinstance(ratio, str):
         return F.expr(ratio2_sql(ratio))
-    return F.round(F.coalesce(ratio, F.lit(0.0)).cast("decimal(18,6)"), 2).cast("double")
+    return F.coalesce(ratio, F.lit(0.0)).cast("decimal(18,2)").cast("double")
 
 
 def pct(n, d) -> Column:
@@ -131,29 +135,25 @@ def pct(n, d) -> Column:
     return hundredths_to_double(round_div(_c(n) * 10000, _c(d)))
 
 
-def pct_micro(n, d) -> Column:
-    """``100 * n / d`` in micro-units (1e-6 percent); null when ``d`` is 0 or null."""
-    if _all_sql(n, d):
-        return F.expr(pct_micro_sql(n, d))
-    return round_div(_c(n) * (100 * MICRO), _c(d))
+def pct_exact(n: str, d: str) -> Column:
+    """``100 * n / d`` to 13 decimals; null when ``d`` is 0 or null."""
+    _sql_only(n, d)
+    return F.expr(pct_exact_sql(n, d))
 
 
-def mean2(micro) -> Column:
-    """Aggregate: mean of non-null micro-unit values, rounded to 2 decimals.
+def mean2(value: str) -> Column:
+    """Aggregate: mean of non-null exact decimals, rounded once to 2 decimals.
 
     Null when there is no non-null value (``AVG`` semantics).
     """
-    if isinstance(micro, str):
-        return F.expr(mean2_sql(micro))
-    m = micro
-    return hundredths_to_double(round_div(F.sum(m), F.count(m) * (MICRO // 100)))
+    _sql_only(value)
+    return F.expr(mean2_sql(value))
 
 
-def exact_mean(micro) -> Column:
-    """Aggregate: the unrounded mean of micro-units as a decimal (for ordering)."""
-    if isinstance(micro, str):
-        return F.expr(exact_mean_sql(micro))
-    return F.sum(micro).cast("decimal(38,0)") / F.count(micro).cast("decimal(38,0)")
+def exact_mean(value: str) -> Column:
+    """Aggregate: the mean of exact decimals as a decimal (for ordering)."""
+    _sql_only(value)
+    return F.expr(exact_mean_sql(value))
 
 
 def mean2_of_hundredths(value) -> Column:
@@ -164,13 +164,6 @@ def mean2_of_hundredths(value) -> Column:
     return hundredths_to_double(round_div(F.sum(h), F.count(h)))
 
 
-def to_hundredths(value) -> Column:
-    """A 2-decimal double as exact integer hundredths."""
-    if isinstance(value, str):
-        return F.expr(to_hundredths_sql(value))
-    return (value.cast("decimal(18,2)") * F.lit(100)).cast("bigint")
-
-
 def tier(value: Column, bands: Sequence[tuple[object, str]], otherwise: str) -> Column:
     """First label whose lower bound ``value >= bound`` holds, else ``otherwise``."""
     expr = None

@@ -5,10 +5,8 @@ partition.  That is fine for results bounded by a small domain (months, hours,
 trigger types) and is what ``small_row_number`` does.  Reports with one row
 per e-mail address or per day-and-campaign grow with the data, so they get:
 
-* ``sequence_ids``: range-partition by the order, sort inside partitions,
-  checkpoint (range bounds are sampled, so the layout must be frozen before
-  it is counted), count rows per partition (one number per partition reaches
-  the driver), and add the partition's offset to the row's position.
+* ``bucketed_row_number``: count rows per order-preserving bucket, add up
+  the counts into offsets, number rows inside their bucket.  All lazy.
 * ``histogram_rank``: SQL ``RANK()`` on a column with few distinct values
   (a 2-decimal score): count rows per value, running sum over that small
   table, join back.
@@ -21,54 +19,43 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import ensure_checkpoint_dir
-
-_POS_BITS = 33  # monotonically_increasing_id = partition << 33 | position
-
 
 def small_row_number(df: DataFrame, order: Sequence[Column], name: str = "id") -> DataFrame:
     """``ROW_NUMBER() OVER (ORDER BY order)`` for results of bounded size."""
     return df.withColumn(name, F.row_number().over(Window.orderBy(*order)).cast("bigint"))
 
 
-def sequence_ids(
+def bucketed_row_number(
     df: DataFrame,
     order: Sequence[Column],
+    coarse: Column,
+    fine: Column | None = None,
     name: str = "id",
-    num_partitions: int | None = None,
 ) -> DataFrame:
-    """``ROW_NUMBER() OVER (ORDER BY order)`` computed in parallel.
-
-    ``order`` must be a total order (add a unique tie-breaker); the new
-    column is a bigint starting at 1 and comes first.
+    """``ROW_NUMBER() OVER (ORDER BY order)`` without sorting all rows in one task.
+
+    ``coarse`` and, inside it, ``fine`` are non-null bucket keys that ascend
+    with ``order``.  The running offset over ``coarse`` is the only global
+    step, one row per value (a score, a day, a campaign); inside each, ``fine``
+    buckets are offset and rows are numbered per (coarse, fine).  A bucket may
+    hold any number of rows: it is sorted with spilling, nothing is dropped.
+    The new bigint column starts at 1 and comes first.
     """
-    spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(n, *order).sortWithinPartitions(*order).checkpoint(eager=True)
-
-    counts = dict(
-        ranged.groupBy(F.spark_partition_id().alias("pid")).count().collect()
-    )  # at most one row per partition
-    offsets, running = [], 0
-    for pid in range(max(counts, default=-1) + 1):
-        offsets.append((pid, running))
-        running += counts.get(pid, 0)
-    if not offsets:
-        return ranged.select(F.lit(None).cast("bigint").alias(name), *df.columns)
-
-    # One (partition, offset) row per partition: a size bounded by the
-    # partition count, so it is broadcast; the numbered side keeps its
-    # partitions (no shuffle), which the positions below rely on.
-    offs = spark.createDataFrame(offsets, "_pid int, _offset bigint")
-    mid = F.monotonically_increasing_id()
-    located = ranged.select(
-        *df.columns,
-        F.spark_partition_id().alias("_pid"),
-        mid.bitwiseAND((1 << _POS_BITS) - 1).alias("_pos"),
+    fine = F.lit("") if fine is None else fine
+    b = df.withColumns({"_coarse": coarse, "_fine": fine})
+    counts = b.groupBy("_coarse", "_fine").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.groupBy(F.col("_coarse").alias("_c")).agg(F.sum("_n").alias("_m"))
+    starts = starts.select("_c", F.coalesce(F.sum("_m").over(before), F.lit(0)).alias("_start"))
+    inside = Window.partitionBy("_coarse").orderBy("_fine").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.withColumn("_inside", F.coalesce(F.sum("_n").over(inside), F.lit(0)))
+    offsets = offsets.join(starts, offsets["_coarse"] == starts["_c"]).select(
+        F.col("_coarse").alias("_oc"), F.col("_fine").alias("_of"), (F.col("_start") + F.col("_inside")).alias("_offset")
     )
-    j = located.join(F.broadcast(offs), "_pid")
-    return j.select((F.col("_offset") + F.col("_pos") + 1).alias(name), *df.columns)
+    place = F.row_number().over(Window.partitionBy("_coarse", "_fine").orderBy(*order))
+    rows = b.withColumn("_place", place)
+    j = rows.join(offsets, (rows["_coarse"] == offsets["_oc"]) & (rows["_fine"] == offsets["_of"]))
+    return j.select((F.col("_offset") + F.col("_place")).cast("bigint").alias(name), *df.columns)
 
 
 def histogram_rank(df: DataFrame, value: str, name: str = "rank", descending: bool = True) -> DataFrame:

@@ -4,12 +4,11 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.metrics import hundredths_to_double, pct, round_div, tier
-from ..operators.ranking import sequence_ids
-from ..session import ensure_checkpoint_dir
+from ..operators.ranking import bucketed_row_number
 from ..operators.rollups import email_mailing_ids
 from ..sources.tables import Sources
 
@@ -22,6 +21,8 @@ ENGAGEMENT_DEFAULT_TIER = "Cold"
 HEALTH_BOUNCE_WEIGHT = 20
 HEALTH_BADGES = ((85, "Healthy"), (60, "Average"))
 HEALTH_DEFAULT_BADGE = "Needs Cleaning"
+PREFIX = 6   # characters of an address that make a numbering bucket
+SALTS = 64   # parts of an address's missed mailings
 REENGAGEMENT_DAYS = ((90, "Lost"), (60, "Dormant"), (30, "At Risk"))
 
 
@@ -38,19 +39,23 @@ def contact_engagement(src: Sources, numbered: bool = True, *,
     """Per e-mail address over e-mail traces: counts by current status and a score.
 
     score = clamp(0..100, 0.5 * open% + 0.4 * click% - 10 if ever bounced),
-    rounded to 2 decimals; computed in integers from the counts.  The
-    aggregate is partial per task, so a very hot address is pre-reduced
-    before its shuffle.  Ids: score descending, then address.
+    rounded to 2 decimals; computed in integers from the counts.  Traces are
+    counted per (address, mailing) before the mailing join, so neither a hot
+    address nor a hot mailing is shuffled as raw rows, and both are spread
+    over the pairs.  Ids: score descending, then address.
     """
     t = _addressed(src.mailing_trace).where(F.col("mass_mailing_id").isNotNull())
-    ids = email_mailing_ids(src.mailing_mailing)
-    t = t.join(ids, t["mass_mailing_id"] == ids["_mailing_id"], "left_semi")
     st = F.col("trace_status")
-    per = t.groupBy("email").agg(
-        F.count(F.lit(1)).alias("total_received"),
-        F.count_if(st == "open").alias("total_opened"),
-        F.count_if(st == "click").alias("total_clicked"),
-        F.count_if(st == "bounce").alias("total_bounced"),
+    pairs = t.groupBy("email", "mass_mailing_id").agg(
+        F.count(F.lit(1)).alias("_received"),
+        F.count_if(st == "open").alias("_opened"),
+        F.count_if(st == "click").alias("_clicked"),
+        F.count_if(st == "bounce").alias("_bounced"),
+    )
+    ids = email_mailing_ids(src.mailing_mailing)
+    pairs = pairs.join(ids, pairs["mass_mailing_id"] == ids["_mailing_id"], "left_semi")
+    per = pairs.groupBy("email").agg(
+        *[F.sum(f"_{c}").alias(f"total_{c}") for c in ("received", "opened", "clicked", "bounced")]
     )
     # score x n in percent points, clamped to 0..100 x n, then rounded / n
     raw = (f"total_opened * ({open_weight}) + total_clicked * ({click_weight})"
@@ -72,9 +77,8 @@ def contact_engagement(src: Sources, numbered: bool = True, *,
     )
     if not numbered:
         return scored
-    return sequence_ids(
-        scored, [F.col("engagement_score").desc_nulls_first(), F.col("email").asc_nulls_last()]
-    )
+    order = [F.col("engagement_score").desc_nulls_first(), F.col("email").asc_nulls_last()]
+    return bucketed_row_number(scored, order, -F.col("engagement_score"), _prefix())
 
 
 def list_health(src: Sources, *, bounce_weight: int = HEALTH_BOUNCE_WEIGHT,
@@ -134,103 +138,62 @@ def list_health(src: Sources, *, bounce_weight: int = HEALTH_BOUNCE_WEIGHT,
     )
 
 
-def _pair_aggregates(t: DataFrame, keys: list[str]) -> DataFrame:
-    opened = F.col("open_datetime")
-    return t.groupBy(*keys).agg(
-        F.max(opened).alias("_pair_last_open"),
-        F.count_if(opened.isNull()).alias("_unopened"),
-        F.max(F.when(opened.isNull(), F.col("sent_datetime"))).alias("_unopened_last_sent"),
-    )
-
-
-def _missed(last: Column) -> Column:
-    return (
-        F.col("mass_mailing_id").isNotNull()
-        & (F.col("_unopened") > 0)
-        & (last.isNull() | (F.col("_unopened_last_sent") > last))
-    )
+def _prefix() -> Column:
+    """A bucket of addresses that follows their order."""
+    return F.substring("email", 1, PREFIX)
 
 
 def _missed_per_address(src: Sources) -> DataFrame:
-    """(address, last open, mailings missed since): pairs + window by address."""
-    pairs = _pair_aggregates(_addressed(src.mailing_trace), ["email", "mass_mailing_id"])
-    # Narrow rows for the shuffle by address: the pair's own test as a flag.
-    pairs = pairs.select(
-        "email", "_pair_last_open", "_unopened_last_sent",
-        (F.col("mass_mailing_id").isNotNull() & (F.col("_unopened") > 0)).alias("_candidate"),
-    )
-    last = F.max("_pair_last_open").over(Window.partitionBy("email"))
-    pairs = pairs.withColumn("_last", last)
-    missed = F.col("_candidate") & (F.col("_last").isNull() | (F.col("_unopened_last_sent") > F.col("_last")))
-    return pairs.groupBy("email").agg(
-        F.max("_last").alias("last_opened"),
-        F.count_if(missed).alias("campaigns_since_last_open"),
-    )
-
-
-def _missed_per_address_split(src: Sources) -> DataFrame:
-    """Same result with no address-sized group in one task (opt-in).
+    """(address, last open, mailings missed since).
 
-    Traces are hash-partitioned by (address, salt), the salt a hash of the
-    mailing, so one address is spread over all partitions.  The pair table is
-    checkpointed (eager) because it is read twice: per (address, salt) for
-    the latest open -- an address's last open is then a window over at most
-    one row per partition -- and joined back on (address, salt), which is its
-    own partitioning.  Costs one more write than the default plan.
+    Two narrow scans: the last open per address (a plain maximum, combined
+    map-side) and the unopened traces per (address, mailing) with the last
+    send.  Their join on the address is followed by an exchange on (address,
+    mailing hash) of its own, so a hot address can be split in the join and
+    its count is a sum of partial counts.
     """
-    spark = src.mailing_trace.sparkSession
-    ensure_checkpoint_dir(spark)
-    salts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    t = _addressed(src.mailing_trace).select(
-        "email", "mass_mailing_id", "sent_datetime", "open_datetime",
-        F.pmod(F.xxhash64("mass_mailing_id"), F.lit(salts)).alias("_salt"),
-    ).repartition("email", "_salt")
-    pairs = _pair_aggregates(t, ["email", "_salt", "mass_mailing_id"]).checkpoint(eager=True)
-    lasts = (
-        pairs.groupBy("email", "_salt").agg(F.max("_pair_last_open").alias("_salt_last"))
-        .select("email", "_salt", F.max("_salt_last").over(Window.partitionBy("email")).alias("_last"))
-    )
-    j = pairs.join(lasts, ["email", "_salt"])
-    return j.groupBy("email").agg(
-        F.max("_last").alias("last_opened"),
-        F.count_if(_missed(F.col("_last"))).alias("campaigns_since_last_open"),
+    t = _addressed(src.mailing_trace)
+    last = t.groupBy("email").agg(F.max("open_datetime").alias("last_opened"))
+    pairs = t.where(F.col("open_datetime").isNull() & F.col("mass_mailing_id").isNotNull()).groupBy(
+        "email", "mass_mailing_id"
+    ).agg(F.max("sent_datetime").alias("_sent"))
+    lo = last.select(F.col("email").alias("_email"), F.col("last_opened").alias("_last"))
+    missed = pairs.join(lo, pairs["email"] == lo["_email"]).where(
+        F.col("_last").isNull() | (F.col("_sent") > F.col("_last"))
+    ).select("email", F.pmod(F.xxhash64("mass_mailing_id"), F.lit(SALTS)).alias("_salt"))
+    missed = missed.repartition("email", "_salt").groupBy("email", "_salt").agg(F.count(F.lit(1)).alias("_n"))
+    missed = missed.groupBy("email").agg(F.sum("_n").alias("_n"))
+    n = missed.select(F.col("email").alias("_email"), "_n")
+    return last.join(n, last["email"] == n["_email"], "left").select(
+        "email", "last_opened", F.coalesce("_n", F.lit(0)).alias("campaigns_since_last_open")
     )
 
 
-def _ts_literal(as_of: dt.datetime | str | None) -> Column:
+def _clock(as_of: dt.datetime | str | None) -> Column:
+    """The report's clock as a UTC wall-clock time; by default the time of each read.
+
+    A time-zone-aware datetime is converted to UTC first.
+    """
     if as_of is None:
-        as_of = dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
+        return F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()).cast("timestamp_ntz")
     if isinstance(as_of, dt.datetime):
+        if as_of.tzinfo is not None:
+            as_of = as_of.astimezone(dt.timezone.utc)
         as_of = as_of.strftime("%Y-%m-%d %H:%M:%S.%f")
     return F.lit(as_of).cast("timestamp_ntz")
 
 
 def reengagement(src: Sources, as_of: dt.datetime | str | None = None,
-                 numbered: bool = True, *, thresholds=REENGAGEMENT_DAYS,
-                 split_hot_addresses: bool = False) -> DataFrame:
+                 numbered: bool = True, *, thresholds=REENGAGEMENT_DAYS) -> DataFrame:
     """Addresses whose last open is missing or more than 30 days before ``as_of``.
 
     ``campaigns_since_last_open`` counts distinct mailings with an unopened
     trace sent after the last open (any unopened trace if never opened).
     ``thresholds`` are (days, status) from the longest to the shortest; the
-    shortest is the cut-off of the report.  ``split_hot_addresses`` selects
-    the salted plan of ``_missed_per_address_split`` (for data where one
-    address received a huge number of distinct mailings).
-
-    Plan: traces are pre-aggregated per (address, mailing) -- map-side, and
-    shuffled on both keys, so a hot address is spread over its mailings and
-    repeated traces of a pair collapse -- then the address-level last open
-    is a window over those pairs and one more aggregate on the same
-    partitioning yields the count.  No self-join, one trace scan, two
-    shuffles.  The window holds one row per mailing the address received,
-    so its largest group is bounded by the mailing dimension, not by the
-    trace fact.  The opt-in split plan removes that bound at the cost of a
-    checkpoint of the pair table (without it Spark would scan and shuffle
-    the traces twice, as the two uses prune to different columns).
+    shortest is the cut-off of the report.
     """
-    now = _ts_literal(as_of)
-    per = (_missed_per_address_split(src) if split_hot_addresses
-           else _missed_per_address(src))
+    now = _clock(as_of)
+    per = _missed_per_address(src)
     lo = F.col("last_opened")
 
     def older_than(days: int) -> Column:
@@ -250,4 +213,6 @@ def reengagement(src: Sources, as_of: dt.datetime | str | None = None,
     )
     if not numbered:
         return out
-    return sequence_ids(out, [lo.asc_nulls_first(), F.col("email").asc_nulls_last()])
+    day = F.coalesce(F.unix_date(F.to_date(lo)), F.lit(-(2**31)))  # never opened: first
+    return bucketed_row_number(out, [lo.asc_nulls_first(), F.col("email").asc_nulls_last()], day,
+                               F.coalesce(F.date_format(lo, "HHmmss"), _prefix()))

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.metrics import mean2, ratio_micro_sql
-from ..operators.ranking import sequence_ids
+from ..functions.metrics import mean2, ratio_exact_sql
+from ..operators.ranking import bucketed_row_number
 from ..operators.rollups import participant_rollup
 from ..sources.tables import Sources
 
@@ -37,7 +37,7 @@ def automation_overview(src: Sources) -> DataFrame:
     aj = acts.join(mm, acts["mass_mailing_id"] == mm["_mid"], "left")
     act_stats = aj.groupBy("campaign_id").agg(
         F.count(F.lit(1)).alias("email_cnt"),
-        *[mean2(f"CASE WHEN _mid IS NOT NULL THEN {ratio_micro_sql(r)} END").alias(out)
+        *[mean2(f"CASE WHEN _mid IS NOT NULL THEN {ratio_exact_sql(r)} END").alias(out)
           for r, out in _RATIOS],
     )
 
@@ -94,8 +94,8 @@ def participant_breakdown(src: Sources, numbered: bool = True) -> DataFrame:
 
     The day is returned as a midnight timestamp.  Ids follow the group keys
     ascending with nulls last; the result grows with campaigns x days, so
-    the numbering is the parallel one (eager: it checkpoints the grouped
-    result).  ``numbered=False`` leaves out ``id`` and stays lazy.
+    rows are numbered within their campaign and campaigns are offset.
+    ``numbered=False`` leaves out ``id``.
     """
     day = F.to_date("create_date")
     g = src.marketing_participant.groupBy(
@@ -109,4 +109,5 @@ def participant_breakdown(src: Sources, numbered: bool = True) -> DataFrame:
     if not numbered:
         return g
     order = [F.col(c).asc_nulls_last() for c in ("campaign_id", "state", "is_test", "create_date")]
-    return sequence_ids(g, order)
+    campaign = F.coalesce(F.col("campaign_id"), F.lit(2**63 - 1))  # nulls last
+    return bucketed_row_number(g, order, campaign)

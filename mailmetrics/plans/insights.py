@@ -13,10 +13,10 @@ from ..functions.metrics import (
     mean2,
     month_label_of,
     pct,
-    pct_micro_sql,
+    pct_exact_sql,
     ratio2,
-    ratio_micro,
-    ratio_micro_sql,
+    ratio_exact,
+    ratio_exact_sql,
     round_div,
     tier,
     weekday_name,
@@ -67,10 +67,10 @@ def monthly_trend(src: Sources, rollup: DataFrame | None = None) -> DataFrame:
         F.coalesce(F.sum("opened"), F.lit(0)).alias("total_opened"),
         F.coalesce(F.sum("clicked"), F.lit(0)).alias("total_clicked"),
         F.coalesce(F.sum("bounced"), F.lit(0)).alias("total_bounced"),
-        mean2(ratio_micro_sql("opened_ratio")).alias("open_rate"),
-        mean2(pct_micro_sql("clicked", "sent")).alias("click_rate"),
-        mean2(ratio_micro_sql("bounced_ratio")).alias("bounce_rate"),
-        mean2(ratio_micro_sql("received_ratio")).alias("delivery_rate"),
+        mean2(ratio_exact_sql("opened_ratio")).alias("open_rate"),
+        mean2(pct_exact_sql("clicked", "sent")).alias("click_rate"),
+        mean2(ratio_exact_sql("bounced_ratio")).alias("bounce_rate"),
+        mean2(ratio_exact_sql("received_ratio")).alias("delivery_rate"),
     )
     g = small_row_number(g, [F.col("year").desc_nulls_first(), F.col("month").desc_nulls_first()])
     return g.select(
@@ -90,9 +90,9 @@ def campaign_ranking(src: Sources, rollup: DataFrame | None = None, *,
     tenths per stored ratio; ``tiers`` are (lower bound, label), highest first.
     """
     m = _sent_email_mailings(src, rollup, require_sent_date=False)
-    weighted = " + ".join(f"{ratio_micro_sql(col)} * ({w})" for col, w in weights.items())
-    # micro-units * tenths -> hundredths of a point: divide by 10 * 10_000
-    score_h = round_div(f"({weighted})", str(RANKING_WEIGHT_SCALE * 10_000))
+    weighted = " + ".join(f"{ratio_exact_sql(col)} * ({w})" for col, w in weights.items())
+    # percents * tenths -> hundredths of a point, rounded once
+    score_h = round_div(f"(({weighted}) * 100)", str(RANKING_WEIGHT_SCALE))
     scored = m.select(
         F.col("id"),
         F.col("subject"),
@@ -122,26 +122,26 @@ def failure_breakdown(src: Sources) -> DataFrame:
     """E-mail failures per (failure type, month of send): count, share, mailings hit.
 
     The share's denominator is every non-empty failure of any mailing type,
-    orphans included.  One pass: traces are tagged e-mail / other by a left
-    semi-style join, grouped with the tag, and the grand total is a window
-    sum over the (small) grouped table -- no cross join, one trace scan.
+    orphans included.  Failing traces are counted per (type, month, mailing)
+    first, so the fact is shuffled as partial counts only; that table is
+    tagged e-mail / other by its mailing and summed, a mailing being one row
+    of it.  The grand total is a window sum over the (small) grouped table.
     """
     t = src.mailing_trace.where(F.col("failure_type").isNotNull() & (F.col("failure_type") != ""))
-    ids = email_mailing_ids(src.mailing_mailing)
-    tagged = t.join(ids, t["mass_mailing_id"] == ids["_mailing_id"], "left").select(
-        "failure_type", "sent_datetime", "mass_mailing_id",
-        F.col("_mailing_id").isNotNull().alias("_is_mail"),
-    )
     sd = F.col("sent_datetime")
-    g = tagged.groupBy(
+    per = t.groupBy(
         "failure_type",
         F.year(sd).cast("int").alias("year"),
         F.month(sd).cast("int").alias("month"),
-        "_is_mail",
-    ).agg(
-        F.count(F.lit(1)).alias("failure_count"),
-        # only e-mail groups are reported; other rows add nothing to the distinct set
-        F.count_distinct(F.when(F.col("_is_mail"), F.col("mass_mailing_id"))).alias("affected_campaigns"),
+        "mass_mailing_id",
+    ).agg(F.count(F.lit(1)).alias("_n"))
+    ids = email_mailing_ids(src.mailing_mailing)
+    tagged = per.join(ids, per["mass_mailing_id"] == ids["_mailing_id"], "left").withColumn(
+        "_is_mail", F.col("_mailing_id").isNotNull()
+    )
+    g = tagged.groupBy("failure_type", "year", "month", "_is_mail").agg(
+        F.sum("_n").alias("failure_count"),
+        F.count("_mailing_id").alias("affected_campaigns"),
     )
     g = g.withColumn("_total", F.sum("failure_count").over(Window.partitionBy()))
     g = g.where(F.col("_is_mail")).withColumn("pct_of_total", pct("failure_count", "_total"))
@@ -178,8 +178,8 @@ def send_time_analysis(src: Sources, rollup: DataFrame | None = None, *,
     )
     e = m.select(
         F.explode(slots).alias("slot"),
-        ratio_micro("opened_ratio").alias("_open"),
-        F.expr(f"coalesce({pct_micro_sql('clicked', 'sent')}, 0)").alias("_click"),
+        ratio_exact("opened_ratio").alias("_open"),
+        F.expr(f"coalesce({pct_exact_sql('clicked', 'sent')}, 0)").alias("_click"),
     )
     g = e.groupBy("slot.slot_type", "slot.slot_label", "slot.slot_value").agg(
         F.count(F.lit(1)).alias("campaigns_sent"),
@@ -260,10 +260,10 @@ def trigger_effectiveness(src: Sources, rollup: DataFrame | None = None) -> Data
     g = j.groupBy("trigger_type").agg(
         F.count("id").alias("activities_count"),
         F.coalesce(F.sum("_sent"), F.lit(0)).alias("total_sent"),
-        mean2(ratio_micro_sql("opened_ratio")).alias("avg_open_rate"),
-        mean2(pct_micro_sql("coalesce(clicked, 0)", "_sent")).alias("avg_click_rate"),
-        mean2(ratio_micro_sql("bounced_ratio")).alias("avg_bounce_rate"),
-        exact_mean(ratio_micro_sql("opened_ratio")).alias("_open_exact"),
+        mean2(ratio_exact_sql("opened_ratio")).alias("avg_open_rate"),
+        mean2(pct_exact_sql("coalesce(clicked, 0)", "_sent")).alias("avg_click_rate"),
+        mean2(ratio_exact_sql("bounced_ratio")).alias("avg_bounce_rate"),
+        exact_mean(ratio_exact_sql("opened_ratio")).alias("_open_exact"),
     )
     g = small_row_number(
         g, [F.col("_open_exact").desc_nulls_first(), F.col("trigger_type").asc_nulls_last()]

@@ -1,6 +1,6 @@
 """Layer 2: edge tables by hand; expected values worked out from the report rules."""
 
-from mailmetrics.plans import audience, automation, insights, mailing as mailing_reports
+from mailmetrics.plans import audience, automation, insights, mailing as mailing_reports, slices
 
 from helpers import mailing, rows_by, sources, trace, ts
 
@@ -242,7 +242,7 @@ def test_parameters_change_tiers_and_thresholds(spark):
     assert [(r["reengagement_status"], r["days_since_last_open"]) for r in got] == [("Quiet", 12)]
 
 
-def test_split_hot_addresses_same_edges(spark):
+def test_missed_mailings_edges(spark):
     traces = [trace(1, 1, "open", email="o@x", open_datetime=ts("2024-01-01 00:00:00")),
               trace(2, 2, "sent", email="o@x", sent_datetime=ts("2024-02-01 00:00:00")),
               trace(3, 3, "outgoing", email="o@x", sent_datetime=None),
@@ -250,6 +250,32 @@ def test_split_hot_addresses_same_edges(spark):
               trace(6, 3, "outgoing", email="n@x", sent_datetime=None),
               trace(7, None, "sent", email="n@x")]
     src = sources(spark, mailing_trace=traces)
-    a = sorted(map(tuple, audience.reengagement(src, as_of=AS_OF).collect()))
-    b = sorted(map(tuple, audience.reengagement(src, as_of=AS_OF, split_hot_addresses=True).collect()))
-    assert a == b and len(a) == 2
+    got = {r["email"]: r["campaigns_since_last_open"] for r in audience.reengagement(src, as_of=AS_OF).collect()}
+    assert got == {"o@x": 1, "n@x": 3}  # an unsent trace is missed only by an address that never opened
+
+
+def test_highly_engaged_predicate_with_other_tiers(spark):
+    traces = [trace(1, 1, "open", email="o@x"), trace(2, 1, "sent", email="n@x")]
+    src = sources(spark, mailing_mailing=[mailing(1)], mailing_trace=traces)
+    df = audience.contact_engagement(src, tiers=((50, "Highly Engaged"), (20, "Moderate")))
+    got = slices.filter_view(slices.list_view(df, "contact_engagement"), "contact_engagement", "highly_engaged")
+    assert [r["email"] for r in got.collect()] == ["o@x"]
+
+
+def test_as_of_with_a_time_zone(spark):
+    import datetime as dt
+
+    traces = [trace(1, 1, "open", email="a@x", open_datetime=ts("2024-05-01 00:00:00"))]
+    src = sources(spark, mailing_trace=traces)
+    zone = dt.timezone(dt.timedelta(hours=5))
+    early = dt.datetime(2024, 5, 31, 4, 0, tzinfo=zone)   # 2024-05-30 23:00 UTC: 29 days
+    late = dt.datetime(2024, 5, 31, 6, 0, tzinfo=zone)    # 2024-05-31 01:00 UTC: 30 days and an hour
+    assert audience.reengagement(src, as_of=early).count() == 0
+    assert audience.reengagement(src, as_of=late).count() == 1
+
+
+def test_stored_ratio_is_rounded_once(spark):
+    from mailmetrics.plans import mailing as mailing_reports
+
+    src = sources(spark, mailing_mailing=[mailing(1, opened_ratio=100.0 / 20001)])
+    assert mailing_reports.campaign_stats(src).first()["open_rate"] == 0.0

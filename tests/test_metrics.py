@@ -6,7 +6,7 @@ from decimal import ROUND_HALF_UP, Decimal
 import pytest
 from pyspark.sql import functions as F
 
-from mailmetrics.functions.metrics import mean2, pct, pct_micro, ratio2, ratio_micro, round_div
+from mailmetrics.functions.metrics import mean2, pct, pct_exact, pct_exact_sql, ratio2, ratio_exact_sql, round_div
 
 
 def half_up(x: Decimal, places: str = "1") -> Decimal:
@@ -25,7 +25,7 @@ def pairs():
 def test_round_div_and_pct(spark, pairs):
     df = spark.createDataFrame(pairs, "n long, d long")
     got = df.select("n", "d", round_div("n", "d").alias("q"), pct(F.col("n"), F.col("d")).alias("p"),
-                    pct_micro(F.col("n"), F.col("d")).alias("m")).collect()
+                    pct_exact("n", "d").alias("m")).collect()
     for r in got:
         if not r["d"]:
             assert r["q"] is None and r["p"] is None and r["m"] is None
@@ -33,30 +33,44 @@ def test_round_div_and_pct(spark, pairs):
         exact = Decimal(r["n"]) / Decimal(r["d"])
         assert r["q"] == int(half_up(exact))
         assert r["p"] == float(half_up(exact * 100, "0.01"))
-        assert r["m"] == int(half_up(exact * 10**8))
+        assert abs(r["m"] - exact * 100) <= Decimal("1e-13")
 
 
-def test_ratio_rounding(spark):
-    vals = [None, 0.0, 1.005, 2.675, 14.375, 99.999, 33.333333333, 12.3449999]
+def decimal(v) -> Decimal:
+    return Decimal(repr(v if v is not None else 0.0))
+
+
+def test_ratio_is_rounded_once(spark):
+    rnd = random.Random(3)
+    vals = [None, 0.0, 1.005, 2.675, 14.375, 99.999, 33.333333333, 12.3449999, 100.0 / 20001, 0.0049999999, 12.34499999999]
+    vals += [100.0 * rnd.randint(0, n) / n for n in (rnd.randint(1, 10**7) for _ in range(3000))]
     df = spark.createDataFrame([(v,) for v in vals], "r double")
-    got = df.select(ratio2("r").alias("r2"), ratio_micro("r").alias("mu")).collect()
-    for v, row in zip(vals, got):
-        d6 = half_up(Decimal(repr(v if v is not None else 0.0)), "0.000001")
-        assert row["mu"] == int(d6 * 10**6)
-        assert row["r2"] == float(half_up(d6, "0.01"))
+    for v, row in zip(vals, df.select(ratio2("r").alias("a"), ratio2(F.col("r")).alias("b")).collect()):
+        assert row["a"] == row["b"] == float(half_up(decimal(v), "0.01"))
+    assert df.where("r is not null").select(ratio2("r")).collect()[7][0] == 0.0  # 1 of 20,001 is not 0.01
 
 
 def test_mean2_is_exact_and_null_skipping(spark):
     rnd = random.Random(5)
-    groups = {g: [rnd.choice([None] + [rnd.randint(0, 10**8) for _ in range(5)]) for _ in range(rnd.randint(1, 40))]
-              for g in range(50)}
+    groups = {g: [rnd.choice([None, *[100.0 * rnd.randint(0, n) / n for n in (rnd.randint(1, 10**7),) * 5]])
+                  for _ in range(rnd.randint(1, 40))] for g in range(80)}
+    groups[100] = [0.005, 0.005]      # a tie goes away from zero
+    groups[101] = [0.0049999, 0.0050001 - 2e-13]
     rows = [(g, v) for g, vs in groups.items() for v in vs]
-    df = spark.createDataFrame(rows, "g int, v long").repartition(7)
-    got = {r["g"]: r["m"] for r in df.groupBy("g").agg(mean2("v").alias("m")).collect()}
+    df = spark.createDataFrame(rows, "g int, v double").repartition(7)
+    got = {r["g"]: r for r in df.groupBy("g").agg(
+        mean2(f"CASE WHEN v IS NOT NULL THEN {ratio_exact_sql('v')} END").alias("skip"),
+        mean2(ratio_exact_sql("v")).alias("zero")).collect()}
     for g, vs in groups.items():
-        present = [v for v in vs if v is not None]
-        if not present:
-            assert got[g] is None
-        else:
-            exact = Decimal(sum(present)) / Decimal(len(present)) / Decimal(10**6)
-            assert got[g] == float(half_up(exact, "0.01"))
+        present = [half_up(decimal(v), "0.0000000000001") for v in vs if v is not None]
+        assert got[g]["skip"] == (float(half_up(sum(present, Decimal(0)) / len(present), "0.01")) if present else None)
+        assert got[g]["zero"] == float(half_up(sum(present, Decimal(0)) / len(vs), "0.01"))
+
+
+def test_mean_of_quotients(spark):
+    rnd = random.Random(8)
+    rows = [(g, rnd.randint(0, 10**7), rnd.choice([0, None] + [rnd.randint(1, 10**7) for _ in range(5)])) for g in range(40) for _ in range(30)]
+    df = spark.createDataFrame(rows, "g int, n long, d long").repartition(5)
+    for r in df.groupBy("g").agg(mean2(pct_exact_sql("n", "d")).alias("m")).collect():
+        q = [Decimal(100 * n) / Decimal(d) for g, n, d in rows if g == r["g"] and d]
+        assert abs(Decimal(repr(r["m"])) - half_up(sum(q) / len(q), "0.01")) == 0

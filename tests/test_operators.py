@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from mailmetrics.operators.ranking import histogram_rank, sequence_ids, small_row_number
+from mailmetrics.operators.ranking import bucketed_row_number, histogram_rank, small_row_number
 
 
 @pytest.fixture(scope="module")
@@ -19,19 +19,23 @@ def rows():
     return data
 
 
-def test_sequence_ids_equals_row_number(spark, rows):
+@pytest.mark.parametrize("fine", [None, 2, 8])
+def test_bucketed_row_number_equals_row_number(spark, rows, fine):
     df = spark.createDataFrame(rows, "email string, score long, tag string").repartition(5)
     order = [F.col("score").desc_nulls_first(), F.col("email").asc_nulls_last()]
-    got = {r["email"]: r["id"] for r in sequence_ids(df, order, num_partitions=7).collect()}
+    coarse = F.coalesce(-F.col("score"), F.lit(-(10**6)))  # nulls first
+    got = bucketed_row_number(df, order, coarse, None if fine is None else F.substring("email", 1, fine))
+    assert got.columns[0] == "id" and dict(got.dtypes)["id"] == "bigint"
+    got = {r["email"]: r["id"] for r in got.collect()}
     want = {r["email"]: r["rn"] for r in
             df.withColumn("rn", F.row_number().over(Window.orderBy(*order))).collect()}
     assert got == want
     assert sorted(got.values()) == list(range(1, len(rows) + 1))
 
 
-def test_sequence_ids_empty(spark):
+def test_bucketed_row_number_empty(spark):
     df = spark.createDataFrame([], "email string, score long")
-    assert sequence_ids(df, [F.col("email")]).count() == 0
+    assert bucketed_row_number(df, [F.col("email")], F.col("score")).count() == 0
 
 
 def test_histogram_rank_equals_rank(spark, rows):

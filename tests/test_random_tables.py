@@ -99,11 +99,3 @@ def test_random_tables_match_oracle(staged, name):
     src, con = staged
     df = build_report(name, src, as_of=AS_OF)
     assert compare(df, con, report_sql(name, over_fixtures=False)) == []
-
-
-def test_random_tables_split_plan(staged):
-    from mailmetrics.plans.audience import reengagement
-
-    src, con = staged
-    df = reengagement(src, as_of=AS_OF, split_hot_addresses=True)
-    assert compare(df, con, report_sql("reengagement", over_fixtures=False)) == []

@@ -58,9 +58,10 @@ def test_report_under_skew(skewed, name):
     assert compare(df, con, report_sql(name, over_fixtures=False)) == []
 
 
-def test_split_hot_addresses_plan_matches_oracle(skewed):
+def test_hot_address_is_split(skewed):
+    """With joins that shuffle, AQE may split the hot address: an exchange of its own follows the join."""
     from mailmetrics.plans.audience import reengagement
 
-    src, con = skewed
-    df = reengagement(src, as_of=AS_OF, split_hot_addresses=True)
-    assert compare(df, con, report_sql("reengagement", over_fixtures=False)) == []
+    src, _ = skewed
+    text = reengagement(src, as_of=AS_OF, numbered=False)._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in text and "REPARTITION_BY_COL" in text
