@@ -49,7 +49,6 @@ LEN_BITS = 16
 ENTRY = pa.schema([("dk", pa.int64()), ("rk", pa.int32()), ("a", pa.int64()), ("w", pa.int64()), ("run", pa.int64())])
 WINDOW = pa.schema([("dk", pa.int64()), ("rk", pa.int32()), ("run", pa.int64()), ("v", pa.int64()), ("ask", pa.bool_())])
 RESULT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string())])
-KEPT = pa.schema([("doc_id", pa.int64()), ("rk", pa.int32()), ("text", pa.string()), ("n_words", pa.int64()), ("n_removed", pa.int64())])
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -107,19 +106,19 @@ def recurring_runs(docs: DataFrame, n: int = WINDOW_WORDS, k: int = ANCHOR_WORDS
     texts = docs.where("doc_id is not null").select("dk", "rk", "text")
     entries = scratch.stage(texts.mapInArrow(_entries(n, k), "dk long, rk int, a long, w long, run long"), "entries")
     keys = entries.groupBy("a").agg(F.min("dk").alias("d0"), F.max("dk").alias("d1"), F.min("w").alias("lo"), F.max("w").alias("hi"))
-    keys = keys.where("d0 < d1").selectExpr("a", "d0", "lo <> hi as mixed")
+    keys = scratch.stage(keys.where("d0 < d1").selectExpr("a", "d0", "lo <> hi as mixed"), "keys")  # else a hot anchor can't be split below
     hits = entries.join(keys, "a").where("mixed or dk > d0")
     hits = scratch.stage(hits, "hits")
     scratch.free_shuffles()
     scratch.drop("entries")
-    kinds = hits.where("mixed").groupBy("a", "w").agg(F.min("dk").alias("origin"))
+    kinds = scratch.stage(hits.where("mixed").groupBy("a", "w").agg(F.min("dk").alias("origin")), "kinds")
     mixed = scratch.stage(hits.where("mixed").join(kinds, ["a", "w"]), "mixed")
     shown = mixed.where("dk = origin").selectExpr("dk", "rk", "run", "dk > d0 as ask")
     shown = shown.groupBy("dk", "rk").agg(F.collect_list(F.struct("run", "ask")).alias("runs"))
-    windows = texts.join(shown, ["dk", "rk"]).mapInArrow(_windows(n), "dk long, rk int, run long, v long, ask boolean")
+    windows = texts.join(shown.hint("merge"), ["dk", "rk"]).mapInArrow(_windows(n), "dk long, rk int, run long, v long, ask boolean")
     windows = scratch.stage(windows, "windows")
     scratch.free_shuffles()
-    origin = windows.groupBy("v").agg(F.min("dk").alias("origin"))
+    origin = scratch.stage(windows.groupBy("v").agg(F.min("dk").alias("origin"), F.max("dk").alias("d1")).where("origin < d1").select("v", "origin"), "origin")
     single = windows.where("ask").join(origin, "v").where("origin < dk").select("dk", "rk", "run", "origin")
     whole = hits.where("not mixed").selectExpr("dk", "rk", "run", "d0 as origin").unionByName(
         mixed.where("dk > origin").select("dk", "rk", "run", "origin"))
@@ -138,53 +137,69 @@ def passages(runs: list[dict], n: int) -> list[tuple[int, int, int]]:
     return [(f, e + n, o) for f, e, o in found]
 
 
-def _stream(n: int, digests: bool):
+def _shard(ids: pa.Array, texts: pa.Array, runs: pa.Array, n: int):
+    """For each text of a shard: (words, words removed, kept text as bytes, words joined by a space)."""
+    ids = ids.to_pylist()
+    sym, first = word_hashes(*text_bytes(texts))
+    letters = np.unique(sym, return_inverse=True)[1]
+    found: dict[tuple[int, ...], int] = {}
+    for i, own_runs in enumerate(runs.to_pylist()):
+        own = letters[first[i]:first[i + 1]]
+        for s, e, origin in passages(own_runs or [], n):
+            phrase = tuple(own[s:e].tolist())
+            found[phrase] = min(origin, found.get(phrase, origin))
+    automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
+    for phrase, origin in found.items():
+        automaton.add_word(phrase, (len(phrase), origin))
+    if found:
+        automaton.make_automaton()
+    for i, text in enumerate(texts.cast(pa.binary()).to_pylist()):
+        words = (text or b"").split()
+        gone = None
+        if found and ids[i] is not None and len(words) >= n:
+            for at, (size, origin) in automaton.iter(tuple(letters[first[i]:first[i + 1]].tolist())):
+                if origin < ids[i]:
+                    gone = np.zeros(len(words) + 1, np.int64) if gone is None else gone
+                    gone[at + 1 - size] += 1
+                    gone[at + 1] -= 1
+        stay = words if gone is None else list(compress(words, (np.cumsum(gone[:-1]) == 0).tolist()))
+        yield len(words), len(words) - len(stay), b" ".join(stay)
+
+
+def _digest(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, most=SHARD_BYTES):
-            ids = b.column(0).to_pylist()
-            sym, first = word_hashes(*text_bytes(b.column(2)))
-            letters = np.unique(sym, return_inverse=True)[1]
-            found = {}
-            for i, runs in enumerate(b.column(3).to_pylist()):
-                own = letters[first[i]:first[i + 1]]
-                for s, e, origin in passages(runs or [], n):
-                    phrase = tuple(own[s:e].tolist())
-                    found[phrase] = min(origin, found.get(phrase, origin))
-            automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
-            for phrase, origin in found.items():
-                automaton.add_word(phrase, (len(phrase), origin))
-            if found:
-                automaton.make_automaton()
-            counts, removed, kept = [], [], []
-            for i, text in enumerate(b.column(2).cast(pa.binary()).to_pylist()):
-                words = (text or b"").split()
-                gone = None
-                if found and ids[i] is not None and len(words) >= n:
-                    for at, (size, origin) in automaton.iter(tuple(letters[first[i]:first[i + 1]].tolist())):
-                        if origin < ids[i]:
-                            gone = np.zeros(len(words) + 1, np.int64) if gone is None else gone
-                            gone[at + 1 - size] += 1
-                            gone[at + 1] -= 1
-                stay = words if gone is None else list(compress(words, (np.cumsum(gone[:-1]) == 0).tolist()))
-                counts.append(len(words))
-                removed.append(len(words) - len(stay))
-                kept.append((text or b"") if not digests and gone is None else b" ".join(stay))
-            if digests:
-                yield out(RESULT, doc_id=b.column(0), n_words=counts, n_removed=removed,
-                          kept_sha256=[hashlib.sha256(x).hexdigest() for x in kept])
-            else:
-                yield out(KEPT, doc_id=b.column(0), rk=b.column(1), text=[x.decode() for x in kept], n_words=counts, n_removed=removed)
+            got = list(_shard(b.column(0), b.column(1), b.column(2), n))
+            yield out(RESULT, doc_id=b.column(0), n_words=[g[0] for g in got], n_removed=[g[1] for g in got],
+                      kept_sha256=[hashlib.sha256(g[2]).hexdigest() for g in got])
     return run
 
 
-def remove_repeated_passages(docs: DataFrame, n: int = WINDOW_WORDS, k: int = ANCHOR_WORDS, id_col: str = "doc_id",
-                             text_col: str = "text", digests: bool = True) -> DataFrame:
-    """One row per row of ``docs``: counts and the digest of the kept words, or (``digests=False``) the kept text.
+def _rewrite(n: int, id_at: int, text_at: int):
+    """All columns but the last (the runs); texts that lose words are replaced."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, text_at, SHARD_BYTES):
+            texts = b.column(text_at)
+            got = _shard(b.column(id_at).cast(pa.int64()), texts, b.column(b.num_columns - 1), n)
+            new = [x.decode() if gone else old for (_, gone, x), old in zip(got, texts.to_pylist(), strict=True)]
+            cols = [pa.array(new, texts.type) if i == text_at else b.column(i) for i in range(b.num_columns - 1)]
+            yield pa.RecordBatch.from_arrays(cols, names=b.schema.names[:-1])
+    return run
+
 
-    A text that loses nothing is returned unchanged, another as its kept words joined by a space.
-    """
+def remove_repeated_passages(docs: DataFrame, n: int = WINDOW_WORDS, k: int = ANCHOR_WORDS, id_col: str = "doc_id",
+                             text_col: str = "text") -> DataFrame:
+    """One row per row of ``docs``: doc_id, n_words, n_removed and the SHA-256 of the kept words joined by a space."""
     rows = keyed(docs, id_col, text_col)
-    joined = rows.join(recurring_runs(rows, n, k), ["dk", "rk"], "left").select("doc_id", "rk", "text", "runs")
-    kind = "doc_id long, n_words long, n_removed long, kept_sha256 string" if digests else \
-        "doc_id long, rk int, text string, n_words long, n_removed long"
-    return joined.mapInArrow(_stream(n, digests), kind)
+    joined = rows.join(recurring_runs(rows, n, k).hint("merge"), ["dk", "rk"], "left").select("doc_id", "text", "runs")
+    return joined.mapInArrow(_digest(n), "doc_id long, n_words long, n_removed long, kept_sha256 string")
+
+
+def rewrite_documents(docs: DataFrame, n: int = WINDOW_WORDS, k: int = ANCHOR_WORDS, id_col: str = "doc_id",
+                      text_col: str = "text") -> DataFrame:
+    """``docs`` with all its rows and columns; a text that loses words becomes its kept words joined by a space."""
+    names = docs.columns
+    runs = recurring_runs(keyed(docs, id_col, text_col), n, k).select(F.col("dk").alias("_dk"), F.col("rk").alias("_rk"), F.col("runs").alias("_runs"))
+    rows = docs.withColumns({"_dk": F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))), "_rk": F.hash(F.col(text_col).cast("string"))})
+    rows = rows.join(runs.hint("merge"), ["_dk", "_rk"], "left").select(*names, "_runs")
+    return rows.mapInArrow(_rewrite(n, names.index(id_col), names.index(text_col)), docs.schema)
