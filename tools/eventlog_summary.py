@@ -1,7 +1,8 @@
 """Summarise a Spark event log written by ``bench.py`` (BENCH_EVENTLOG_DIR).
 
 For the last timed run of each report: jobs, stages, tasks, bytes read from
-files, shuffle bytes written, and the longest task.  Usage:
+files, shuffle bytes written, the longest task, and the stage whose longest
+task is the most times its median task.  Usage:
     python tools/eventlog_summary.py <event-log-file-or-folder>
 """
 
@@ -10,6 +11,7 @@ from __future__ import annotations
 import io
 import json
 import os
+import statistics
 import sys
 from collections import defaultdict
 
@@ -19,6 +21,7 @@ def main(path: str) -> None:
     job_report: dict[int, str] = {}
     last_run: dict[str, int] = {}
     metrics = defaultdict(lambda: defaultdict(float))
+    task_ms = defaultdict(lambda: defaultdict(list))
     files = [path]
     if os.path.isdir(path):  # rolling event log (eventlog_v2_*): several event files
         files = sorted((os.path.join(path, f) for f in os.listdir(path) if f.startswith("events_")),
@@ -59,12 +62,15 @@ def main(path: str) -> None:
             m["input_bytes"] += tm.get("Input Metrics", {}).get("Bytes Read", 0)
             m["shuffle_write_bytes"] += tm.get("Shuffle Write Metrics", {}).get("Shuffle Bytes Written", 0)
             m["max_task_ms"] = max(m["max_task_ms"], tm.get("Executor Run Time", 0))
-    print("| report | jobs | stages | tasks | input MB | shuffle written MB | longest task ms |")
-    print("|---|---|---|---|---|---|---|")
+            task_ms[desc][ev["Stage ID"]].append(tm.get("Executor Run Time", 0))
+    print("| report | jobs | stages | tasks | input MB | shuffle written MB | longest task ms | most uneven stage: longest / median ms |")
+    print("|---|---|---|---|---|---|---|---|")
     for name, run in last_run.items():
         m = metrics[f"{name}#{run}"]
+        pairs = [(max(x), statistics.median(x)) for x in task_ms[f"{name}#{run}"].values() if len(x) > 1]
+        top, mid = max(pairs, key=lambda p: p[0] / max(p[1], 1), default=(0, 0))
         print(f"| {name} | {int(m['jobs'])} | {int(m['stages'])} | {int(m['tasks'])} | "
-              f"{m['input_bytes'] / 1e6:.2f} | {m['shuffle_write_bytes'] / 1e6:.3f} | {int(m['max_task_ms'])} |")
+              f"{m['input_bytes'] / 1e6:.2f} | {m['shuffle_write_bytes'] / 1e6:.3f} | {int(m['max_task_ms'])} | {top} / {mid:g} |")
 
 
 if __name__ == "__main__":
