@@ -46,6 +46,9 @@ BUCKET = 4096
 QUERY_BLOCK = 4096
 FOCUS = 4
 COORDINATE_FROM = 0.7
+#: Marks no score; its negative is an integer too.
+NONE = -(2**63) + 1
+NO_ID = 2**63 - 1
 
 RESULT = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
 
@@ -77,19 +80,19 @@ class Best:
     """The k best (score, smaller id first) of each query of one size, so far."""
 
     def __init__(self, n: int, k: int, floor: np.ndarray):
-        self.score = np.full((n, k), np.iinfo(np.int64).min)
-        self.id = np.full((n, k), np.iinfo(np.int64).max)
+        self.score = np.full((n, k), NONE)
+        self.id = np.full((n, k), NO_ID)
         self.floor = floor.copy()
 
     def offer(self, rows: np.ndarray, score: np.ndarray, ids: np.ndarray) -> None:
-        """score: (rows, m); ids: (m) or (rows, m); the least integer marks none."""
+        """score: (rows, m), NONE where there is none; ids: (rows, m)."""
         k = self.score.shape[1]
         s = np.concatenate([self.score[rows], score], 1)
-        i = np.concatenate([self.id[rows], np.broadcast_to(ids, score.shape)], 1)
+        i = np.concatenate([self.id[rows], np.where(score == NONE, NO_ID, ids)], 1)
         order = np.lexsort((i, ~s), axis=1)[:, :k]
         self.score[rows], self.id[rows] = np.take_along_axis(s, order, 1), np.take_along_axis(i, order, 1)
         last = self.score[rows][:, -1]
-        self.floor[rows] = np.maximum(self.floor[rows], np.where(last > np.iinfo(np.int64).min, last.astype(float), -np.inf))
+        self.floor[rows] = np.maximum(self.floor[rows], np.where(last > NONE, last.astype(float), -np.inf))
 
 
 def products(q: np.ndarray, v: np.ndarray, qn: np.ndarray, vn: np.ndarray) -> np.ndarray:
@@ -103,8 +106,8 @@ def top(score: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndar
     if score.shape[1] <= 4 * k:
         return score, np.broadcast_to(ids, score.shape)
     least = -np.partition(-score, k - 1, axis=1)[:, k - 1:k]
-    got_s = np.full((len(score), k), np.iinfo(np.int64).min)
-    got_i = np.full((len(score), k), np.iinfo(np.int64).max)
+    got_s = np.full((len(score), k), NONE)
+    got_i = np.full((len(score), k), NO_ID)
     row, col = np.nonzero(score >= least)
     s, i = score[row, col], ids[col]
     order = np.lexsort((i, ~s, row))
@@ -144,7 +147,7 @@ def search_bucket(best: Best, k: int, qid, q, qn, ids, v, vn) -> None:
         n = int(np.searchsorted(-vn, -least.min() * (1 - 1e-9), side="right")) if least.min() > 0 else len(v)
         if n:
             score = products(q[flat], v[:n], qn[flat], vn[:n])
-            score[qid[flat][:, None] == ids[:n][None, :]] = np.iinfo(np.int64).min
+            score[qid[flat][:, None] == ids[:n][None, :]] = NONE
             best.offer(flat, *top(score, ids[:n], k))
 
 
@@ -165,7 +168,7 @@ def _search(queries, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
                 qid, q, qn, _ = queries.value.by_size[s]
                 search_bucket(found[s], k, qid, q, qn, np.asarray(part.column(0))[order], v, vn[order])
     for s, best in found.items():
-        real = best.id < np.iinfo(np.int64).max
+        real = best.score > NONE
         row = np.nonzero(real)[0]
         yield out(RESULT, query_id=queries.value.by_size[s][0][row], vec_id=best.id[real], score=best.score[real])
 

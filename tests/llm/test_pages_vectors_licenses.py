@@ -23,7 +23,7 @@ def test_extracts_the_article():
 @pytest.mark.parametrize("page,text", [
     (None, ""), ("", ""), ("  ", ""), ("just text &lt;b", "just text <b"), ("<p>a<p>b", "a\nb"), ("<p>x &am", "x &am"),
     ("<script>only", ""), ("<div><p>Hello, this is <b>bold</b> text.<div>next", "Hello, this is bold text.\nnext"),
-    ("<article><p>One</p></article" , "One"), ("<p a='<b>'>q</p><p x=\"y>z", "q"), ("< p > 1 < 2", "< p > 1 < 2")])
+    ("<article><p>One</p></article" , "One"), ("<p a='<b>'>q</p><p x=\"y>z", "q\nz"), ("< p > 1 < 2", "< p > 1 < 2")])
 def test_odd_pages(page, text):
     assert html_extract.extract(page)[0] == text
 
