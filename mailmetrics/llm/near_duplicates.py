@@ -274,7 +274,7 @@ def jaccard_join(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD,
 
     # full n-gram sets of the classes in groups
     members = scratch.stage(group.join(classes.selectExpr("id", "least.dk", "least.rk", "copies", "sig"), "id"), "members")
-    texts = base.select("dk", "rk", "text").join(members.select("dk", "rk", "id"), ["dk", "rk"]).select("id", "text")
+    texts = base.select("dk", "rk", "text").join(members.select("dk", "rk", "id").hint("merge"), ["dk", "rk"]).select("id", "text")
     sets = texts.mapInArrow(_sets(n), "id long, grams binary")
     if_repeated = sets.groupBy("id").agg(F.min("grams").alias("grams"))  # a repeated row's set is the same
     full = members.join(if_repeated, "id").join(members.groupBy("root").agg(F.count("*").alias("n")), "root")
@@ -329,7 +329,7 @@ def keep_one(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD, id_c
     again = found.where("stays and n_links > 0").groupBy("dk", "rk").agg(F.count("*").alias("_n")).where("_n > 1")
     again = again.select(F.col("dk").alias("_dk"), F.col("rk").alias("_rk"), "_n")
     rows = docs.withColumns({"_dk": F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))), "_rk": F.hash(F.col(text_col).cast("string"))})
-    rows = rows.join(drop, ["_dk", "_rk"], "left_anti")
+    rows = rows.join(drop.hint("merge"), ["_dk", "_rk"], "left_anti")
     if again.isEmpty():
         return rows.select(*docs.columns)
     rows = rows.join(again, ["_dk", "_rk"], "left").withColumn("_at", F.row_number().over(W.partitionBy("_dk", "_rk").orderBy("_n")))
