@@ -7,9 +7,12 @@ words of class and id) take no part.  For every path the text length and the
 punctuation of all its blocks are summed and divided by the number of blocks
 (path ratios).  The ratios are laid along the page, smoothed with a short
 Gaussian, averaged per path again and fused by their product; paths with at
-least ``SHARE`` of the best path's value are content.  Content nodes are the
-blocks of content paths; inside the ``article`` (or else ``main``) element
-that holds most of them every remaining block is content, however short.
+least ``SHARE`` of the best path's value are content; paths whose text is
+mostly links count for nothing.  Content nodes are the blocks of content
+paths.  Where they sit in one element, every remaining block of it that isn't
+a run of links is content too, however short: the ``article`` (or else
+``main``) that holds most of them, or else the smallest element below the
+body that holds ``MOST`` of their text.
 
 Character references are decoded, white space inside a block is one space,
 blocks are trimmed and joined by a line feed.  Null, empty and text-free
@@ -22,6 +25,7 @@ import html as _html
 import math
 import re
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -30,6 +34,9 @@ from .common import out, slices
 
 SHARE = 0.15
 SIGMA = 1.0
+MOST = 0.8
+#: Share of link text from which a path or block is links.
+LINKS = 0.6
 
 RESULT = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64()), ("n_blocks", pa.int64())])
 
@@ -52,7 +59,10 @@ LEFT_OUT_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner nav navbar navigation "
     "menu menubar breadcrumb breadcrumbs sidebar footer header masthead topbar toolbar cookie cookies consent gdpr notice "
     "notices popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended "
-    "comment comments commentlist disqus respond reply replies widget widgets pagination pager skip".split())
+    "comment comments commentlist disqus respond reply replies reactions discussion guestbook widget widgets pagination pager skip "
+    "adslot adbox adunit adcontainer adwrapper teaser teasers popular trending outbrain taboola alert announcement disclaimer "
+    "paywall register feedback searchbox".split())
+HOLDERS = frozenset("div section main article td center details dd".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 _TOKEN = re.compile(
@@ -81,23 +91,35 @@ def _left_out(tag: str, attrs: str, inside_article: bool) -> bool:
     return False
 
 
-def blocks(page: str) -> list[tuple[str, str, int]]:
-    """(path, text, outermost article or main, -1: none) of each block outside what is left out."""
-    found: list[tuple[str, str, int]] = []
-    stack: list[tuple[str, bool, int, bool]] = []  # tag, left out, container, in an article's header
-    containers = 0
+class Block(NamedTuple):
+    path: str
+    text: str
+    box: int  # the outermost article or main, -1: none
+    inside: tuple[int, ...]  # numbers of the elements around it that hold blocks, below the body
+    links: float  # share of link text
+
+
+def blocks(page: str) -> list[Block]:
+    """Each block outside what is left out."""
+    found: list[Block] = []
+    stack: list[tuple[str, bool, int, bool, int]] = []  # tag, left out, container, in an article's header, number
+    containers = elements = linked = 0
     text: list[str] = []
     at, end = 0, len(page)
 
     def state():
-        return stack[-1] if stack else ("", False, -1, False)
+        return stack[-1][:4] if stack else ("", False, -1, False)
 
     def flush() -> None:
+        nonlocal linked
         if text:
-            joined = " ".join(_html.unescape("".join(text)).split())
+            raw = "".join(text)
+            joined = " ".join(_html.unescape(raw).split())
             if joined:
-                found.append(("/".join(t for t, *_ in stack if t in BLOCK), joined, state()[2]))
+                found.append(Block("/".join(x[0] for x in stack if x[0] in BLOCK), joined, state()[2],
+                                   tuple(x[4] for x in stack if x[0] in HOLDERS), linked / len(raw)))
             text.clear()
+        linked = 0
 
     def pop(i: int) -> None:
         if any(t in BLOCK for t, *_ in stack[i:]):
@@ -105,9 +127,12 @@ def blocks(page: str) -> list[tuple[str, str, int]]:
         del stack[i:]
 
     def add(piece: str) -> None:
-        tag, gone, _, head = state()
+        nonlocal linked
+        _, gone, _, head = state()
         if piece and not gone and not (head and not any(t in HEADINGS for t, *_ in stack)):
             text.append(piece)
+            if any(t == "a" for t, *_ in stack):
+                linked += len(piece)
 
     while at < end:
         m = _TOKEN.search(page, at)
@@ -158,29 +183,32 @@ def blocks(page: str) -> list[tuple[str, str, int]]:
         gone = gone or _left_out(tag, attrs, box >= 0)
         if tag in ("article", "main") and not gone and (box < 0 or tag == "article" and not any(t == "article" for t, *_ in stack)):
             box, containers = containers, containers + 1
-        stack.append((tag, gone, box, head or tag == "header" and box >= 0))
+        elements += 1
+        stack.append((tag, gone, box, head or tag == "header" and box >= 0, elements))
     flush()
     return found
 
 
-def content_paths(found: list[tuple[str, str, int]], share: float = SHARE, sigma: float = SIGMA) -> set[str]:
+def content_paths(found: list[Block], share: float = SHARE, sigma: float = SIGMA) -> set[str]:
     length: dict[str, float] = {}
     points: dict[str, float] = {}
+    links: dict[str, float] = {}
     n: dict[str, int] = {}
-    for path, text, _ in found:
-        length[path] = length.get(path, 0) + len(text)
-        points[path] = points.get(path, 0) + len(_PUNCT.findall(text))
-        n[path] = n.get(path, 0) + 1
+    for x in found:
+        length[x.path] = length.get(x.path, 0) + len(x.text)
+        points[x.path] = points.get(x.path, 0) + len(_PUNCT.findall(x.text))
+        links[x.path] = links.get(x.path, 0) + len(x.text) * x.links
+        n[x.path] = n.get(x.path, 0) + 1
     reach = max(1, math.ceil(2 * sigma))
     kernel = [math.exp(-d * d / (2 * sigma * sigma)) for d in range(-reach, reach + 1)]
-    line = [(length[p] / n[p], points[p] / n[p]) for p, _, _ in found]
+    line = [(0.0, 0.0) if links[x.path] > LINKS * length[x.path] else (length[x.path] / n[x.path], points[x.path] / n[x.path]) for x in found]
     fused: dict[str, float] = {}
-    for i, (path, _, _) in enumerate(found):
+    for i, x in enumerate(found):
         near = [(kernel[d + reach], line[i + d]) for d in range(-reach, reach + 1) if 0 <= i + d < len(line)]
         weight = sum(k for k, _ in near)
-        r = sum(k * x[0] for k, x in near) / weight
-        q = sum(k * x[1] for k, x in near) / weight
-        fused[path] = fused.get(path, 0) + r * (1 + q) / n[path]
+        r = sum(k * y[0] for k, y in near) / weight
+        q = sum(k * y[1] for k, y in near) / weight
+        fused[x.path] = fused.get(x.path, 0) + (r * (1 + q) / n[x.path] if line[i][0] else 0.0)
     best = max(fused.values(), default=0)
     return {p for p, v in fused.items() if v >= share * best}
 
@@ -192,13 +220,24 @@ def extract(page: str | None) -> tuple[str, int]:
         return "", 0
     paths = content_paths(found)
     weight: dict[int, int] = {}
-    for path, text, box in found:
-        if path in paths and box >= 0:
-            weight[box] = weight.get(box, 0) + len(text)
+    for x in found:
+        if x.path in paths and x.box >= 0:
+            weight[x.box] = weight.get(x.box, 0) + len(x.text)
     if not weight:
-        weight = {box: 1 for _, _, box in found if box >= 0}
+        weight = {x.box: 1 for x in found if x.box >= 0}
     box = max(weight, key=lambda b: (weight[b], -b), default=-1)
-    kept = [t for p, t, b in found if (b == box if box >= 0 else p in paths)]
+    if box >= 0:
+        kept = [x.text for x in found if x.box == box]
+    else:
+        held: dict[int, int] = {}
+        total = 0
+        for x in found:
+            if x.path in paths:
+                total += len(x.text)
+                for e in x.inside:
+                    held[e] = held.get(e, 0) + len(x.text)
+        near = max((e for e, v in held.items() if v >= MOST * total and total), default=None)  # the last opened is the innermost
+        kept = [x.text for x in found if (x.path in paths if near is None else near in x.inside and x.links <= LINKS)]
     return "\n".join(kept), len(kept)
 
 
