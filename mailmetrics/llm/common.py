@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 #: Text a task works on at once, in bytes (a longer document is a slice of its own).
 SLICE_BYTES = 1 << 20
+#: Rows of groups a task looks at together (a larger group is looked at whole).
+GROUP_ROWS = 2048
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -101,18 +103,21 @@ def crc_mod(id_col: str, n: int):
 
 def slices(batches: Iterator[pa.RecordBatch], text_col: str | int = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches into runs of rows with at most ``most`` bytes of text (one row at least)."""
-    for b in batches:
-        n = b.num_rows
-        if not n:
-            continue
-        sizes = np.asarray(pc.fill_null(pc.binary_length(b.column(text_col)), 0)).astype(np.int64)
-        ends = np.cumsum(sizes)
-        i = 0
-        while i < n:
-            before = ends[i - 1] if i else 0
-            j = max(i + 1, int(np.searchsorted(ends, before + most, side="right")))
-            yield b.slice(i, j - i)
-            i = j
+    try:
+        for b in batches:
+            n = b.num_rows
+            if not n:
+                continue
+            sizes = np.asarray(pc.fill_null(pc.binary_length(b.column(text_col)), 0)).astype(np.int64)
+            ends = np.cumsum(sizes)
+            i = 0
+            while i < n:
+                before = ends[i - 1] if i else 0
+                j = max(i + 1, int(np.searchsorted(ends, before + most, side="right")))
+                yield b.slice(i, j - i)
+                i = j
+    finally:
+        pa.default_memory_pool().release_unused()  # workers are reused
 
 
 def text_bytes(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -137,7 +142,7 @@ def out(schema: pa.Schema, **cols) -> pa.RecordBatch:
 def grouped(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[pa.Table, np.ndarray]]:
     """Whole groups of rows that follow each other with equal first ``keys`` columns: (rows, bounds of the groups)."""
     left: pa.Table | None = None
-    for b in batches:
+    for b in (x.slice(i, GROUP_ROWS) for x in batches for i in range(0, x.num_rows, GROUP_ROWS)):
         t = pa.Table.from_batches([b])
         t = t if left is None else pa.concat_tables([left, t])
         if not t.num_rows:
