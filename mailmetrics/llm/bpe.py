@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import heapq
 import json
 from collections.abc import Iterator
 
@@ -30,8 +31,10 @@ from .common import out, slices
 # Fixed value: the byte-level pre-tokenizer's pattern of the vocabulary file.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
-#: Distinct words whose tokens a task remembers before it starts anew (bounds memory only).
-CACHE_WORDS = 200_000
+#: Distinct words of a generation that a task remembers (bounds memory only; a slice's words always fit).
+CACHE_WORDS = 100_000
+#: Judged pairs that a worker remembers from task to task (bounds memory only).
+CACHE_PAIRS = 2_000_000
 
 RESULT = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()),
                     ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
@@ -55,16 +58,21 @@ class SpeculativeBpe:
         self.ids = {raw[t]: i for t, i in model["vocab"].items()}
         self.bytes_of = {i: b for b, i in self.ids.items()}
         self.longest = max(map(len, self.ids))
-        #: For each first two bytes, the token lengths that occur, longest first.
+        #: For each head of three bytes at most, the lengths of the tokens that start with it, longest first.
         by_head: dict[bytes, set[int]] = {}
         for b in self.ids:
-            by_head.setdefault(b[:2], set()).add(len(b))
+            by_head.setdefault(b[:3], set()).add(len(b))
+        for b in [*by_head]:  # a shorter token starts the same text
+            by_head[b].update(n for n in (1, 2) if n < len(b) and b[:n] in self.ids)
         self.lengths = {k: sorted(v, reverse=True) for k, v in by_head.items()}
-        self.rank: dict[tuple[int, int], tuple[int, int]] = {}
+        #: Pair of ids as one number -> rank; the token that each rank makes.
+        self.rank: dict[int, int] = {}
+        self.made: list[int] = []
         for r, m in enumerate(model["merges"]):
             a, b = m.split(" ") if isinstance(m, str) else m
             a, b = bytes(letters[c] for c in a), bytes(letters[c] for c in b)
-            self.rank[self.ids[a], self.ids[b]] = (r, self.ids[a + b])
+            self.rank[(self.ids[a] << 20) | self.ids[b]] = r
+            self.made.append(self.ids[a + b])
         self.byte_id = [self.ids[bytes([b])] for b in range(256)]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.bytes_of |= {i: s.encode() for s, i in self.special.items()}
@@ -73,46 +81,66 @@ class SpeculativeBpe:
         self.good = np.zeros(0, np.int64)  # judged pairs, sorted codes
         self.bad = np.zeros(0, np.int64)
         self.cache: dict[str, tuple[str, int, bytes]] = {}
+        self.older: dict[str, tuple[str, int, bytes]] = {}
 
     # -- the three steps -------------------------------------------------
 
     def propose(self, word: bytes) -> list[int]:
         """Greedy longest match."""
-        ids, found, i, n = self.ids, [], 0, len(word)
+        get, lengths, found, i, n = self.ids.get, self.lengths, [], 0, len(word)
         while i < n:
-            for size in self.lengths.get(word[i:i + 2], ()):
-                t = ids.get(word[i:i + size])
+            sizes = lengths.get(word[i:i + 3]) or lengths.get(word[i:i + 2]) or (1,)
+            for size in sizes:
+                t = get(word[i:i + size])
                 if t is not None and i + size <= n:
                     break
-            else:
-                size, t = 1, self.byte_id[word[i]]
+            else:  # no token of three bytes or more after all
+                size = 2 if i + 2 <= n and word[i:i + 2] in self.ids else 1
+                t = self.ids[word[i:i + size]]
             found.append(t)
             i += size
         return found
 
     def merge(self, word: bytes) -> list[int]:
-        """Exact merging: the lowest rank first, leftmost among equals (heap over a linked list)."""
-        import heapq
-
+        """Exact merging: the lowest rank first, leftmost among equals."""
         sym = [self.byte_id[b] for b in word]
+        if len(sym) > 64:
+            return self._merge_long(sym)
+        get, made, never = self.rank.get, self.made, len(self.made)
+        ranks = [get((a << 20) | b, never) for a, b in zip(sym, sym[1:])]
+        while ranks:
+            r = min(ranks)
+            if r == never:
+                break
+            i = ranks.index(r)
+            t = made[r]
+            sym[i:i + 2] = [t]
+            del ranks[i]
+            if i:
+                ranks[i - 1] = get((sym[i - 1] << 20) | t, never)
+            if i < len(ranks):
+                ranks[i] = get((t << 20) | sym[i + 1], never)
+        return sym
+
+    def _merge_long(self, sym: list[int]) -> list[int]:
+        """The same with a heap over a linked list."""
         n = len(sym)
-        if n < 2:
-            return sym
-        prev, nxt, rank = [*range(-1, n - 1)], [*range(1, n), -1], self.rank
-        heap = [(*r, i, sym[i], sym[i + 1]) for i in range(n - 1) if (r := rank.get((sym[i], sym[i + 1])))]
+        prev, nxt, rank, made = [*range(-1, n - 1)], [*range(1, n), -1], self.rank, self.made
+        heap = [(r, i, sym[i], sym[i + 1]) for i in range(n - 1) if (r := rank.get((sym[i] << 20) | sym[i + 1])) is not None]
         heapq.heapify(heap)
         while heap:
-            _, new, i, a, b = heapq.heappop(heap)
+            r, i, a, b = heapq.heappop(heap)
             j = nxt[i]
             if sym[i] != a or j < 0 or sym[j] != b:
                 continue
+            new = made[r]
             sym[i], sym[j], nxt[i] = new, -1, nxt[j]
             if nxt[i] >= 0:
                 prev[nxt[i]] = i
-                if r := rank.get((new, sym[nxt[i]])):
-                    heapq.heappush(heap, (*r, i, new, sym[nxt[i]]))
-            if prev[i] >= 0 and (r := rank.get((sym[prev[i]], new))):
-                heapq.heappush(heap, (*r, prev[i], sym[prev[i]], new))
+                if (r := rank.get((new << 20) | sym[nxt[i]])) is not None:
+                    heapq.heappush(heap, (r, i, new, sym[nxt[i]]))
+            if prev[i] >= 0 and (r := rank.get((sym[prev[i]] << 20) | new)) is not None:
+                heapq.heappush(heap, (r, prev[i], sym[prev[i]], new))
         return [t for t in sym if t >= 0]
 
     def judge(self, codes: np.ndarray) -> np.ndarray:
@@ -125,6 +153,12 @@ class SpeculativeBpe:
             self.bad = np.union1d(self.bad, new[~ok])
         return _within(codes, self.good)
 
+    def forget(self) -> None:
+        """Drop what a task's words left behind (workers are reused)."""
+        self.cache, self.older = {}, {}
+        if len(self.good) + len(self.bad) > CACHE_PAIRS:
+            self.good = self.bad = np.zeros(0, np.int64)
+
     def encode_words(self, words: list[str]) -> list[list[int]]:
         raw = [w.encode() for w in words]
         got = [self.propose(w) for w in raw]
@@ -160,14 +194,20 @@ class SpeculativeBpe:
         return found
 
     def learn(self, texts: list[list[str]]) -> None:
-        """Encode the words of a slice that are not remembered yet."""
-        new = set().union(*texts) - self.cache.keys() - self.special.keys()
-        if len(self.cache) + len(new) > CACHE_WORDS:
-            self.cache.clear()
-            new = set().union(*texts) - self.special.keys()
+        """Encode the words of a slice that are not remembered yet.
+
+        What is remembered has two generations; when the younger one is full,
+        it becomes the older one, and only words met again come back from it.
+        """
+        words = set().union(*texts)
+        if len(self.cache) + len(words) > CACHE_WORDS:
+            self.older, self.cache = self.cache, {}
+        words -= self.cache.keys()
+        for w in words & self.older.keys():
+            self.cache[w] = self.older[w]
+        new = list(words - self.cache.keys() - self.special.keys())
         for s, i in self.special.items():
             self.cache[s] = (str(i), 1, s.encode())
-        new = sorted(new)
         for w, ids in zip(new, self.encode_words(new), strict=True):
             self.cache[w] = (",".join(map(str, ids)), len(ids), b"".join(map(self.bytes_of.__getitem__, ids)))
 
@@ -213,6 +253,12 @@ def encode_documents(docs: DataFrame, vocab_path: str, digests: bool = True,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(spec.value)
+        try:
+            yield from encode(codec, batches)
+        finally:
+            codec.forget()
+
+    def encode(codec: SpeculativeBpe, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             parts = [codec.parts(t or "") for t in b.column(1).to_pylist()]
             codec.learn(parts)
