@@ -24,8 +24,13 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def ship_package(spark: SparkSession) -> None:
-    """Send this package to the Python workers, unless their search path has it."""
+#: Rows of an Arrow batch: texts are far longer than the rows Spark's default of 10,000 has in mind.
+BATCH_ROWS = 1000
+
+
+def prepare(spark: SparkSession) -> None:
+    """Bound the Arrow batches, and send this package to Python workers whose search path lacks it."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     package = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     root, name = os.path.split(package)
     there = [os.path.abspath(p) for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p]

@@ -28,15 +28,17 @@ def components(edges: DataFrame, scratch: Scratch, name: str = "cc") -> DataFram
     while True:
         turn += 1
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = both.join(_smallest(both, "m"), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        # written first, so that both sides of the join are shuffled and a hot vertex can be split
+        least = scratch.stage(_smallest(both, "m"), f"{name}{turn}least")
+        large = both.join(least.hint("merge"), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = large.where("u <> v").distinct()
         large = scratch.stage(large, f"{name}{turn}large")
-        low = _smallest(large, "m")
-        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
+        low = scratch.stage(_smallest(large, "m"), f"{name}{turn}low")
+        small = large.join(low.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
         small = small.where("u <> v").distinct()
         new = scratch.stage(small, f"{name}{turn}")
         mark = new.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0)).alias("h")).first()
-        scratch.drop(f"{name}{turn - 1}", f"{name}{turn}large")
+        scratch.drop(f"{name}{turn - 1}", *(f"{name}{turn}{x}" for x in ("least", "large", "low")))
         now = new
         if seen is not None and tuple(mark) == seen:
             return now.select(F.col("u").alias("v"), F.col("v").alias("root"))

@@ -78,8 +78,8 @@ def unit(x: np.ndarray, idf: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
 
 
-def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in slices(batches):
+def _chunks(batches: Iterator[pa.RecordBatch], text_col: str | int = "text") -> Iterator[pa.RecordBatch]:
+    for b in slices(batches, text_col):
         for i in range(0, b.num_rows, ROWS):
             yield b.slice(i, ROWS)
 
@@ -182,17 +182,12 @@ def predict(docs: DataFrame, model: Centroids, held_out: Column, id_col: str = "
 
 
 def keep_recognised(docs: DataFrame, model: Centroids, text_col: str = "text") -> DataFrame:
-    """The rows that aren't rejected, with all their columns (a column test, no shuffle)."""
+    """The rows that aren't rejected, with all their columns (no shuffle)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index(text_col)
 
-    @F.pandas_udf("boolean")
-    def recognised(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-
-
-        for s in texts:
-            col = pa.array(s, pa.string())
-            b = pa.RecordBatch.from_arrays([col], names=["text"])
-            parts = [~shared.value.predict(c.column(0))[2] for c in _chunks(iter([b]))]
-            yield pd.Series(np.concatenate(parts) if parts else np.zeros(0, bool))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in _chunks(batches, at):
+            yield b.filter(pa.array(~shared.value.predict(b.column(at).cast(pa.string()))[2]))
 
-    return docs.where(recognised(F.col(text_col).cast("string")))
+    return docs.mapInArrow(run, docs.schema)

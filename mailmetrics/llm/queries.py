@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, decontaminate, html_extract, langid, licenses, near_duplicates, phrases, suffix_index, topk, toxicity
-from .common import crc_mod, read_table, ship_package
+from .common import crc_mod, read_table, prepare
 
 #: The vocabulary file of ``op8_bpe`` (a parameter of the operator).
 VOCABULARY = "byte_bpe_50k.json"
@@ -63,15 +63,15 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
-def shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+def prepared(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        ship_package(spark)
+        prepare(spark)
         return query(spark, sf_dir)
 
     return run
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: shipped(query) for name, query in {
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: prepared(query) for name, query in {
     "op1_tag_paths": op1_tag_paths,
     "op2_licenses": op2_licenses,
     "op3_suffix_dedup": op3_suffix_dedup,

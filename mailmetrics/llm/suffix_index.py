@@ -173,7 +173,7 @@ def repeated_runs(docs: DataFrame, n: int = REPEAT_BYTES, k: int = ANCHOR_BYTES,
     open_ = kinds.groupBy("a").agg(F.min("n").alias("least"), F.count("*").alias("kinds")).where("least = 1").selectExpr("a", f"kinds > {KINDS} as many")
     shown = kinds.join(scratch.stage(open_, "open"), "a").selectExpr("one.dk", "one.rk", "one.run", "a", "w", "many", "n = 1 as alone")
     shown = shown.groupBy("dk", "rk").agg(F.collect_list(F.struct("run", "a", "w", "many", "alone")).alias("runs"))
-    spans = docs.select("dk", "rk", "text").join(shown, ["dk", "rk"]).mapInArrow(
+    spans = docs.select("dk", "rk", "text").join(shown.hint("merge"), ["dk", "rk"]).mapInArrow(
         _spans(n), "a long, w long, many boolean, alone boolean, dk long, rk int, run long, span binary")
     spans = scratch.stage(spans, "spans")
     scratch.free_shuffles()
@@ -182,7 +182,7 @@ def repeated_runs(docs: DataFrame, n: int = REPEAT_BYTES, k: int = ANCHOR_BYTES,
     twice = windows.groupBy("v").agg(F.min("w").alias("lo"), F.max("w").alias("hi")).where("lo <> hi").select("v")
     many = windows.where("alone").join(scratch.stage(twice, "twice"), "v", "left_semi").select("dk", "rk", "run")
     whole = hits.where("not mixed").select("dk", "rk", "run").unionByName(
-        hits.where("mixed").join(kinds.where("n > 1").select("a", "w"), ["a", "w"], "left_semi").select("dk", "rk", "run"))
+        hits.where("mixed").join(kinds.where("n > 1").select("a", "w").hint("merge"), ["a", "w"], "left_semi").select("dk", "rk", "run"))
     return whole.unionByName(few).unionByName(many).groupBy("dk", "rk").agg(F.collect_list("run").alias("runs"))
 
 
@@ -282,4 +282,4 @@ def remove_repeats(docs: DataFrame, n: int = REPEAT_BYTES, k: int = ANCHOR_BYTES
     runs = repeated_runs(rows, n, k, batches)
     kind = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" if digests else \
         "doc_id long, text binary, spans array<long>"
-    return rows.join(runs, ["dk", "rk"], "left").select("doc_id", "text", "runs").mapInArrow(_kept(n, digests), kind)
+    return rows.join(runs.hint("merge"), ["dk", "rk"], "left").select("doc_id", "text", "runs").mapInArrow(_kept(n, digests), kind)

@@ -3,6 +3,6 @@ import pytest
 
 @pytest.fixture(autouse=True)
 def shipped(spark):
-    from mailmetrics.llm.common import ship_package
+    from mailmetrics.llm.common import prepare
 
-    ship_package(spark)
+    prepare(spark)
