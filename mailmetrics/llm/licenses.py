@@ -11,7 +11,7 @@ data; it is the broadcast side.  Only lines whose normalised length is that
 of a known text are digested, which loses nothing.
 
 Result, one row per row of the input: doc_id, canon_sha256 (null text: null),
-license (of the whole document; null if none), n_license_lines, licenses
+license (of the whole document; null if none), n_license_lines (distinct ones), licenses
 (names over whole text and lines, sorted, comma-joined; '' if none).
 """
 
@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import keyed
+from .common import Scratch, keyed
 
 # Public licence texts and notices.
 _MIT_GRANT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
@@ -106,13 +106,13 @@ def scan_licenses(docs: DataFrame, known: list[tuple[str, str]] = KNOWN, id_col:
     table = known_digests(spark, known)
     sizes = [r[0] for r in table.select("size").distinct().collect()]  # as many as known texts
     rows = keyed(docs, id_col, text_col).select("doc_id", "dk", "rk", canonical_lines(F.col("text")).alias("lines"))
-    rows = rows.withColumn("at", F.sha2(whole(F.col("lines")), 256))
-    # entire documents
+    # every line of two or more is a text of its own; those of a known size are looked up
+    own = F.filter(F.transform(F.split("lines", "\n"), lambda x: F.trim(x)), lambda x: F.length(x).isin(sizes))
+    rows = rows.select("doc_id", "dk", "rk", F.sha2(whole(F.col("lines")), 256).alias("at"),
+                       F.when(F.contains("lines", F.lit("\n")), F.array_distinct(own)).alias("own"))
+    rows = Scratch(spark, "licenses").stage(rows, "digests")  # texts are normalised once
     found = rows.join(F.broadcast(table.select(F.col("digest").alias("at"), "license")), "at", "left")
-    # every line of two or more as a text of its own
-    lines = rows.where(F.contains("lines", F.lit("\n"))).select("dk", "rk", F.posexplode(F.filter(
-        F.transform(F.split("lines", "\n"), lambda x: F.trim(x)), lambda x: F.length(x).isin(sizes))).alias("pos", "line"))
-    lines = lines.select("dk", "rk", F.sha2("line", 256).alias("digest"), "line", "pos")
+    lines = rows.select("dk", "rk", F.explode("own").alias("line")).select("dk", "rk", "line", F.sha2("line", 256).alias("digest"))
     lines = lines.join(F.broadcast(table.select("digest", "license")), "digest")
     # a row a document and known licence; a repeated row's lines count once
     per = lines.groupBy("dk", "rk").agg(F.collect_set("license").alias("names"), F.count_distinct("line", "license").alias("n_license_lines"))
