@@ -32,7 +32,7 @@ from .common import out, slices
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 #: Distinct words of a generation that a task remembers (bounds memory only; a slice's words always fit).
-CACHE_WORDS = 100_000
+CACHE_WORDS = 250_000
 #: Judged pairs that a worker remembers from task to task (bounds memory only).
 CACHE_PAIRS = 2_000_000
 
@@ -57,14 +57,13 @@ class SpeculativeBpe:
         raw = {t: bytes(letters[c] for c in t) for t in model["vocab"]}
         self.ids = {raw[t]: i for t, i in model["vocab"].items()}
         self.bytes_of = {i: b for b, i in self.ids.items()}
-        self.longest = max(map(len, self.ids))
-        #: For each head of three bytes at most, the lengths of the tokens that start with it, longest first.
-        by_head: dict[bytes, set[int]] = {}
-        for b in self.ids:
-            by_head.setdefault(b[:3], set()).add(len(b))
-        for b in [*by_head]:  # a shorter token starts the same text
-            by_head[b].update(n for n in (1, 2) if n < len(b) and b[:n] in self.ids)
-        self.lengths = {k: sorted(v, reverse=True) for k, v in by_head.items()}
+        self.decimal = {i: str(i) for i in self.bytes_of}
+        #: Every prefix of a token -> its id if it is a token itself, else -1.
+        self.prefixes: dict[bytes, int] = {}
+        for b, i in self.ids.items():
+            for n in range(1, len(b)):
+                self.prefixes.setdefault(b[:n], -1)
+            self.prefixes[b] = i
         #: Pair of ids as one number -> rank; the token that each rank makes.
         self.rank: dict[int, int] = {}
         self.made: list[int] = []
@@ -80,25 +79,29 @@ class SpeculativeBpe:
         self.words = regex.compile(WORD_PATTERN)
         self.good = np.zeros(0, np.int64)  # judged pairs, sorted codes
         self.bad = np.zeros(0, np.int64)
-        self.cache: dict[str, tuple[str, int, bytes]] = {}
-        self.older: dict[str, tuple[str, int, bytes]] = {}
+        #: Remembered words: their ids as text and their tokens' bytes; and the generation before.
+        self.text_ids: dict[str, str] = {}
+        self.text_bytes: dict[str, bytes] = {}
+        self.older: tuple[dict[str, str], dict[str, bytes]] = ({}, {})
 
     # -- the three steps -------------------------------------------------
 
     def propose(self, word: bytes) -> list[int]:
         """Greedy longest match."""
-        get, lengths, found, i, n = self.ids.get, self.lengths, [], 0, len(word)
+        get, found, i, n = self.prefixes.get, [], 0, len(word)
         while i < n:
-            sizes = lengths.get(word[i:i + 3]) or lengths.get(word[i:i + 2]) or (1,)
-            for size in sizes:
-                t = get(word[i:i + size])
-                if t is not None and i + size <= n:
+            j = i + 1
+            t = get(word[i:j])
+            end = j
+            while j < n:
+                j += 1
+                more = get(word[i:j])
+                if more is None:
                     break
-            else:  # no token of three bytes or more after all
-                size = 2 if i + 2 <= n and word[i:i + 2] in self.ids else 1
-                t = self.ids[word[i:i + size]]
+                if more >= 0:
+                    t, end = more, j
             found.append(t)
-            i += size
+            i = end
         return found
 
     def merge(self, word: bytes) -> list[int]:
@@ -155,7 +158,7 @@ class SpeculativeBpe:
 
     def forget(self) -> None:
         """Drop what a task's words left behind (workers are reused)."""
-        self.cache, self.older = {}, {}
+        self.text_ids, self.text_bytes, self.older = {}, {}, ({}, {})
         if len(self.good) + len(self.bad) > CACHE_PAIRS:
             self.good = self.bad = np.zeros(0, np.int64)
 
@@ -200,29 +203,33 @@ class SpeculativeBpe:
         it becomes the older one, and only words met again come back from it.
         """
         words = set().union(*texts)
-        if len(self.cache) + len(words) > CACHE_WORDS:
-            self.older, self.cache = self.cache, {}
-        words -= self.cache.keys()
-        for w in words & self.older.keys():
-            self.cache[w] = self.older[w]
-        new = list(words - self.cache.keys() - self.special.keys())
+        if len(self.text_ids) + len(words) > CACHE_WORDS:
+            self.older = self.text_ids, self.text_bytes
+            self.text_ids, self.text_bytes = {}, {}
+        ids_of, bytes_of, (old_ids, old_bytes) = self.text_ids, self.text_bytes, self.older
         for s, i in self.special.items():
-            self.cache[s] = (str(i), 1, s.encode())
+            ids_of[s], bytes_of[s] = str(i), s.encode()
+        words.difference_update(ids_of)
+        again = words.intersection(old_ids)
+        for w in again:
+            ids_of[w], bytes_of[w] = old_ids[w], old_bytes[w]
+        words.difference_update(again)
+        new, decimal, raw = list(words), self.decimal, self.bytes_of
         for w, ids in zip(new, self.encode_words(new), strict=True):
-            self.cache[w] = (",".join(map(str, ids)), len(ids), b"".join(map(self.bytes_of.__getitem__, ids)))
+            ids_of[w] = ",".join([decimal[i] for i in ids])
+            bytes_of[w] = b"".join([raw[i] for i in ids])
 
     def digest(self, parts: list[str]) -> tuple[int, str, str]:
         """(tokens, SHA-256 of the decimal ids, SHA-256 of the decoded bytes)."""
-        got = [self.cache[w] for w in parts]
-        ids = ",".join([g[0] for g in got])
-        text = b"".join([g[2] for g in got]).decode("utf-8", "replace")
-        return (sum([g[1] for g in got]), hashlib.sha256(ids.encode()).hexdigest(),
+        ids = ",".join(map(self.text_ids.__getitem__, parts))
+        text = b"".join(map(self.text_bytes.__getitem__, parts)).decode("utf-8", "replace")
+        return (ids.count(",") + 1 if parts else 0, hashlib.sha256(ids.encode()).hexdigest(),
                 hashlib.sha256(text.encode()).hexdigest())
 
     def encode(self, text: str) -> list[int]:
         parts = self.parts(text)
         self.learn([parts])
-        return [int(t) for w in parts for t in self.cache[w][0].split(",")]
+        return [int(t) for w in parts for t in self.text_ids[w].split(",")]
 
     def decode(self, ids: list[int]) -> str:
         return b"".join(self.bytes_of[i] for i in ids).decode("utf-8", "replace")
@@ -267,7 +274,7 @@ def encode_documents(docs: DataFrame, vocab_path: str, digests: bool = True,
                 yield out(RESULT, doc_id=b.column(0), n_tokens=[g[0] for g in got],
                           ids_sha256=[g[1] for g in got], decoded_sha256=[g[2] for g in got])
             else:
-                ids = [[int(t) for w in p for t in codec.cache[w][0].split(",")] for p in parts]
+                ids = [[int(t) for w in p for t in codec.text_ids[w].split(",")] for p in parts]
                 yield out(TOKENS, doc_id=b.column(0), ids=ids)
 
     rows = docs.selectExpr(f"cast(`{id_col}` as long) as doc_id", f"cast(`{text_col}` as string) as text")
