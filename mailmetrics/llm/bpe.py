@@ -32,7 +32,7 @@ from .common import out, slices
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 #: Distinct words of a generation that a task remembers (bounds memory only; a slice's words always fit).
-CACHE_WORDS = 250_000
+CACHE_WORDS = 500_000
 #: Judged pairs that a worker remembers from task to task (bounds memory only).
 CACHE_PAIRS = 2_000_000
 
@@ -106,7 +106,8 @@ class SpeculativeBpe:
 
     def merge(self, word: bytes) -> list[int]:
         """Exact merging: the lowest rank first, leftmost among equals."""
-        sym = [self.byte_id[b] for b in word]
+        byte_id = self.byte_id
+        sym = [byte_id[b] for b in word]
         if len(sym) > 64:
             return self._merge_long(sym)
         get, made, never = self.rank.get, self.made, len(self.made)
