@@ -9,10 +9,14 @@ punctuation of all its blocks are summed and divided by the number of blocks
 Gaussian, averaged per path again and fused by their product; paths with at
 least ``SHARE`` of the best path's value are content; paths whose text is
 mostly links count for nothing.  Content nodes are the blocks of content
-paths.  Where they sit in one element, every remaining block of it that isn't
-a run of links is content too, however short: the ``article`` (or else
-``main``) that holds most of them, or else the smallest element below the
-body that holds ``MOST`` of their text.
+paths, on every page.
+
+``article`` and ``main`` are a prior: where a page has them, the value of a
+path outside them counts ``1 / PRIOR``.  Every outermost ``article`` or
+``main`` that holds content paths keeps all its blocks, however short, but
+those that are links in a path of links (headings stay).  Where
+most of the content lies outside them, the smallest element below the body
+that holds ``MOST`` of its text keeps each block that isn't a run of links.
 
 Character references are decoded, white space inside a block is one space,
 blocks are trimmed and joined by a line feed.  Null, empty and text-free
@@ -35,6 +39,8 @@ from .common import out, slices
 SHARE = 0.15
 SIGMA = 1.0
 MOST = 0.8
+#: How much more a path counts inside an article or main than outside, on pages that have one.
+PRIOR = 4.0
 #: Share of link text from which a path or block is links.
 LINKS = 0.6
 
@@ -181,7 +187,7 @@ def blocks(page: str) -> list[Block]:
             at = close.end() if close else end
             continue
         gone = gone or _left_out(tag, attrs, box >= 0)
-        if tag in ("article", "main") and not gone and (box < 0 or tag == "article" and not any(t == "article" for t, *_ in stack)):
+        if tag in ("article", "main") and not gone and box < 0:
             box, containers = containers, containers + 1
         elements += 1
         stack.append((tag, gone, box, head or tag == "header" and box >= 0, elements))
@@ -189,7 +195,8 @@ def blocks(page: str) -> list[Block]:
     return found
 
 
-def content_paths(found: list[Block], share: float = SHARE, sigma: float = SIGMA) -> set[str]:
+def path_values(found: list[Block], sigma: float = SIGMA, prior: float = PRIOR) -> dict[str, float]:
+    """Fused ratio of each path; paths of links have none (0)."""
     length: dict[str, float] = {}
     points: dict[str, float] = {}
     links: dict[str, float] = {}
@@ -202,42 +209,46 @@ def content_paths(found: list[Block], share: float = SHARE, sigma: float = SIGMA
     reach = max(1, math.ceil(2 * sigma))
     kernel = [math.exp(-d * d / (2 * sigma * sigma)) for d in range(-reach, reach + 1)]
     line = [(0.0, 0.0) if links[x.path] > LINKS * length[x.path] else (length[x.path] / n[x.path], points[x.path] / n[x.path]) for x in found]
+    boxed = any(x.box >= 0 for x in found)
     fused: dict[str, float] = {}
     for i, x in enumerate(found):
         near = [(kernel[d + reach], line[i + d]) for d in range(-reach, reach + 1) if 0 <= i + d < len(line)]
         weight = sum(k for k, _ in near)
         r = sum(k * y[0] for k, y in near) / weight
         q = sum(k * y[1] for k, y in near) / weight
-        fused[x.path] = fused.get(x.path, 0) + (r * (1 + q) / n[x.path] if line[i][0] else 0.0)
-    best = max(fused.values(), default=0)
-    return {p for p, v in fused.items() if v >= share * best}
+        value = r * (1 + q) / n[x.path] if line[i][0] else 0.0
+        fused[x.path] = fused.get(x.path, 0) + (value / prior if boxed and x.box < 0 else value)
+    return fused
 
 
-def extract(page: str | None) -> tuple[str, int]:
+def extract(page: str | None, share: float = SHARE) -> tuple[str, int]:
     """(main text, blocks)."""
     found = blocks(page or "")
     if not found:
         return "", 0
-    paths = content_paths(found)
-    weight: dict[int, int] = {}
-    for x in found:
-        if x.path in paths and x.box >= 0:
-            weight[x.box] = weight.get(x.box, 0) + len(x.text)
-    if not weight:
-        weight = {x.box: 1 for x in found if x.box >= 0}
-    box = max(weight, key=lambda b: (weight[b], -b), default=-1)
-    if box >= 0:
-        kept = [x.text for x in found if x.box == box]
-    else:
-        held: dict[int, int] = {}
-        total = 0
-        for x in found:
-            if x.path in paths:
-                total += len(x.text)
-                for e in x.inside:
-                    held[e] = held.get(e, 0) + len(x.text)
-        near = max((e for e, v in held.items() if v >= MOST * total and total), default=None)  # the last opened is the innermost
-        kept = [x.text for x in found if (x.path in paths if near is None else near in x.inside and x.links <= LINKS)]
+    values = path_values(found)
+    best = max(values.values())
+    content = [values[x.path] >= share * best for x in found]
+    held: dict[int, int] = {}
+    total = boxed = 0
+    for x, c in zip(found, content, strict=True):
+        if c:
+            total += len(x.text)
+            boxed += len(x.text) if x.box >= 0 else 0
+            for e in x.inside:
+                held[e] = held.get(e, 0) + len(x.text)
+    boxes = {x.box for x, c in zip(found, content, strict=True) if c and x.box >= 0}
+    near = None
+    if 2 * boxed < total:
+        near = max((e for e, v in held.items() if v >= MOST * total), default=None)  # the last opened is the innermost
+    kept = []
+    for x, c in zip(found, content, strict=True):
+        if x.box in boxes:
+            stays = values[x.path] > 0 or x.links <= LINKS or c or x.path.rpartition("/")[2] in HEADINGS
+        else:
+            stays = c if near is None else near in x.inside and x.links <= LINKS
+        if stays:
+            kept.append(x.text)
     return "\n".join(kept), len(kept)
 
 

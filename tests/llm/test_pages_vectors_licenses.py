@@ -33,6 +33,24 @@ def test_path_ratios_without_an_article():
     assert "First & para" in html_extract.extract(page)[0] and "Side text" not in html_extract.extract(page)[0]
 
 
+LONG = "<p>A sentence of some length, with a comma, and more words. Another one follows, as long as that.</p>"
+
+
+@pytest.mark.parametrize("page,text", [
+    (f"<main><h1>Title</h1><p>Lead</p><article>{LONG}</article></main>", "Title\nLead\nA sentence"),
+    (f"<article><h2>One</h2>{LONG * 3}</article><article><h2>Two</h2>{LONG}</article>", "Two\nA sentence"),
+    (f"<main><article><h2>One</h2>{LONG * 3}</article><article><h2>Two</h2>{LONG}</article></main>", "Two\nA sentence"),
+    (f"<article><p>Hi</p></article><div><section><h2>Two</h2>{LONG * 3}</section></div>", "Two\nA sentence")])
+def test_every_box_with_content_paths_is_kept(page, text):
+    assert text in html_extract.extract(page)[0]
+
+
+def test_paths_decide_inside_and_outside_an_article():
+    links = "<ul>" + "<li><a href=x>Another page of this site</a></li>" * 4 + "</ul>"
+    page = f"<div><span>Top</span></div><article><h1><a href=x>Title</a></h1>{LONG * 2}{links}<ul><li>Short</ul></article><section>{LONG * 2}</section>"
+    assert html_extract.extract(page)[0].split("\n") == ["Title", *[LONG[3:-4]] * 2, "Short", *[LONG[3:-4]] * 2]
+
+
 def test_pages_table(spark):
     df = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
     got = {r.page_id: r for r in html_extract.extract_pages(df.withColumn("text", F.lit(1))).collect()}
