@@ -2,8 +2,16 @@
 
 A page becomes its text blocks in page order, each with its root-to-leaf path
 of block-level tags.  Blocks inside menus, site headers, footers, sidebars,
-notices, adverts, forms, scripts, styles and reader comments (by tag, role or
-words of class and id) take no part.  For every path the text length and the
+forms, scripts and styles (by tag or role) and hidden ones take no part.  An
+element with a listed word in its class or id (adverts, notices, comments, ...)
+is left out too unless it stands by itself: it contains a ``main``, or all
+articles and a quarter of the page's text, or on a page without either
+``MOST`` of it; or its own ratios overrule the word, being those of text that
+isn't mostly links, of at least ``OVERRULE`` of the best path's product and of
+``LEAST_INSIDE`` characters inside an article or main, ``LEAST_OUTSIDE``
+elsewhere.  An ``h1`` inside an article or main is never left out for a word.
+
+For every path the text length and the
 punctuation of all its blocks are summed and divided by the number of blocks
 (path ratios).  The ratios are laid along the page, smoothed with a short
 Gaussian, averaged per path again and fused by their product; paths with at
@@ -41,6 +49,9 @@ SIGMA = 1.0
 MOST = 0.8
 #: How much more a path counts inside an article or main than outside, on pages that have one.
 PRIOR = 4.0
+#: From which share of the best path's ratios, and how many characters, the text of an element overrules a listed word.
+OVERRULE = 0.25
+LEAST_INSIDE, LEAST_OUTSIDE = 50, 200
 #: Share of link text from which a path or block is links.
 LINKS = 0.6
 
@@ -74,27 +85,29 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _TOKEN = re.compile(
     r"<!--.*?(?:--!?>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
     r"|<(/?)([a-zA-Z][^\s/>]*)(?:((?>[^>\"']+|\"[^\"]*\"|'[^']*')*)>|([^>]*)(?:>|\Z))", re.S)
-_ATTR = re.compile(r"""(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?(?=[\s/"']|$)""", re.I)
+_ATTR = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 _PUNCT = re.compile(r"[.,;:!?…、。，！？¡¿—–()\"“”«»]")
 
 
-def _left_out(tag: str, attrs: str, inside_article: bool) -> bool:
+def _left_out(tag: str, attrs: str, inside_article: bool) -> tuple[bool, bool]:
+    """(left out by tag, role or hiding; a listed word in class or id)."""
     if tag in LEFT_OUT or tag == "header" and not inside_article:
-        return True
+        return True, False
     if not attrs or tag in ("html", "body", "article", "main"):
-        return False
+        return False, False
+    listed = False
     for name, value in _ATTR.findall(attrs):
         name, value = name.lower(), value.strip("\"'")
         if name == "hidden" or name == "aria-hidden" and value.lower() == "true":
-            return True
+            return True, False
         if name == "role" and value.lower() in LEFT_OUT_ROLES:
-            return True
+            return True, False
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            return True
+            return True, False
         if name in ("class", "id") and tag not in HEADINGS and any(w.lower() in LEFT_OUT_WORDS for w in _NAME.findall(value)):
-            return True
-    return False
+            listed = True
+    return False, listed
 
 
 class Block(NamedTuple):
@@ -103,12 +116,14 @@ class Block(NamedTuple):
     box: int  # the outermost article or main, -1: none
     inside: tuple[int, ...]  # numbers of the elements around it that hold blocks, below the body
     links: float  # share of link text
+    listed: tuple[int, ...] = ()  # numbers of the elements around it with a listed word
 
 
 def blocks(page: str) -> list[Block]:
     """Each block outside what is left out."""
     found: list[Block] = []
-    stack: list[tuple[str, bool, int, bool, int]] = []  # tag, left out, container, in an article's header, number
+    stack: list[tuple[str, bool, int, bool, int, tuple[int, ...]]] = []  # tag, left out, container, in an article's header, number, listed
+    tops: list[tuple[str, tuple[int, ...]]] = []  # tag of each container, listed elements around it
     containers = elements = linked = 0
     text: list[str] = []
     at, end = 0, len(page)
@@ -123,7 +138,8 @@ def blocks(page: str) -> list[Block]:
             joined = " ".join(_html.unescape(raw).split())
             if joined:
                 found.append(Block("/".join(x[0] for x in stack if x[0] in BLOCK), joined, state()[2],
-                                   tuple(x[4] for x in stack if x[0] in HOLDERS), linked / len(raw)))
+                                   tuple(x[4] for x in stack if x[0] in HOLDERS), linked / len(raw),
+                                   stack[-1][5] if stack else ()))
             text.clear()
         linked = 0
 
@@ -180,19 +196,69 @@ def blocks(page: str) -> list[Block]:
         if attrs.endswith("/") and tag in ("svg", "path", "g"):
             continue
         _, gone, box, head = state()
+        listed = stack[-1][5] if stack else ()
         if tag == "body":
-            gone = False
+            gone, listed = False, ()
         if tag in RAW:
             close = re.compile(f"</{tag}(?=[\\s/>])[^>]*>?", re.I).search(page, at)
             at = close.end() if close else end
             continue
-        gone = gone or _left_out(tag, attrs, box >= 0)
+        out_of_it, word = _left_out(tag, attrs, box >= 0)
+        gone = gone or out_of_it
         if tag in ("article", "main") and not gone and box < 0:
             box, containers = containers, containers + 1
+            tops.append((tag, listed))
         elements += 1
-        stack.append((tag, gone, box, head or tag == "header" and box >= 0, elements))
+        if word and not gone:
+            listed = (*listed, elements)
+        stack.append((tag, gone, box, head or tag == "header" and box >= 0, elements, listed))
     flush()
-    return found
+    return _standing(found, tops)
+
+
+def _ratios(found: list[Block]) -> float:
+    """Product of the ratios of some blocks' text outside links, 0 if most of it is links."""
+    chars = sum(len(x.text) for x in found)
+    own = sum(len(x.text) * (1 - x.links) for x in found)
+    if own < (1 - LINKS) * chars:
+        return 0.0
+    return own / len(found) * (1 + sum(len(_PUNCT.findall(x.text)) for x in found) / len(found))
+
+
+def _standing(found: list[Block], tops: list[tuple[str, tuple[int, ...]]]) -> list[Block]:
+    """Without the blocks of elements with a listed word that don't stand by themselves."""
+    held: dict[int, list[Block]] = {}
+    for x in found:
+        for e in x.listed:
+            held.setdefault(e, []).append(x)
+    if not held:
+        return found
+
+    def chars(some: list[Block]) -> float:
+        return sum(len(x.text) * (1 - x.links) for x in some)
+
+    total = chars(found)
+    stands = set()
+    for e, own in held.items():
+        tops_in = [t for t, around in tops if e in around]
+        if ("main" in tops_in or tops_in and len(tops_in) == len(tops) and 4 * chars(own) >= total
+                or not tops and chars(own) >= MOST * total):
+            stands.add(e)
+    paths: dict[str, list[Block]] = {}
+    for x in found:
+        if stands.issuperset(x.listed):
+            paths.setdefault(x.path, []).append(x)
+    boxed = any(x.box >= 0 for own in paths.values() for x in own)
+
+    def value(own: list[Block]) -> float:
+        return _ratios(own) / (PRIOR if boxed and own[0].box < 0 else 1.0)
+
+    best = max(map(value, paths.values()), default=0.0)
+    for e, own in held.items():
+        if chars(own) >= (LEAST_INSIDE if own[0].box >= 0 else LEAST_OUTSIDE) and value(own) >= max(OVERRULE * best, 1e-9):
+            stands.add(e)
+    return [x for x in found if stands.issuperset(x.listed)
+            or x.box >= 0 and x.path.endswith("/h1") and stands.issuperset(tops[x.box][1])]
 
 
 def path_values(found: list[Block], sigma: float = SIGMA, prior: float = PRIOR) -> dict[str, float]:

@@ -51,6 +51,28 @@ def test_paths_decide_inside_and_outside_an_article():
     assert html_extract.extract(page)[0].split("\n") == ["Title", *[LONG[3:-4]] * 2, "Short", *[LONG[3:-4]] * 2]
 
 
+@pytest.mark.parametrize("page", [
+    f'<body><div class="site has-sidebar"><article>{LONG}</article></div></body>',
+    f'<body><div class="with-header no-comments"><main>{LONG}</main></div></body>',
+    f'<body><div class="page no-sidebar">{LONG}</div></body>',
+    f'<article><p>First.</p><section id="discussion"><h2>Discussion</h2>{LONG}</section></article>',
+    f'<article>{LONG}<div class="related-work"><h2>Related work</h2>{LONG}</div></article>',
+    f'<article>{LONG}<div id="notice">{LONG}</div></article>',
+    f'<article><div data-id="comments" data-class="ad"><p>Short one.</p></div>{LONG}</article>',
+    f'<article><p title="a class=ad b">Short one.</p>{LONG}</article>'])
+def test_a_listed_word_alone_drops_nothing(page):
+    seen = " ".join(re.sub("<[^>]*>", " ", page).split())
+    assert " ".join(html_extract.extract(page)[0].split()) == seen
+
+
+def test_listed_elements_without_ratios_of_their_own_go():
+    comments = "".join(f'<div><b>Name {i}</b><div>{i} May</div><p>Nice, thank you!</p><a href=x>Reply</a></div>' for i in range(9))
+    for page in (f'<article>{LONG * 3}<div id="comments">{comments}</div></article>', f'<article>{LONG * 3}</article><div id="comments">{comments}</div>',
+                 f'<div class="ad">Buy now, please. Buy two.</div><article><p>Hi.</p></article>',
+                 f'<article>{LONG * 3}</article><div class="related"><article><p>Teaser, short one.</p></article></div>'):
+        assert "Nice" not in html_extract.extract(page)[0] and "Buy" not in html_extract.extract(page)[0] and "Teaser" not in html_extract.extract(page)[0]
+
+
 def test_pages_table(spark):
     df = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
     got = {r.page_id: r for r in html_extract.extract_pages(df.withColumn("text", F.lit(1))).collect()}
