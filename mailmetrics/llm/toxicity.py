@@ -6,7 +6,12 @@
    (leetspeak), letters spaced or dotted apart, and letters repeated are a
    lattice of readings, and Viterbi decoding under the language model and a
    channel that charges every substitution and dropped repeat picks one.
-   Other words stay as they are, in lower case.
+   Every word that holds a look-alike and isn't a plain number (digits, with
+   a sign or a currency) is decoded, of any length.  Three or more characters
+   spaced or dotted apart are decoded as one word and as words (one may end
+   and another begin at each of them), and once weights are known, every part
+   of the run is looked up among the weighted words.  Other words stay as they
+   are, in lower case.  Readings of one or two letters carry no feature.
 3. The restored text is scored: the distinct words of a text and their
    prefixes (so that derived and inflected words count) carry weights, a lower
    confidence bound of the smoothed log odds of toxic against clean learning
@@ -25,6 +30,7 @@ from __future__ import annotations
 
 import functools
 import math
+import os
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -58,7 +64,8 @@ RESULT = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("score",
 
 _WORD = regex.compile(r"[\p{L}\p{N}@$!|+(€£¡]+(?:['’\-_.*]\p{L}+)*")
 _PLAIN = regex.compile(r"\p{L}+")
-_SPACED = regex.compile(r"(?<![\p{L}\p{N}])(?:[\p{L}\p{N}@$!|+][.\-_*]){3,}[\p{L}\p{N}@$!|+](?![\p{L}\p{N}])")
+_SPACED = regex.compile(r"(?<![\p{L}\p{N}])(?:[\p{L}\p{N}@$!|+][.\-_*]){2,}[\p{L}\p{N}@$!|+](?![\p{L}\p{N}])")
+_NUMBER = regex.compile(r"[+$€£|(]?\p{N}+[$€£+%]?")
 _REPEAT = re.compile(r"(.)\1\1")
 _OPEN, _CLOSE = ".,;:?\"'([{#%&*-–—«»„“”", ".,;:?\"')]}#%&*-–—«»„“”…!|+("
 _TAIL = regex.compile(r"(?:([@$+(€£¡|!])\1+|[!|+(]+)$")
@@ -87,12 +94,20 @@ class CharModel:
             n[self.at[t[0]], self.at[t[1]], self.at[t[2]]] += k
         self.logp = np.log(n / n.sum(2, keepdims=True)).tolist()
 
-    def restore(self, symbols: list[tuple[str, ...]], substitution: float = 1.0, drop: float = 0.5) -> str:
-        """Viterbi over a lattice: each place offers readings, the first is literal, '' drops the place."""
+    def restore(self, symbols: list[tuple[str, ...]], substitution: float = 1.0, drop: float = 0.5, words: bool = False) -> str:
+        """Viterbi over a lattice: each place offers readings, the first is literal, '' drops the place.
+
+        ``words``: a word may end before any place; the words of the reading are joined by a space.
+        """
         at, logp = self.at, self.logp
         edge = at[EDGE]
+        done: list[str] = []  # what all readings have in common
         states: dict[tuple[int, int], tuple[float, str]] = {(edge, edge): (0.0, "")}
-        for readings in symbols:
+        for place, readings in enumerate(symbols, 1):
+            if words and place > 1:
+                s, t = max((s + logp[p][q][edge], t) for (p, q), (s, t) in states.items())
+                if (edge, edge) not in states or s > states[edge, edge][0]:
+                    states[edge, edge] = (s, t + " ")
             new: dict[tuple[int, int], tuple[float, str]] = {}
             for (p, q), (score, text) in states.items():
                 for i, r in enumerate(readings):
@@ -104,7 +119,12 @@ class CharModel:
                     if key not in new or s > new[key][0]:
                         new[key] = (s, t)
             states = new
-        return max(((s + logp[p][q][edge], t) for (p, q), (s, t) in states.items()), default=(0.0, ""))[1]
+            if place % 64 == 0:
+                common = os.path.commonprefix([t for _, t in states.values()])
+                done.append(common)
+                states = {k: (s, t[len(common):]) for k, (s, t) in states.items()}
+        done.append(max(((s + logp[p][q][edge], t) for (p, q), (s, t) in states.items()), default=(0.0, ""))[1])
+        return "".join(done)
 
 
 def lattice(word: str) -> list[tuple[str, ...]]:
@@ -124,12 +144,10 @@ def lattice(word: str) -> list[tuple[str, ...]]:
 
 
 def suspicious(word: str) -> bool:
-    """Mixes letters with look-alikes, or repeats a letter three times."""
+    """Holds a look-alike and isn't a plain number, or repeats a letter three times."""
     if _PLAIN.fullmatch(word):
         return _REPEAT.search(word) is not None
-    letters = sum(c.isalpha() for c in word)
-    odd = sum(c in LOOKALIKES for c in word)
-    return letters >= 2 and odd >= 1 and len(word) <= 40 and letters + odd >= len(word) - 1 and 2 * letters >= odd
+    return any(c in LOOKALIKES for c in word) and _NUMBER.fullmatch(word) is None
 
 
 class Reader:
@@ -138,6 +156,7 @@ class Reader:
     def __init__(self, model: CharModel, known: dict[str, float] | None = None):
         self.model, self.known = model, known
         self.cache: dict[str, tuple[tuple[str, ...], int]] = {}
+        self.starts: set[str] | None = None  # beginnings of known features
 
     def token(self, token: str) -> tuple[tuple[str, ...], int]:
         """Features of the words of a token (no white space inside), and how many were restored."""
@@ -148,8 +167,9 @@ class Reader:
         found, restored = [], 0
         rest = token
         for s in _SPACED.findall(token):
-            found += self.features(self.model.restore(lattice(s)))
-            rest, restored = rest.replace(s, " "), restored + 1
+            words, n = self.apart(s)
+            found += words
+            rest, restored = rest.replace(s, " "), restored + n
         for w in _WORD.findall(rest):
             bare = _TAIL.sub("", w)
             if bare and suspicious(bare):
@@ -165,6 +185,33 @@ class Reader:
             return ()
         return (w, *[w[:n] + "*" for n in PREFIXES if len(w) > n])
 
+    def apart(self, run: str) -> tuple[list[str], int]:
+        """Features of characters spaced or dotted apart (as one word, as words, and known ones of any part), and whether there is a reading."""
+        places = lattice(run)
+        if len(places) < 3:
+            return [], 0
+        found = {f for words in (False, True) for w in self.model.restore(places, words=words).split() for f in self.features(w)}
+        return [*found, *self.parts(places)], 1
+
+    def parts(self, places: list[tuple[str, ...]]) -> set[str]:
+        """Known features that some reading of some part of the places has."""
+        if not self.known:
+            return set()
+        if self.starts is None:
+            self.starts = {w[:i] for w in (f.rstrip("*") for f in self.known) for i in range(len(w) + 1)}
+        found = set()
+        for first in range(len(places)):
+            partial = {""}
+            for readings in places[first:]:
+                letters = [r for r in readings if r]
+                found.update(f for p in partial if (f := p + "*") in self.known)  # a letter follows
+                longer = {p + r for p in partial for r in letters if p + r in self.starts}
+                found.update(p for p in longer if p in self.known)
+                partial = longer | partial - {""} if "" in readings else longer
+                if not partial:
+                    break
+        return found
+
     def read(self, text: str) -> tuple[set[str], int]:
         """(features, distinct readings restored)."""
         tokens = text.lower().split()
@@ -180,16 +227,16 @@ class Reader:
             if got[0]:
                 feats.update(got[0])
             restored += got[1]
-        # letters spaced apart: four or more tokens of one character in a row
+        # letters spaced apart: three or more tokens of one character in a row
         sizes = bytes([1 if n == 1 else 0 for n in map(len, tokens)])
-        at = sizes.find(b"\1\1\1\1")
+        at = sizes.find(b"\1\1\1")
         while at >= 0:
             end = sizes.find(b"\0", at)
             end = len(sizes) if end < 0 else end
-            found = self.features(self.model.restore(lattice("".join(tokens[at:end]))))
+            found, n = self.apart("".join(tokens[at:end]))
             feats.update(f for f in found if self.known is None or f in self.known)
-            restored += 1
-            at = sizes.find(b"\1\1\1\1", end)
+            restored += n
+            at = sizes.find(b"\1\1\1", end)
         return feats, restored
 
 
@@ -274,9 +321,9 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, sample: int = SAMPLE,
     shared = spark.sparkContext.broadcast((model, chosen))
     total = np.array([sum(1 for v in chosen.values() if not v), sum(chosen.values())], float)
 
-    def rows_of(batches: Iterator[pa.RecordBatch]):
+    def rows_of(batches: Iterator[pa.RecordBatch], known: dict[str, float] | None = None):
         model, chosen = shared.value
-        reader = Reader(model)
+        reader = Reader(model, known)
         for b in slices(batches):
             for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 if i in chosen:
@@ -305,7 +352,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, sample: int = SAMPLE,
     sums = pa.schema([("y", pa.int32()), ("x", pa.list_(pa.float64()))])
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [(y, weighed.value.inputs(feats)) for _, y, feats in rows_of(batches)]
+        got = [(y, weighed.value.inputs(feats)) for _, y, feats in rows_of(batches, weighed.value.weights)]
         yield out(sums, y=[g[0] for g in got], x=[g[1] for g in got])
 
     rows = texts.mapInArrow(measure, "y int, x array<double>").collect()  # four numbers a sampled row

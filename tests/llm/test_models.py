@@ -54,6 +54,22 @@ def test_noisy_channel():
     assert reader.read("")[0] == set() and reader.read("word, eux$$$ ###")[1] == 0
 
 
+def test_noisy_channel_whole_lattice():
+    words = ("^^idiot^", "^^moron^", "^^shit^", "^^ass^", "^^stupid^", "^^fool^", "^^you^", "^^are^", "^^a^")
+    model = toxicity.CharModel({t: 50 for w in words for t in (w[i:i + 3] for i in range(len(w) - 2))})
+    reader = toxicity.Reader(model)
+    for seen, meant in (("1d107", "idiot"), ("5h17", "shit"), ("a55", "ass"), ("$" * 30 + "7up1d", "stupid"), ("a.s.s", "ass"), ("a s s", "ass"),
+                        ("you are a s t u p i d", "stupid"), ("s t u p i d f o o l", "stupid"), ("s t u p i d f o o l", "fool")):
+        assert meant in reader.read(f"xx {seen} yy")[0], seen
+    for number in ("455", "$455", "2024", "+10", "10%"):
+        assert reader.read(f"xx {number} yy") == reader.read("xx yy")
+    # a language model that doesn't know the words: known ones are found in every part of a run
+    reader = toxicity.Reader(toxicity.CharModel({}), {"stupid": 3.0, "fool": 2.0, "idio*": 2.0})
+    assert reader.read("you are a 5 t u p 1 d f o o l yy")[0] == {"stupid", "fool"} and reader.read("y.o.u.i.d.i.o.t")[0] == {"idio*"}
+    assert reader.read("i d i o")[0] == set()
+    assert toxicity.CharModel({}).restore(toxicity.lattice("ab" * 100_000)) == "ab" * 100_000
+
+
 def test_toxicity_held_out(spark):
     d = "/root/testdata/sf0.1"
     labels = spark.read.parquet(f"{d}/labels.parquet")
