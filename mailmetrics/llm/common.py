@@ -11,7 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text a task works on at once, in bytes (a longer document is a slice of its own).
@@ -87,6 +87,11 @@ class Scratch:
         self.spark._jvm.System.gc()
 
 
+def row_key(text: Column) -> Column:
+    """64-bit hash that tells texts of one doc_id apart (any number of rows may share an id or have none)."""
+    return F.xxhash64(text)
+
+
 def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, rk, text): rk tells rows apart that repeat a doc_id with another text.
 
@@ -96,7 +101,7 @@ def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return docs.select(
         F.col(id_col).cast("long").alias("doc_id"),
         F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("dk"),
-        F.hash(t).alias("rk"),
+        row_key(t).alias("rk"),
         t.alias("text"),
     )
 

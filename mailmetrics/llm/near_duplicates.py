@@ -43,7 +43,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import seqhash
-from .common import Scratch, grouped, keyed, out, slices, text_bytes
+from .common import Scratch, grouped, keyed, out, row_key, slices, text_bytes
 from .components import components
 from .phrases import word_hashes
 
@@ -95,7 +95,7 @@ def signatures(h: np.ndarray, offsets: np.ndarray, values: int) -> np.ndarray:
     return got
 
 
-SIGNED = pa.schema([("dk", pa.int64()), ("rk", pa.int32()), ("c1", pa.int64()), ("c2", pa.int64()), ("sig", pa.binary())])
+SIGNED = pa.schema([("dk", pa.int64()), ("rk", pa.int64()), ("c1", pa.int64()), ("c2", pa.int64()), ("sig", pa.binary())])
 BUCKET = pa.schema([("id", pa.int64()), ("key", pa.int64())])
 EDGE = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 PROVED = pa.schema([("u", pa.int64()), ("v", pa.int64()), ("links", pa.int64())])
@@ -258,7 +258,7 @@ def jaccard_join(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD,
     agree = least_agreement(bands * rows, threshold)
     base = keyed(docs, id_col, text_col)
     signed = scratch.stage(base.select("dk", "rk", "text").mapInArrow(
-        _sign(n, bands * rows), "dk long, rk int, c1 long, c2 long, sig binary"), "signed")
+        _sign(n, bands * rows), "dk long, rk long, c1 long, c2 long, sig binary"), "signed")
     # classes of equal sets, numbered as they are written
     classes = signed.groupBy("c1", "c2").agg(F.min(F.struct("dk", "rk")).alias("least"), F.count("*").alias("copies"), F.min("sig").alias("sig"))
     classes = scratch.stage(classes.select(F.monotonically_increasing_id().alias("id"), "c1", "c2", "least", "copies", "sig"), "classes")
@@ -328,7 +328,7 @@ def keep_one(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD, id_c
     drop = found.where(~F.col("stays")).select(F.col("dk").alias("_dk"), F.col("rk").alias("_rk")).distinct()
     again = found.where("stays and n_links > 0").groupBy("dk", "rk").agg(F.count("*").alias("_n")).where("_n > 1")
     again = again.select(F.col("dk").alias("_dk"), F.col("rk").alias("_rk"), "_n")
-    rows = docs.withColumns({"_dk": F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))), "_rk": F.hash(F.col(text_col).cast("string"))})
+    rows = docs.withColumns({"_dk": F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))), "_rk": row_key(F.col(text_col).cast("string"))})
     rows = rows.join(drop.hint("merge"), ["_dk", "_rk"], "left_anti")
     if again.isEmpty():
         return rows.select(*docs.columns)

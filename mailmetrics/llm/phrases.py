@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import seqhash
-from .common import Scratch, keyed, out, slices, text_bytes
+from .common import Scratch, keyed, out, row_key, slices, text_bytes
 
 WINDOW_WORDS = 50
 ANCHOR_WORDS = 8
@@ -46,8 +46,8 @@ ANCHOR_WORDS = 8
 SHARD_BYTES = 1 << 21
 LEN_BITS = 16
 
-ENTRY = pa.schema([("dk", pa.int64()), ("rk", pa.int32()), ("a", pa.int64()), ("w", pa.int64()), ("run", pa.int64())])
-WINDOW = pa.schema([("dk", pa.int64()), ("rk", pa.int32()), ("run", pa.int64()), ("v", pa.int64()), ("ask", pa.bool_())])
+ENTRY = pa.schema([("dk", pa.int64()), ("rk", pa.int64()), ("a", pa.int64()), ("w", pa.int64()), ("run", pa.int64())])
+WINDOW = pa.schema([("dk", pa.int64()), ("rk", pa.int64()), ("run", pa.int64()), ("v", pa.int64()), ("ask", pa.bool_())])
 RESULT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string())])
 
 _SPACE = np.zeros(256, bool)
@@ -104,7 +104,7 @@ def recurring_runs(docs: DataFrame, n: int = WINDOW_WORDS, k: int = ANCHOR_WORDS
     """(dk, rk, runs): for each row of ``keyed`` documents, [run, origin] of windows that start in an earlier document."""
     scratch = Scratch(docs.sparkSession, "phrases")
     texts = docs.where("doc_id is not null").select("dk", "rk", "text")
-    entries = scratch.stage(texts.mapInArrow(_entries(n, k), "dk long, rk int, a long, w long, run long"), "entries")
+    entries = scratch.stage(texts.mapInArrow(_entries(n, k), "dk long, rk long, a long, w long, run long"), "entries")
     keys = entries.groupBy("a").agg(F.min("dk").alias("d0"), F.max("dk").alias("d1"), F.min("w").alias("lo"), F.max("w").alias("hi"))
     keys = scratch.stage(keys.where("d0 < d1").selectExpr("a", "d0", "lo <> hi as mixed"), "keys")  # else a hot anchor can't be split below
     hits = entries.join(keys, "a").where("mixed or dk > d0")
@@ -115,7 +115,7 @@ def recurring_runs(docs: DataFrame, n: int = WINDOW_WORDS, k: int = ANCHOR_WORDS
     mixed = scratch.stage(hits.where("mixed").join(kinds, ["a", "w"]), "mixed")
     shown = mixed.where("dk = origin").selectExpr("dk", "rk", "run", "dk > d0 as ask")
     shown = shown.groupBy("dk", "rk").agg(F.collect_list(F.struct("run", "ask")).alias("runs"))
-    windows = texts.join(shown.hint("merge"), ["dk", "rk"]).mapInArrow(_windows(n), "dk long, rk int, run long, v long, ask boolean")
+    windows = texts.join(shown.hint("merge"), ["dk", "rk"]).mapInArrow(_windows(n), "dk long, rk long, run long, v long, ask boolean")
     windows = scratch.stage(windows, "windows")
     scratch.free_shuffles()
     origin = scratch.stage(windows.groupBy("v").agg(F.min("dk").alias("origin"), F.max("dk").alias("d1")).where("origin < d1").select("v", "origin"), "origin")
@@ -200,6 +200,6 @@ def rewrite_documents(docs: DataFrame, n: int = WINDOW_WORDS, k: int = ANCHOR_WO
     """``docs`` with all its rows and columns; a text that loses words becomes its kept words joined by a space."""
     names = docs.columns
     runs = recurring_runs(keyed(docs, id_col, text_col), n, k).select(F.col("dk").alias("_dk"), F.col("rk").alias("_rk"), F.col("runs").alias("_runs"))
-    rows = docs.withColumns({"_dk": F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))), "_rk": F.hash(F.col(text_col).cast("string"))})
+    rows = docs.withColumns({"_dk": F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))), "_rk": row_key(F.col(text_col).cast("string"))})
     rows = rows.join(runs.hint("merge"), ["_dk", "_rk"], "left").select(*names, "_runs")
     return rows.mapInArrow(_rewrite(n, names.index(id_col), names.index(text_col)), docs.schema)

@@ -51,12 +51,12 @@ LEN_BITS = 16
 #: Different runs of an anchor that one task compares.
 KINDS = 1024
 
-ENTRY = pa.schema([("dk", pa.int64()), ("rk", pa.int32()), ("batch", pa.int32()), ("a", pa.int64()),
+ENTRY = pa.schema([("dk", pa.int64()), ("rk", pa.int64()), ("batch", pa.int32()), ("a", pa.int64()),
                    ("w", pa.int64()), ("run", pa.int64())])
 SPAN = pa.schema([("a", pa.int64()), ("w", pa.int64()), ("many", pa.bool_()), ("alone", pa.bool_()), ("dk", pa.int64()),
-                  ("rk", pa.int32()), ("run", pa.int64()), ("span", pa.binary())])
-WINDOW = pa.schema([("v", pa.int64()), ("w", pa.int64()), ("alone", pa.bool_()), ("dk", pa.int64()), ("rk", pa.int32()), ("run", pa.int64())])
-FOUND = pa.schema([("dk", pa.int64()), ("rk", pa.int32()), ("run", pa.int64())])
+                  ("rk", pa.int64()), ("run", pa.int64()), ("span", pa.binary())])
+WINDOW = pa.schema([("v", pa.int64()), ("w", pa.int64()), ("alone", pa.bool_()), ("dk", pa.int64()), ("rk", pa.int64()), ("run", pa.int64())])
+FOUND = pa.schema([("dk", pa.int64()), ("rk", pa.int64()), ("run", pa.int64())])
 RESULT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()),
                     ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
 KEPT = pa.schema([("doc_id", pa.int64()), ("text", pa.binary()), ("spans", pa.list_(pa.int64()))])
@@ -151,7 +151,7 @@ def repeated_runs(docs: DataFrame, n: int = REPEAT_BYTES, k: int = ANCHOR_BYTES,
     spark = docs.sparkSession
     scratch = Scratch(spark, "suffix")
     rows = docs.select("dk", "rk", F.pmod(F.xxhash64("dk", "rk"), F.lit(batches)).cast("int").alias("batch"), "text")
-    entries = scratch.stage(rows.mapInArrow(_entries(n, k), "dk long, rk int, batch int, a long, w long, run long"),
+    entries = scratch.stage(rows.mapInArrow(_entries(n, k), "dk long, rk long, batch int, a long, w long, run long"),
                             "entries", ["batch"])
     family = SuffixArrayFamily(spark, scratch)
     matches: list[DataFrame] = []
@@ -174,11 +174,11 @@ def repeated_runs(docs: DataFrame, n: int = REPEAT_BYTES, k: int = ANCHOR_BYTES,
     shown = kinds.join(scratch.stage(open_, "open"), "a").selectExpr("one.dk", "one.rk", "one.run", "a", "w", "many", "n = 1 as alone")
     shown = shown.groupBy("dk", "rk").agg(F.collect_list(F.struct("run", "a", "w", "many", "alone")).alias("runs"))
     spans = docs.select("dk", "rk", "text").join(shown.hint("merge"), ["dk", "rk"]).mapInArrow(
-        _spans(n), "a long, w long, many boolean, alone boolean, dk long, rk int, run long, span binary")
+        _spans(n), "a long, w long, many boolean, alone boolean, dk long, rk long, run long, span binary")
     spans = scratch.stage(spans, "spans")
     scratch.free_shuffles()
-    few = spans.where("not many").repartition("a").sortWithinPartitions("a", "w").mapInArrow(_compare(n), "dk long, rk int, run long")
-    windows = spans.where("many").mapInArrow(_windows(n), "v long, w long, alone boolean, dk long, rk int, run long")
+    few = spans.where("not many").repartition("a").sortWithinPartitions("a", "w").mapInArrow(_compare(n), "dk long, rk long, run long")
+    windows = spans.where("many").mapInArrow(_windows(n), "v long, w long, alone boolean, dk long, rk long, run long")
     twice = windows.groupBy("v").agg(F.min("w").alias("lo"), F.max("w").alias("hi")).where("lo <> hi").select("v")
     many = windows.where("alone").join(scratch.stage(twice, "twice"), "v", "left_semi").select("dk", "rk", "run")
     whole = hits.where("not mixed").select("dk", "rk", "run").unionByName(

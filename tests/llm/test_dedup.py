@@ -78,6 +78,19 @@ def test_keep_one_of_each_group(spark):
     assert sorted(r.doc_id for r in kept if not r.text) == sorted(d for d, t in rows if not t)  # take no part
 
 
+def test_texts_of_one_id_with_equal_short_hashes(spark):
+    texts = spark.range(300_000).select(F.concat_ws(" ", *[F.md5(F.concat_ws("-", "id", F.lit(j))) for j in range(12)]).alias("t"))
+    same = texts.groupBy(F.hash("t")).agg(F.sort_array(F.collect_list("t")).alias("t")).where("size(t) > 1").orderBy("t").first().t
+    rows = [(1, same[0]), (7, same[0]), (7, same[1]), (None, same[1][::-1])]
+    df = spark.createDataFrame(rows, DOCS)
+    assert tuples(near_duplicates.keep_one(df)) == sorted([rows[0], rows[2], rows[3]], key=str)
+    found = near_duplicates.jaccard_join(df).select("doc_id", "class_id", "copy_id", "n_links")
+    assert tuples(found) == sorted([(1, 1, 1, 1), (7, 1, 1, 1), (7, 7, 7, 0), (None, None, None, 0)], key=str)
+    assert tuples(phrases.remove_repeated_passages(df, 6, 2)) == passages(rows, 6)
+    assert {r.text for r in phrases.rewrite_documents(df, 6, 2).collect()} == {same[0], "", same[1], same[1][::-1]}
+    assert tuples(suffix_index.remove_repeats(df, 24, 6)) == repeats(rows, 24)
+
+
 def test_band_count():
     assert near_duplicates.band_count(0.8, 4, 0.9999) == 18
     b = near_duplicates.band_count(0.8, 5, 0.999)
