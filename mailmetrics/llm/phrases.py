@@ -14,9 +14,10 @@ in a document with a smaller id.  Three steps:
    ids).  A shard is a slice of documents; its automaton holds the confirmed
    passages (maximal runs of recurring windows) of the slice, each with the
    smallest document id above which it is a repeat.
-3. Stream all documents through their shard's automaton, which locates every
-   occurrence of every passage; words covered by one with a larger document
-   id than the passage's origin go.
+3. Stream all documents through their shard's automaton; words covered by an
+   occurrence with a larger document id than the passage's origin go.  Step 1
+   has located these occurrences already; the automaton checks them again
+   word for word and changes no result.
 
 Words are maximal runs of bytes other than 0x20 and 0x09-0x0D.  Null and
 empty texts have no words.  Documents with a null id are neither origin nor
