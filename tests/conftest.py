@@ -3,10 +3,9 @@ import sys
 
 import pytest
 
-ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-sys.path.insert(0, ROOT)
+sys.path[:0] = [os.path.dirname(os.path.abspath(__file__)), os.path.dirname(os.path.dirname(os.path.abspath(__file__)))]
 
-TESTDATA = "/root/testdata"
+from helpers import sf_dir  # noqa: E402
 
 
 @pytest.fixture(scope="session")
@@ -17,10 +16,6 @@ def spark():
     yield s
 
 
-def sf_dir(sf: str) -> str:
-    return os.path.join(TESTDATA, f"sf{sf}")
-
-
 @pytest.fixture(scope="session")
 def duck_small():
     from mailmetrics.oracle.compare import duckdb_connection

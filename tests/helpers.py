@@ -1,12 +1,20 @@
-"""Build small source tables by hand for edge-case tests."""
+"""Paths of the test tables, and small source tables built by hand for edge-case tests."""
 
 from __future__ import annotations
 
 import datetime as dt
+import os
 
 from mailmetrics.sources.schemas import SCHEMAS
 from mailmetrics.sources.tables import Sources
 
+ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+TESTDATA = "/root/testdata"
+
+
+def sf_dir(sf: str) -> str:
+    return os.path.join(TESTDATA, f"sf{sf}")
+
 
 def ts(s: str) -> dt.datetime:
     return dt.datetime.fromisoformat(s)

@@ -5,7 +5,7 @@ import os
 import subprocess
 import sys
 
-from conftest import ROOT, sf_dir
+from helpers import ROOT, sf_dir
 
 
 def test_bench_smoke(tmp_path):

@@ -5,7 +5,7 @@ import tempfile
 from mailmetrics.__main__ import main
 from mailmetrics.sources.tables import Sources
 
-from conftest import sf_dir
+from helpers import sf_dir
 
 
 def test_cli_writes_reports(spark):

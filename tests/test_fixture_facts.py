@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from mailmetrics.plans.catalog import build_report
 from mailmetrics.sources.tables import Sources
 
-from conftest import sf_dir
+from helpers import sf_dir
 
 
 @pytest.fixture(scope="module")

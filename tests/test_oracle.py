@@ -14,7 +14,7 @@ from mailmetrics.plans.catalog import REPORTS, build_report
 from mailmetrics.sources.fixtures import derive_sources
 from mailmetrics.sources.tables import Sources
 
-from conftest import sf_dir
+from helpers import sf_dir
 
 QUERIES = entry.queries()
 SQL = entry.oracle_sql()

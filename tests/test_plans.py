@@ -13,7 +13,7 @@ import pytest
 from mailmetrics.plans.catalog import REPORTS, build_report
 from mailmetrics.sources.tables import Sources
 
-from conftest import sf_dir
+from helpers import sf_dir
 
 AS_OF = "2001-08-01 00:00:00"
 

@@ -46,6 +46,8 @@ def random_tables(seed: int) -> dict:
             ab_testing_winner_selection=rnd.choice(["manual", "clicks", "open", "reply"]),
             ab_testing_completed=rnd.choice([True, False, None]),
             ab_testing_is_winner_mailing=rnd.choice([True, False, None]), **ratios))
+    # a done e-mail mailing that no trace belongs to
+    mailings.append(dict(id=40, subject="no traces", mailing_type="mail", state="done", sent=10, sent_date=T0))
     emails = [None, ""] + [f"a{i}@x" for i in range(25)] + ["A1@x"]
     traces = []
     for i in range(600):
@@ -75,6 +77,8 @@ def random_tables(seed: int) -> dict:
     contacts = [dict(id=i, email=rnd.choice(emails[2:])) for i in range(40)]
     subs = [dict(id=i, contact_id=rnd.randint(0, 45), list_id=rnd.choice([0, 1, 2, 3, 9]),
                  opt_out=rnd.choice([True, False, None])) for i in range(120)]
+    # a list whose opt_out is unknown for every contact
+    subs += [dict(id=120 + i, contact_id=i, list_id=4, opt_out=None) for i in range(3)]
     return dict(mailing_mailing=mailings, mailing_trace=traces, marketing_campaign=campaigns,
                 marketing_participant=participants, marketing_activity=activities, mailing_list=lists,
                 mailing_contact=contacts, mailing_contact_subscription=subs)

@@ -4,7 +4,7 @@ from mailmetrics import register_reports
 from mailmetrics.plans.catalog import REPORTS
 from mailmetrics.sources.tables import Sources
 
-from conftest import sf_dir
+from helpers import sf_dir
 
 
 def test_register_reports_twice_and_query_with_sql(spark):

@@ -8,7 +8,7 @@ from mailmetrics.plans import audience
 from mailmetrics.sources.schemas import SCHEMAS
 from mailmetrics.sources.tables import Sources, conform
 
-from conftest import sf_dir
+from helpers import sf_dir
 from helpers import sources, trace
 
 

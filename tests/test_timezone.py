@@ -5,7 +5,7 @@ import pytest
 import __spark_entry__ as entry
 from mailmetrics.oracle.compare import compare
 
-from conftest import sf_dir
+from helpers import sf_dir
 
 
 @pytest.mark.parametrize("key", ["reengagement", "monthly_trend", "send_time_analysis",
