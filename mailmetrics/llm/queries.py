@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, html_extract, langid, licenses, near_duplicates, phrases, suffix_index, topk, toxicity
+from . import bpe, decontaminate, html_extract, langid, licenses, near_duplicates, phrases, reply_trees, suffix_index, topk, toxicity
 from .common import crc_mod, read_table, prepare
 
 #: The vocabulary file of ``op8_bpe`` (a parameter of the operator).
@@ -71,6 +71,11 @@ def prepared(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[Spark
     return run
 
 
+def op11_reply_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return reply_trees.conversation_digests(rows.unionByName(reply_trees.sample_conversation(spark)))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: prepared(query) for name, query in {
     "op1_tag_paths": op1_tag_paths,
     "op2_licenses": op2_licenses,
@@ -82,6 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: prepared(q
     "op8_bpe": op8_bpe,
     "op9_langid": op9_langid,
     "op10_decontaminate": op10_decontaminate,
+    "op11_reply_trees": op11_reply_trees,
 }.items()}
 
 #: DuckDB SQL where SQL can express the result.
@@ -100,4 +106,5 @@ s as (
 r as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s)
 select query_id, rank::int as rank, vec_id, score from r where rank <= 5
 """,
+    "op11_reply_trees": reply_trees.oracle_sql(),
 }
