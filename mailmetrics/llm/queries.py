@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, html_extract, langid, licenses, near_duplicates, phrases, reply_trees, suffix_index, topk, toxicity
+from . import bpe, decontaminate, html_extract, langid, licenses, near_duplicates, phrases, reply_trees, spelling, suffix_index, topk, toxicity
 from .common import crc_mod, read_table, prepare
 
 #: The vocabulary file of ``op8_bpe`` (a parameter of the operator).
@@ -76,6 +76,10 @@ def op11_reply_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reply_trees.conversation_digests(rows.unionByName(reply_trees.sample_conversation(spark)))
 
 
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.document_variants(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: prepared(query) for name, query in {
     "op1_tag_paths": op1_tag_paths,
     "op2_licenses": op2_licenses,
@@ -88,6 +92,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: prepared(q
     "op9_langid": op9_langid,
     "op10_decontaminate": op10_decontaminate,
     "op11_reply_trees": op11_reply_trees,
+    "op12_spelling": op12_spelling,
 }.items()}
 
 #: DuckDB SQL where SQL can express the result.
