@@ -7,17 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, html_extract, langid, licenses, near_duplicates, phrases, reply_trees, spelling, suffix_index, topk, toxicity
+from . import alignment, bpe, decontaminate, html_extract, langid, licenses, near_duplicates, phrases, reply_trees, spelling, suffix_index, topk, toxicity
 from .common import crc_mod, read_table, prepare
 
-#: The vocabulary file of ``op8_bpe`` (a parameter of the operator).
+#: The vocabulary files of ``op8_bpe`` and ``op13_alignment`` (parameters of the operators).
 VOCABULARY = "byte_bpe_50k.json"
+PIECES = "piece_bpe_32k.model"
 
 
-def vocabulary_path() -> str:
+def vocabulary_path(name: str = VOCABULARY) -> str:
     import public_tokenizers
 
-    return public_tokenizers.path(VOCABULARY)
+    return public_tokenizers.path(name)
 
 
 def op1_tag_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,6 +81,10 @@ def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.document_variants(read_table(spark, sf_dir, "documents"))
 
 
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align_documents(read_table(spark, sf_dir, "documents"), vocabulary_path(), vocabulary_path(PIECES))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: prepared(query) for name, query in {
     "op1_tag_paths": op1_tag_paths,
     "op2_licenses": op2_licenses,
@@ -93,6 +98,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: prepared(q
     "op10_decontaminate": op10_decontaminate,
     "op11_reply_trees": op11_reply_trees,
     "op12_spelling": op12_spelling,
+    "op13_alignment": op13_alignment,
 }.items()}
 
 #: DuckDB SQL where SQL can express the result.
