@@ -5,8 +5,8 @@ partition.  That is fine for results bounded by a small domain (months, hours,
 trigger types) and is what ``small_row_number`` does.  Reports with one row
 per e-mail address or per day-and-campaign grow with the data, so they get:
 
-* ``bucketed_row_number``: count rows per order-preserving bucket, add up
-  the counts into offsets, number rows inside their bucket.  All lazy.
+* ``range_row_number``: deal rows out by ranges of the order, sort inside the
+  ranges, and add what earlier ranges hold to a row's place in its own.  Lazy.
 * ``histogram_rank``: SQL ``RANK()`` on a column with few distinct values
   (a 2-decimal score): count rows per value, running sum over that small
   table, join back.
@@ -25,37 +25,34 @@ def small_row_number(df: DataFrame, order: Sequence[Column], name: str = "id") -
     return df.withColumn(name, F.row_number().over(Window.orderBy(*order)).cast("bigint"))
 
 
-def bucketed_row_number(
-    df: DataFrame,
-    order: Sequence[Column],
-    coarse: Column,
-    fine: Column | None = None,
-    name: str = "id",
-) -> DataFrame:
+def range_row_number(df: DataFrame, order: Sequence[Column], name: str = "id", ranges: int | None = None) -> DataFrame:
     """``ROW_NUMBER() OVER (ORDER BY order)`` without sorting all rows in one task.
 
-    ``coarse`` and, inside it, ``fine`` are non-null bucket keys that ascend
-    with ``order``.  The running offset over ``coarse`` is the only global
-    step, one row per value (a score, a day, a campaign); inside each, ``fine``
-    buckets are offset and rows are numbered per (coarse, fine).  A bucket may
-    hold any number of rows: it is sorted with spilling, nothing is dropped.
+    One range exchange: Spark samples the order's values and cuts them into
+    ``ranges`` (default: the shuffle partitions) of about equal size, whatever
+    prefix or leading column the values share.  Rows are sorted inside their
+    range; a row's number is its place there plus the rows of earlier ranges.
+    Only rows equal in the whole order can't be parted.  The counts of the
+    ranges (one row each, broadcast) come from the same exchange: both sides
+    ask it for all columns, so Spark runs it, and what stands below, once.
+    Were it run twice (``spark.sql.exchange.reuse`` off), the samples could
+    cut differently: then some range holds a row more than was counted, and
+    the query fails instead of giving that row a wrong number.
     The new bigint column starts at 1 and comes first.
     """
-    fine = F.lit("") if fine is None else fine
-    b = df.withColumns({"_coarse": coarse, "_fine": fine})
-    counts = b.groupBy("_coarse", "_fine").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.groupBy(F.col("_coarse").alias("_c")).agg(F.sum("_n").alias("_m"))
-    starts = starts.select("_c", F.coalesce(F.sum("_m").over(before), F.lit(0)).alias("_start"))
-    inside = Window.partitionBy("_coarse").orderBy("_fine").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.withColumn("_inside", F.coalesce(F.sum("_n").over(inside), F.lit(0)))
-    offsets = offsets.join(starts, offsets["_coarse"] == starts["_c"]).select(
-        F.col("_coarse").alias("_oc"), F.col("_fine").alias("_of"), (F.col("_start") + F.col("_inside")).alias("_offset")
-    )
-    place = F.row_number().over(Window.partitionBy("_coarse", "_fine").orderBy(*order))
-    rows = b.withColumn("_place", place)
-    j = rows.join(offsets, (rows["_coarse"] == offsets["_oc"]) & (rows["_fine"] == offsets["_of"]))
-    return j.select((F.col("_offset") + F.col("_place")).cast("bigint").alias(name), *df.columns)
+    n = ranges or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = df.repartitionByRange(n, *order)
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))  # the lower bits count a partition's rows
+    rows = dealt.sortWithinPartitions(*order).select(F.spark_partition_id().alias("_range"), place.alias("_place"), *df.columns)
+    whole = F.xxhash64(*df.columns)
+    counts = dealt.groupBy(F.spark_partition_id().alias("_r")).agg(F.count(F.lit(1)).alias("_n"), F.max(whole).alias("_most"))
+    before = Window.orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("_r", "_n", "_most", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+    j = rows.join(F.broadcast(offsets), F.col("_range") == F.col("_r"), "left")
+    counted = (F.col("_place") < F.col("_n")) & (whole <= F.col("_most"))
+    number = F.when(counted, F.col("_offset") + F.col("_place") + 1).otherwise(
+        F.raise_error(F.lit("range_row_number: rows and counts were dealt out differently; it needs spark.sql.exchange.reuse")))
+    return j.select(number.cast("bigint").alias(name), *df.columns)
 
 
 def histogram_rank(df: DataFrame, value: str, name: str = "rank", descending: bool = True) -> DataFrame:

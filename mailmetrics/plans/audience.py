@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.metrics import hundredths_to_double, pct, round_div, tier
-from ..operators.ranking import bucketed_row_number
+from ..operators.ranking import range_row_number
 from ..operators.rollups import email_mailing_ids
 from ..sources.tables import Sources
 
@@ -21,8 +21,6 @@ ENGAGEMENT_DEFAULT_TIER = "Cold"
 HEALTH_BOUNCE_WEIGHT = 20
 HEALTH_BADGES = ((85, "Healthy"), (60, "Average"))
 HEALTH_DEFAULT_BADGE = "Needs Cleaning"
-PREFIX = 6   # characters of an address that make a numbering bucket
-SALTS = 64   # parts of an address's missed mailings
 REENGAGEMENT_DAYS = ((90, "Lost"), (60, "Dormant"), (30, "At Risk"))
 
 
@@ -78,7 +76,7 @@ def contact_engagement(src: Sources, numbered: bool = True, *,
     if not numbered:
         return scored
     order = [F.col("engagement_score").desc_nulls_first(), F.col("email").asc_nulls_last()]
-    return bucketed_row_number(scored, order, -F.col("engagement_score"), _prefix())
+    return range_row_number(scored, order)
 
 
 def list_health(src: Sources, *, bounce_weight: int = HEALTH_BOUNCE_WEIGHT,
@@ -138,35 +136,37 @@ def list_health(src: Sources, *, bounce_weight: int = HEALTH_BOUNCE_WEIGHT,
     )
 
 
-def _prefix() -> Column:
-    """A bucket of addresses that follows their order."""
-    return F.substring("email", 1, PREFIX)
-
-
 def _missed_per_address(src: Sources) -> DataFrame:
-    """(address, last open, mailings missed since).
-
-    Two narrow scans: the last open per address (a plain maximum, combined
-    map-side) and the unopened traces per (address, mailing) with the last
-    send.  Their join on the address is followed by an exchange on (address,
-    mailing hash) of its own, so a hot address can be split in the join and
-    its count is a sum of partial counts.
+    """(address, last open, mailings missed since), from one scan of the traces.
+
+    Per (address, mailing) the last open and the last send that was not
+    opened are two events.  All events are numbered by address, newest first
+    (an open before a send of the same time, sends without a time last).
+    Before an address's first open in that order there are only sends, so
+    the distance of the two numbers is the count of mailings missed; without
+    an open it is the count of its events.  Numbers, minima and counts merge
+    map-side, so a hot address is spread over ranges and never joined.
     """
     t = _addressed(src.mailing_trace)
-    last = t.groupBy("email").agg(F.max("open_datetime").alias("last_opened"))
-    pairs = t.where(F.col("open_datetime").isNull() & F.col("mass_mailing_id").isNotNull()).groupBy(
-        "email", "mass_mailing_id"
-    ).agg(F.max("sent_datetime").alias("_sent"))
-    lo = last.select(F.col("email").alias("_email"), F.col("last_opened").alias("_last"))
-    missed = pairs.join(lo, pairs["email"] == lo["_email"]).where(
-        F.col("_last").isNull() | (F.col("_sent") > F.col("_last"))
-    ).select("email", F.pmod(F.xxhash64("mass_mailing_id"), F.lit(SALTS)).alias("_salt"))
-    missed = missed.repartition("email", "_salt").groupBy("email", "_salt").agg(F.count(F.lit(1)).alias("_n"))
-    missed = missed.groupBy("email").agg(F.sum("_n").alias("_n"))
-    n = missed.select(F.col("email").alias("_email"), "_n")
-    return last.join(n, last["email"] == n["_email"], "left").select(
-        "email", "last_opened", F.coalesce("_n", F.lit(0)).alias("campaigns_since_last_open")
+    opened = F.col("open_datetime")
+    pairs = t.groupBy("email", "mass_mailing_id").agg(
+        F.max("open_datetime").alias("_open"),
+        F.max(F.when(opened.isNull(), F.col("sent_datetime"))).alias("_sent"),
+        F.count_if(opened.isNull()).alias("_unopened"),
+    )
+    seen = F.when(F.col("_open").isNotNull(), F.struct(F.col("_open").alias("at"), F.lit(0).alias("kind")))
+    unopened = (F.col("_unopened") > 0) & F.col("mass_mailing_id").isNotNull()
+    missed = F.when(unopened, F.struct(F.col("_sent").alias("at"), F.lit(1).alias("kind")))
+    nothing = F.when(F.col("_open").isNull() & ~unopened, F.struct(F.col("_open").alias("at"), F.lit(2).alias("kind")))
+    events = pairs.select("email", F.explode(F.array_compact(F.array(seen, missed, nothing))).alias("_e")).select("email", "_e.at", "_e.kind")
+    order = [F.col("email").asc(), F.col("at").desc_nulls_last(), F.col("kind").asc()]
+    e = range_row_number(events, order, "_number")
+    number, kind = F.col("_number"), F.col("kind")
+    per = e.groupBy("email").agg(
+        F.max(F.when(kind == 0, F.col("at"))).alias("last_opened"), F.min(number).alias("_first"),
+        F.min(F.when(kind == 0, number)).alias("_open"), F.count_if(kind == 1).alias("_missed"),
     )
+    return per.select("email", "last_opened", F.coalesce(F.col("_open") - F.col("_first"), F.col("_missed")).alias("campaigns_since_last_open"))
 
 
 def _clock(as_of: dt.datetime | str | None) -> Column:
@@ -213,6 +213,4 @@ def reengagement(src: Sources, as_of: dt.datetime | str | None = None,
     )
     if not numbered:
         return out
-    day = F.coalesce(F.unix_date(F.to_date(lo)), F.lit(-(2**31)))  # never opened: first
-    return bucketed_row_number(out, [lo.asc_nulls_first(), F.col("email").asc_nulls_last()], day,
-                               F.coalesce(F.date_format(lo, "HHmmss"), _prefix()))
+    return range_row_number(out, [lo.asc_nulls_first(), F.col("email").asc_nulls_last()])

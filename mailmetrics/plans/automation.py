@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.metrics import mean2, ratio_exact_sql
-from ..operators.ranking import bucketed_row_number
+from ..operators.ranking import range_row_number
 from ..operators.rollups import participant_rollup
 from ..sources.tables import Sources
 
@@ -94,7 +94,7 @@ def participant_breakdown(src: Sources, numbered: bool = True) -> DataFrame:
 
     The day is returned as a midnight timestamp.  Ids follow the group keys
     ascending with nulls last; the result grows with campaigns x days, so
-    rows are numbered within their campaign and campaigns are offset.
+    rows are numbered by ranges of the keys.
     ``numbered=False`` leaves out ``id``.
     """
     day = F.to_date("create_date")
@@ -109,5 +109,4 @@ def participant_breakdown(src: Sources, numbered: bool = True) -> DataFrame:
     if not numbered:
         return g
     order = [F.col(c).asc_nulls_last() for c in ("campaign_id", "state", "is_test", "create_date")]
-    campaign = F.coalesce(F.col("campaign_id"), F.lit(2**63 - 1))  # nulls last
-    return bucketed_row_number(g, order, campaign)
+    return range_row_number(g, order)

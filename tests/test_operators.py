@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from mailmetrics.operators.ranking import bucketed_row_number, histogram_rank, small_row_number
+from mailmetrics.operators.ranking import histogram_rank, range_row_number, small_row_number
 
 
 @pytest.fixture(scope="module")
@@ -19,12 +19,11 @@ def rows():
     return data
 
 
-@pytest.mark.parametrize("fine", [None, 2, 8])
-def test_bucketed_row_number_equals_row_number(spark, rows, fine):
+@pytest.mark.parametrize("ranges", [None, 1, 2, 8, 5000])
+def test_range_row_number_equals_row_number(spark, rows, ranges):
     df = spark.createDataFrame(rows, "email string, score long, tag string").repartition(5)
     order = [F.col("score").desc_nulls_first(), F.col("email").asc_nulls_last()]
-    coarse = F.coalesce(-F.col("score"), F.lit(-(10**6)))  # nulls first
-    got = bucketed_row_number(df, order, coarse, None if fine is None else F.substring("email", 1, fine))
+    got = range_row_number(df, order, ranges=ranges)
     assert got.columns[0] == "id" and dict(got.dtypes)["id"] == "bigint"
     got = {r["email"]: r["id"] for r in got.collect()}
     want = {r["email"]: r["rn"] for r in
@@ -33,9 +32,40 @@ def test_bucketed_row_number_equals_row_number(spark, rows, fine):
     assert sorted(got.values()) == list(range(1, len(rows) + 1))
 
 
-def test_bucketed_row_number_empty(spark):
+def test_range_row_number_empty(spark):
     df = spark.createDataFrame([], "email string, score long")
-    assert bucketed_row_number(df, [F.col("email")], F.col("score")).count() == 0
+    assert range_row_number(df, [F.col("email")]).count() == 0
+
+
+def test_ranges_are_even_whatever_the_rows_share(spark):
+    # one score and one prefix for every row: only the end of the address tells them apart
+    df = spark.range(200_000).select(F.concat(F.lit("same-long-prefix"), F.lpad(F.col("id").cast("string"), 9, "0")).alias("email"),
+                                     F.lit(1.0).alias("score")).repartition(7)
+    numbered = range_row_number(df, [F.col("score").desc(), F.col("email").asc()], ranges=16)
+    parts = [r["count"] for r in numbered.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(parts) == 16 and max(parts) <= 4 * sorted(parts)[8]
+    wrong = numbered.where(F.concat(F.lit("same-long-prefix"), F.lpad((F.col("id") - 1).cast("string"), 9, "0")) != F.col("email"))
+    assert numbered.count() == 200_000 and wrong.isEmpty()
+
+
+def test_numbers_survive_filters_and_limits_above(spark, rows):
+    df = spark.createDataFrame(rows, "email string, score long, tag string").repartition(5)
+    numbered = range_row_number(df, [F.col("email").asc()])
+    want = {e: i for i, e in enumerate(sorted(r[0] for r in rows), 1)}
+    for part in (numbered.where("tag = 'a'"), numbered.select("email", "id"), numbered.orderBy(F.col("id").desc()).limit(9)):
+        got = part.collect()
+        assert got and all(want[r["email"]] == r["id"] for r in got)
+    assert numbered.select("email").count() == numbered.where("id > 0").count() == len(rows)
+
+
+def test_numbers_are_never_wrong_without_exchange_reuse(spark):
+    df = spark.range(50_000).select(F.xxhash64("id").alias("k")).repartition(6)
+    spark.conf.set("spark.sql.exchange.reuse", "false")
+    try:
+        with pytest.raises(Exception, match="range_row_number"):
+            range_row_number(df, [F.col("k").asc()], ranges=16).collect()
+    finally:
+        spark.conf.unset("spark.sql.exchange.reuse")
 
 
 def test_histogram_rank_equals_rank(spark, rows):
