@@ -2,6 +2,8 @@
 
 import tempfile
 
+import pytest
+
 from mailmetrics.__main__ import main
 from mailmetrics.sources.tables import Sources
 
@@ -26,3 +28,18 @@ def test_cli_without_ids(spark):
     out = tempfile.mkdtemp(prefix="mailmetrics-cli-out-")
     written = main(["--sources", root, "--out", out, "--reports", "contact_engagement", "--no-ids"], spark=spark)
     assert "id" not in spark.read.parquet(written[0]).columns
+
+
+def test_cli_creates_views(spark, tmp_path):
+    spark.sql(f"CREATE DATABASE cli_views LOCATION '{tmp_path}'")
+    try:
+        for name, df in Sources.from_driver_tables(spark, sf_dir("0.001")).as_dict().items():
+            df.write.saveAsTable(f"cli_views.{name}")
+        made = main(["--catalog", "cli_views", "--views", "cli_views", "--reports", "list_health,campaign_stats"], spark=spark)
+        assert made == ["cli_views.list_health", "cli_views.campaign_stats"]
+        assert spark.newSession().table(made[1]).count() > 0
+        for bad in (["--views", "x"], ["--catalog", "c", "--views", "x", "--out", "o"], ["--catalog", "c"]):
+            with pytest.raises(SystemExit):
+                main(bad, spark=spark)
+    finally:
+        spark.sql("DROP DATABASE cli_views CASCADE")
