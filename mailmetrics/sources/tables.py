@@ -90,7 +90,7 @@ class Sources:
 
 
 def conform(df: DataFrame, table: str) -> DataFrame:
-    """Project ``df`` onto the declared columns and types of ``table``."""
+    """Project ``df`` onto the declared columns and types of ``table`` (and the partition column of ``layout``, if it has it)."""
     schema = SCHEMAS[table]
     have = set(df.columns)
     missing = [f.name for f in schema.fields if f.name not in have]
@@ -102,4 +102,6 @@ def conform(df: DataFrame, table: str) -> DataFrame:
         if df.schema[f.name].dataType != f.dataType:
             c = c.cast(f.dataType)
         cols.append(c.alias(f.name))
+    if "sent_month" in have and table in ("mailing_mailing", "mailing_trace"):
+        cols.append(F.col("sent_month"))
     return df.select(*cols)
