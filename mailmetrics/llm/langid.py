@@ -8,10 +8,12 @@ language has several centroids, found by k-means under the cosine on at most
 ``SAMPLE`` of its documents (chosen by a hash of the id).  A text gets the
 language of the nearest centroid; ``score`` is their cosine (0 to 1).
 
-Rejection by distance: a text is rejected if it has no letter, or if its
-cosine is below ``REJECT`` times the least cosine that any sample member of
-the language had with its own centroid (short texts are among them, so clean
-short texts stay).  ``lang_pred`` of a text without letters, and of a null
+Rejection by distance: a text is rejected if it has no letter, or if its cosine
+is below ``REJECT`` times the cosine that all but the share ``LOW`` of the
+nearest centroid's members reach; for a text of fewer than ``SHORT`` letters,
+whose few n-grams say less, below that part of it that its letters are of
+``SHORT``.  Outliers among the sample don't become centroids: those with less
+than the share ``SMALL`` of the members are left out.  ``lang_pred`` of a text without letters, and of a null
 text, is ``und`` (score 0); other texts always get a learned language, with
 ``rejected`` beside it.
 
@@ -22,6 +24,7 @@ Null languages are never learned.  If nothing can be learned, every text is
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -37,6 +40,12 @@ DIMS = 1 << 13
 SAMPLE = 1000
 CENTROIDS = 4
 REJECT = 0.5
+#: Share of a centroid's members whose cosines don't count for the distance (junk among them can't set it).
+LOW = 0.01
+#: Share of the members below which a centroid is an outlier's.
+SMALL = 0.02
+#: Letters below which a text may be further away.
+SHORT = 20
 #: Rows whose dense vectors are held at once.
 ROWS = 128
 UNKNOWN = "und"
@@ -104,7 +113,7 @@ def document_frequencies(texts: DataFrame) -> tuple[np.ndarray, int]:
 
 
 def kmeans(x: np.ndarray, k: int, rounds: int = 12) -> tuple[np.ndarray, np.ndarray]:
-    """Spherical k-means; (centroids, least cosine of a member). Starts from far-apart members."""
+    """Spherical k-means; (centroids, cosine that all but LOW of a centroid's members reach). Starts from far-apart members."""
     first = [int(np.argmax(x @ x.mean(0)))]
     near = x @ x[first[0]]
     for _ in range(1, min(k, len(x))):
@@ -121,9 +130,11 @@ def kmeans(x: np.ndarray, k: int, rounds: int = 12) -> tuple[np.ndarray, np.ndar
         if np.allclose(new, c, atol=1e-6):
             break
         c = new
+    own = (x @ c.T).argmax(1)
+    c = c[np.bincount(own, minlength=len(c)) >= SMALL * len(x)]  # the largest is among them: SMALL is below 1 / CENTROIDS
     sim = x @ c.T
     own = sim.argmax(1)
-    return c, np.array([sim[own == j, j].min() if (own == j).any() else 1.0 for j in range(len(c))])
+    return c, np.array([np.quantile(sim[own == j, j], LOW, method="lower") if (own == j).any() else 1.0 for j in range(len(c))])
 
 
 class Centroids:
@@ -131,14 +142,15 @@ class Centroids:
         self.idf, self.langs, self.vectors, self.least = idf, langs, vectors, least
 
     def predict(self, texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
-        letters = np.array([bool(t) and _LETTER.search(t) is not None for t in texts.to_pylist()], bool)
+        size = np.array([sum(1 for _ in islice(_LETTER.finditer(t or ""), SHORT)) for t in texts.to_pylist()])
+        letters = size > 0
         if not self.langs:
             return [UNKNOWN] * len(texts), np.zeros(len(texts)), np.ones(len(texts), bool)
         sim = unit(counts(texts), self.idf) @ self.vectors.T
         best = sim.argmax(1)
         score = np.where(letters, np.clip(sim[np.arange(len(best)), best], 0, 1), 0).astype(float)
         lang = [self.langs[j] if ok else UNKNOWN for j, ok in zip(best.tolist(), letters.tolist(), strict=True)]
-        return lang, score, ~letters | (score < REJECT * self.least[best])
+        return lang, score, ~letters | (score < REJECT * self.least[best] * np.minimum(1, size / SHORT))
 
 
 def fit(docs: DataFrame, learn: Column, sample: int = SAMPLE, k: int = CENTROIDS, id_col: str = "doc_id",
@@ -146,7 +158,7 @@ def fit(docs: DataFrame, learn: Column, sample: int = SAMPLE, k: int = CENTROIDS
     """Learn from the rows where ``learn`` holds and the language is known."""
     rows = docs.where(learn).selectExpr(f"cast(`{id_col}` as long) as doc_id", f"cast(`{text_col}` as string) as text",
                                         f"cast(`{lang_col}` as string) as lang")
-    rows = rows.where("lang is not null and text is not null and text <> ''")
+    rows = rows.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))  # a text without letters has no language
     df, n = document_frequencies(rows)
     idf = (np.log((1 + n) / (1 + df)) + 1).astype(np.float32)
     # one row a language; the sampling share of each keeps its sample near the bound
@@ -164,9 +176,8 @@ def fit(docs: DataFrame, learn: Column, sample: int = SAMPLE, k: int = CENTROIDS
 
     got = picked.select("lang", "text").groupBy("lang").applyInPandas(cluster, "lang string, vector array<float>, least double").collect()
     got = sorted(got, key=lambda r: (r.lang, r.vector))
-    floor = {x: min(r.least for r in got if r.lang == x) for x in {r.lang for r in got}}
     return Centroids(idf, [r.lang for r in got], np.array([r.vector for r in got], np.float32).reshape(len(got), DIMS),
-                     np.array([floor[r.lang] for r in got]))
+                     np.array([r.least for r in got]))
 
 
 def predict(docs: DataFrame, model: Centroids, held_out: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -1,3 +1,5 @@
+import random
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
@@ -97,3 +99,31 @@ def test_toxicity_odd_tables(spark):
     assert len(toxicity.predict(docs, scorer, F.lit(False)).collect()) == 4
     scorer = toxicity.fit(docs.limit(0), labels.limit(0), F.lit(True))
     assert toxicity.predict(docs, scorer, F.lit(False)).agg(F.max("score")).first()[0] == 0
+
+
+def test_nearest_centroid_by_brute_force(spark):
+    """Language, cosine and rejection of every text, worked out one by one from the fitted centroids."""
+    import re
+
+    import numpy as np
+    import pyarrow as pa
+
+    r = random.Random(8)
+    vocab = {"en": ["the", "of", "ship", "water", "thing"], "de": ["über", "schiff", "ung", "wasser", "und"]}
+    rows = [(i, " ".join(r.choice(vocab[x]) for _ in range(r.randrange(1, 40))), x) for i in range(200) for x in [r.choice(["en", "de"])]]
+    rows += [(300 + i, "####", "en") for i in range(60)] + [(400, "qq xx zz qq jj vv kk qq zz xx jj kk", "en")]  # letterless ones are not learned, one outlier
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), F.lit(True))
+    assert (model.least < 1 - 1e-6).all() and (model.least > 0.2).all()  # neither sets a distance of its own
+    asked = [t for _, t, _ in rows[:80]] + ["", None, "12", "the", "Это совершенно другой язык, его не учили", "qxj " * 12, "zq xv jk"]
+    lang, score, rejected = model.predict(pa.array(asked, pa.string()))
+    for i, t in enumerate(asked):
+        letters = len(re.findall(r"[^\W\d_]", t or ""))
+        vector = langid.counts(pa.array([t], pa.string()))[0]
+        vector = np.log1p(vector.astype(float)) * model.idf
+        size = float(np.sqrt((vector ** 2).sum()))
+        cosines = [sum(float(a) * float(b) for a, b in zip(vector[vector > 0] / size, c[vector > 0])) for c in model.vectors] if letters else [0.0]
+        best = max(range(len(cosines)), key=cosines.__getitem__)
+        assert lang[i] == (model.langs[best] if letters else "und")
+        assert abs(score[i] - (min(1, cosines[best]) if letters else 0)) < 1e-4
+        assert rejected[i] == (not letters or score[i] < langid.REJECT * model.least[best] * min(1, letters / langid.SHORT))
+    assert rejected[-3:-1].all() and not rejected[:80].any()
