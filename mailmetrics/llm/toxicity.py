@@ -49,8 +49,6 @@ PREFIXES = (4, 5)
 #: A feature's weight is its log odds less so many standard errors; it is kept from LEAST_WEIGHT on.
 SURE = 2.0
 LEAST_WEIGHT = 1.0
-#: Weighted features of the model, the heaviest first (the model's size is a parameter).
-MODEL_SIZE = 100_000
 #: Distinct words whose reading and features a task remembers.
 CACHE_WORDS = 400_000
 
@@ -345,7 +343,8 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, sample: int = SAMPLE,
     c, t = F.col("clean") + 0.5, F.col("toxic") + 0.5
     w = F.log(t / (float(total[1]) - F.col("toxic") + 0.5)) - F.log(c / (float(total[0]) - F.col("clean") + 0.5))
     low = w - SURE * F.sqrt(1 / t + 1 / c)
-    kept = table.select("f", low.alias("w")).where(F.col("w") >= LEAST_WEIGHT).orderBy(F.col("w").desc(), "f").limit(MODEL_SIZE).collect()
+    # as many as the sampled rows have features with a weight; no more documents make no more of them
+    kept = table.select("f", low.alias("w")).where(F.col("w") >= LEAST_WEIGHT).collect()
     weights = {r.f: r.w for r in kept}
     first = Scorer(model, weights, np.zeros(4), None)
     weighed = spark.sparkContext.broadcast(first)
