@@ -73,23 +73,23 @@ class TestSuffixes:
         hashes, first = words(*text_bytes(texts))
         self.vocab = np.unique(hashes)
         ids = np.searchsorted(self.vocab, hashes) + 1
-        rows, own = [], []
-        for i in range(len(items)):
-            w = ids[first[i]:first[i + 1]]
-            for k in range(max(1, len(w) - n + 1) if len(w) else 0):
-                rows.append(np.pad(w[k:k + n], (0, max(0, n - len(w)))))
-                own.append(i)
-        table = np.array(rows, np.int64).reshape(len(rows), n)
-        self.windows, back = np.unique(table, axis=0, return_inverse=True) if len(rows) else (table, np.zeros(0, np.int64))
+        sizes = np.diff(first)
+        starts = np.where(sizes > 0, np.maximum(1, sizes - n + 1), 0)  # an item of fewer words is one window, filled up with 0
+        own = np.repeat(np.arange(len(items)), starts)
+        begin = first[own] + np.arange(len(own)) - np.repeat(np.cumsum(starts) - starts, starts)
+        padded = np.append(ids, np.zeros(n, np.int64))
+        table = np.lib.stride_tricks.sliding_window_view(padded, n)[begin] * (np.arange(n) < np.minimum(n, first[own + 1] - begin)[:, None])
+        table = table.reshape(len(own), n)
+        self.windows, back = np.unique(table, axis=0, return_inverse=True) if len(table) else (table, np.zeros(0, np.int64))
         self.sizes = (self.windows > 0).sum(1)
         names = sorted({str(k) for k, _ in items})
         at = {k: j for j, k in enumerate(names)}
-        pairs = np.unique(np.array([(p, at[str(items[i][0])]) for p, i in zip(back.reshape(-1), own, strict=True)], np.int64).reshape(-1, 2), axis=0)
+        pairs = np.unique(np.array([(p, at[str(items[i][0])]) for p, i in zip(back.reshape(-1).tolist(), own.tolist(), strict=True)], np.int64).reshape(-1, 2), axis=0)
         self.names, self.item_of = names, pairs[:, 1]
         self.item_first = np.searchsorted(pairs[:, 0], np.arange(len(self.windows) + 1))
         #: next window along a text, if it is the same everywhere: for the longest match
         nxt = {}
-        for a, b, i, j in zip(back.reshape(-1)[:-1], back.reshape(-1)[1:], own[:-1], own[1:], strict=True):
+        for a, b, i, j in zip(back.reshape(-1)[:-1].tolist(), back.reshape(-1)[1:].tolist(), own[:-1].tolist(), own[1:].tolist(), strict=True):
             if i == j:
                 nxt.setdefault(int(a), set()).add(int(b))
         self.follow = np.array(sorted((a << 32) | b for a, bs in nxt.items() for b in bs), np.int64)
@@ -201,11 +201,13 @@ def _search(docs: DataFrame, benchmark: DataFrame, n: int, block_words: int, tex
     spark = docs.sparkSession
     b = benchmark.selectExpr(f"`{item_col}` as item_id", f"cast(`{item_text_col}` as string) as text")
     df = docs.withColumns({"_spans": F.array().cast("array<long>"), "_items": F.array().cast("array<string>"), "_longest": F.lit(0).cast("long")})
-    blocks = [spark.sparkContext.broadcast(TestSuffixes(block, n)) for block in _blocks(b, block_words)]
-    scratch = Scratch(spark, "decontaminate") if len(blocks) > 1 else None
-    for i, test in enumerate(blocks[:-1]):
-        df = scratch.stage(df.mapInArrow(functools.partial(_add, test, docs.columns.index(text_col)), df.schema), f"block{i}")
-    return df, blocks[-1]
+    scratch, last = Scratch(spark, "decontaminate"), None
+    for i, block in enumerate(_blocks(b, block_words)):  # one is built, sent and searched at a time; the last is left to the caller
+        if last is not None:
+            df = scratch.stage(df.mapInArrow(functools.partial(_add, last, docs.columns.index(text_col)), df.schema), f"block{i}")
+            last.destroy()
+        last = spark.sparkContext.broadcast(TestSuffixes(block, n))
+    return df, last
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW_WORDS, share: int = HIT_SHARE,
