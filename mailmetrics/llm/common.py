@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import shutil
 import tempfile
@@ -29,14 +30,19 @@ BATCH_ROWS = 1000
 
 
 def prepare(spark: SparkSession) -> None:
-    """Bound the Arrow batches, and send this package to Python workers whose search path lacks it."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    """Bound the Arrow batches, and send this package to the executors' Python workers."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:  # a smaller bound of the user's stays
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    master = spark.sparkContext.master
+    if master.startswith("local") and not master.startswith("local-cluster"):
+        return  # the workers run in this process' folder with its search path
     package = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     root, name = os.path.split(package)
-    there = [os.path.abspath(p) for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p]
-    if root in there or os.getcwd() == root or any(f.endswith(f"/{name}.zip") for f in spark.sparkContext.listFiles):
+    if any(f.endswith(f"/{name}.zip") for f in spark.sparkContext.listFiles):
         return
-    spark.sparkContext.addPyFile(shutil.make_archive(os.path.join(tempfile.mkdtemp(prefix="llm-package-"), name), "zip", root, name))
+    folder = tempfile.mkdtemp(prefix="llm-package-")  # on the driver, which serves it to the executors
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    spark.sparkContext.addPyFile(shutil.make_archive(os.path.join(folder, name), "zip", root, name))
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -106,6 +112,20 @@ def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     )
 
 
+def distinct_texts(rows: DataFrame, scratch: Scratch, times: int = 1) -> DataFrame:
+    """``keyed`` rows, of which those that repeat (dk, rk) come ``times`` times at most.
+
+    Repeats are found by counts of the keys and reduced by partial
+    aggregates, so a row repeated any number of times never meets itself.
+    """
+    many = scratch.stage(rows.groupBy("dk", "rk").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > times).select("dk", "rk"), "repeated")
+    if many.isEmpty():
+        return rows
+    once = rows.join(many, ["dk", "rk"], "left_semi").groupBy("dk", "rk").agg(F.first("doc_id").alias("doc_id"), F.first("text").alias("text"))
+    some = once.withColumn("_i", F.explode(F.array(*map(F.lit, range(times))))).select(rows.columns)
+    return scratch.stage(rows.join(many, ["dk", "rk"], "left_anti").unionByName(some), "distinct")
+
+
 def crc_mod(id_col: str, n: int):
     """crc32(doc_id as text) mod n; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(id_col).cast("long").cast("string"), F.lit("")).cast("binary")) % n

@@ -39,7 +39,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import seqhash
@@ -324,13 +323,16 @@ def keep_one(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD, id_c
 
     Rows that take no part stay.  Of rows that repeat both id and text one stays.
     """
-    found = jaccard_join(docs, n, threshold, id_col=id_col, text_col=text_col)
+    scratch = Scratch(docs.sparkSession, "keep-one")
+    found = jaccard_join(docs, n, threshold, id_col=id_col, text_col=text_col).select("dk", "rk", "stays", "n_links")
+    found = scratch.stage(found, "found")
     drop = found.where(~F.col("stays")).select(F.col("dk").alias("_dk"), F.col("rk").alias("_rk")).distinct()
     again = found.where("stays and n_links > 0").groupBy("dk", "rk").agg(F.count("*").alias("_n")).where("_n > 1")
-    again = again.select(F.col("dk").alias("_dk"), F.col("rk").alias("_rk"), "_n")
+    again = scratch.stage(again.select(F.col("dk").alias("_dk"), F.col("rk").alias("_rk")), "again")
     rows = docs.withColumns({"_dk": F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))), "_rk": row_key(F.col(text_col).cast("string"))})
     rows = rows.join(drop.hint("merge"), ["_dk", "_rk"], "left_anti")
     if again.isEmpty():
         return rows.select(*docs.columns)
-    rows = rows.join(again, ["_dk", "_rk"], "left").withColumn("_at", F.row_number().over(W.partitionBy("_dk", "_rk").orderBy("_n")))
-    return rows.where("_n is null or _at = 1").select(*docs.columns)
+    # rows that repeat are reduced by partial aggregates, apart from all others
+    one = rows.join(again, ["_dk", "_rk"], "left_semi").groupBy("_dk", "_rk").agg(F.first(F.struct(*docs.columns)).alias("_row"))
+    return rows.join(again, ["_dk", "_rk"], "left_anti").select(*docs.columns).unionByName(one.select("_row.*"))

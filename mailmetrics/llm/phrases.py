@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import seqhash
-from .common import Scratch, keyed, out, row_key, slices, text_bytes
+from .common import Scratch, distinct_texts, keyed, out, row_key, slices, text_bytes
 
 WINDOW_WORDS = 50
 ANCHOR_WORDS = 8
@@ -104,7 +104,8 @@ def _windows(n: int):
 def recurring_runs(docs: DataFrame, n: int = WINDOW_WORDS, k: int = ANCHOR_WORDS) -> DataFrame:
     """(dk, rk, runs): for each row of ``keyed`` documents, [run, origin] of windows that start in an earlier document."""
     scratch = Scratch(docs.sparkSession, "phrases")
-    texts = docs.where("doc_id is not null").select("dk", "rk", "text")
+    # rows that share an id aren't repeats of each other, so one of the rows that repeat both id and text is enough
+    texts = distinct_texts(docs.where("doc_id is not null"), scratch).select("dk", "rk", "text")
     entries = scratch.stage(texts.mapInArrow(_entries(n, k), "dk long, rk long, a long, w long, run long"), "entries")
     keys = entries.groupBy("a").agg(F.min("dk").alias("d0"), F.max("dk").alias("d1"), F.min("w").alias("lo"), F.max("w").alias("hi"))
     keys = scratch.stage(keys.where("d0 < d1").selectExpr("a", "d0", "lo <> hi as mixed"), "keys")  # else a hot anchor can't be split below

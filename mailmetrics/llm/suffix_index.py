@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import seqhash
-from .common import Scratch, grouped, keyed, out, slices, text_bytes
+from .common import Scratch, distinct_texts, grouped, keyed, out, slices, text_bytes
 
 REPEAT_BYTES = 200
 ANCHOR_BYTES = 64
@@ -150,6 +150,7 @@ def repeated_runs(docs: DataFrame, n: int = REPEAT_BYTES, k: int = ANCHOR_BYTES,
     """(dk, rk, runs): for each row of ``keyed`` documents, the runs of window starts that repeat."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "suffix")
+    docs = distinct_texts(docs, scratch, 2)  # a repeated row is an occurrence elsewhere: two of them say all that more would
     rows = docs.select("dk", "rk", F.pmod(F.xxhash64("dk", "rk"), F.lit(batches)).cast("int").alias("batch"), "text")
     entries = scratch.stage(rows.mapInArrow(_entries(n, k), "dk long, rk long, batch int, a long, w long, run long"),
                             "entries", ["batch"])
