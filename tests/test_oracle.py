@@ -5,6 +5,8 @@ Slices run their registered shape over each report built once per session
 at sf0.001 (and cached), against the same oracle SQL.
 """
 
+import re
+
 import pytest
 
 import __spark_entry__ as entry
@@ -37,9 +39,10 @@ def small_reports(spark):
 
 
 def test_every_query_has_an_oracle():
-    assert set(QUERIES) == set(SQL)
-    assert len(REPORTS) == 15
-    assert set(SPECS) | set(REPORTS) == set(QUERIES)
+    """Every report and slice; training-data operators have SQL where SQL can express them."""
+    corpus = {n for n in QUERIES if re.match(r"op\d+_|pipeline$", n)}
+    assert set(QUERIES) - corpus == set(SQL) - corpus == set(SPECS) | set(REPORTS)
+    assert len(REPORTS) == 15 and set(SQL) <= set(QUERIES)
 
 
 @pytest.mark.parametrize("table", TABLES)
