@@ -33,13 +33,16 @@ def prepare(spark: SparkSession) -> None:
     """Bound the Arrow batches, and send this package to the executors' Python workers."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:  # a smaller bound of the user's stays
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    master = spark.sparkContext.master
-    if master.startswith("local") and not master.startswith("local-cluster"):
-        return  # the workers run in this process' folder with its search path
     package = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     root, name = os.path.split(package)
     if any(f.endswith(f"/{name}.zip") for f in spark.sparkContext.listFiles):
         return
+    master = spark.sparkContext.master
+    if master.startswith("local") and not master.startswith("local-cluster"):
+        # workers of this machine start in this folder, with this PYTHONPATH
+        there = [os.path.abspath(p) for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p]
+        if root in there or os.getcwd() == root:
+            return
     folder = tempfile.mkdtemp(prefix="llm-package-")  # on the driver, which serves it to the executors
     atexit.register(shutil.rmtree, folder, ignore_errors=True)
     spark.sparkContext.addPyFile(shutil.make_archive(os.path.join(folder, name), "zip", root, name))
