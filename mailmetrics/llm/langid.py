@@ -39,7 +39,7 @@ DIMS = 1 << 13
 #: Documents of a language that its centroids are fitted on, at most (about).
 SAMPLE = 1000
 CENTROIDS = 4
-REJECT = 0.5
+REJECT = 0.25
 #: Share of a centroid's members whose cosines don't count for the distance (junk among them can't set it).
 LOW = 0.01
 #: Share of the members below which a centroid is an outlier's.
