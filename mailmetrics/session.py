@@ -1,9 +1,7 @@
-"""Session helpers: settings the reports rely on, and the checkpoint folder."""
+"""Session helper: settings the reports rely on."""
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import SparkSession
 
 # Settings the reports assume: timestamps are wall-clock values (NTZ) and
@@ -34,31 +32,4 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    ensure_checkpoint_dir(spark)
     return spark
-
-
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the reliable checkpoint folder, binding it if needed.
-
-    The cluster names a shared folder in ``spark.checkpoint.dir``; that one
-    is used.  Only a local session (tests) without the setting gets a
-    private temporary folder.
-    """
-    sc = spark.sparkContext
-    current = sc.getCheckpointDir()
-    if current:
-        return current
-    configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get(
-        "spark.checkpoint.dir", None
-    )
-    if configured:
-        sc.setCheckpointDir(configured)
-    elif sc.master.startswith("local"):
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="mailmetrics-ckpt-"))
-    else:
-        raise RuntimeError(
-            "spark.checkpoint.dir is not set; point it at a shared folder (HDFS/S3/...) "
-            "so checkpointed stages survive executor loss"
-        )
-    return sc.getCheckpointDir()
