@@ -1,6 +1,6 @@
 """Licence scan by canonical digests (Spark functions only).
 
-A text is normalised (A-Z to lower case, copyright lines dropped, punctuation
+A text is normalised (A-Z to lower case, copyright notices dropped, punctuation
 and white space to single spaces, equivalent spellings to one) and its SHA-256
 is hash-joined to the digests of known licence texts, normalised the same
 way.  Entire texts are looked up twice: the whole document, and every line of
@@ -74,7 +74,9 @@ SPELLINGS = [
     ("public licens v", "public licens version "),
 ]
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-COPYRIGHT_LINE = r"^[^0-9a-z\n]*(copyright|\(c\)|©|all rights reserved)[^\n]*$"
+#: Notices only: the word followed by (c), "by" or a year, or (c) by one of them; other lines that begin with the word are text.
+COPYRIGHT_LINE = (r"^[^0-9a-z\n]*(copyright[^0-9a-z\n]*(\(c\)|©|by\b|[0-9]{4}|year\b|yyyy\b)|(\(c\)|©)[^0-9a-z\n]*(copyright\b|by\b|[0-9]{4}|year\b|yyyy\b)"
+                  r"|all rights reserved)[^\n]*$")
 PUNCTUATION = r"[^0-9a-z\x{80}-\x{10ffff}\n]+|[\x{a0}-\x{bf}\x{2000}-\x{206f}\x{3000}-\x{3003}]+"
 
 

@@ -140,3 +140,22 @@ def test_licences(spark):
     assert licenses.scan_licenses(df.limit(0)).count() == 0
     plan = licenses.scan_licenses(df)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_wrapped_licences(spark):
+    """Every known text of several lines, wrapped anywhere, with and without notices above it; body lines that begin with "copyright" stay."""
+    import textwrap
+
+    notices = ["", "Copyright (c) 2020 A. Body\n\n", "(c) 2021 Some Body\nAll rights reserved.\n\n", "Copyright © by A. Body\n", "Copyright <year> <holders>\n\n", "COPYRIGHT 1999, 2001 X\n"]
+    rows, want = [], []
+    for name, text in licenses.KNOWN:
+        if len(text) > 300:
+            for width in range(60, 101, 4):
+                wrapped = "\n\n".join(textwrap.fill(p, width, break_on_hyphens=False, break_long_words=False) for p in text.split("\n\n"))
+                rows.append((len(rows), notices[len(rows) % len(notices)] + wrapped))
+                want.append(name)
+    assert any(line.lower().startswith("copyright notice") for _, t in rows for line in t.splitlines())
+    rows += [(10**6, "Copyright law is\ncopyright holders agree\n(c) You must retain"), (10**6 + 1, "law is\nagree\nYou must retain")]
+    got = {r.doc_id: r for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[i].license for i in range(len(want))] == want
+    assert got[10**6].canon_sha256 != got[10**6 + 1].canon_sha256
