@@ -45,6 +45,18 @@ def test_passages_against_brute_force(spark):
     assert tuples(phrases.remove_repeated_passages(df, 6, 2)) == passages(rows, 6)
 
 
+def test_automata_locate_the_passages(spark, monkeypatch):
+    monkeypatch.setattr(phrases, "SHARD_WORDS", 40)  # many shards, each searched by many tasks
+    monkeypatch.setattr(phrases, "SHARD_TEXTS", 3)
+    monkeypatch.setattr(phrases, "BLOCK_BITS", 2)
+    rows = awkward(60, 8) + [(900 + i, " ".join(f"hot{j}" for j in range(30))) for i in range(12)]
+    df = spark.createDataFrame(rows, DOCS)
+    want = passages(rows, 6)
+    assert tuples(phrases.remove_repeated_passages(df, 6, 2)) == want
+    monkeypatch.setattr(phrases, "_search", lambda batches: iter(()))
+    assert tuples(phrases.remove_repeated_passages(df, 6, 2)) != want
+
+
 def test_passages_whole_table(spark):
     df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     rows = [(r[0], r[1]) for r in df.select("doc_id", "text").collect()]
