@@ -18,15 +18,16 @@ _RATIOS = (
 )
 
 
-def automation_overview(src: Sources) -> DataFrame:
+def automation_overview(src: Sources, rollup: DataFrame | None = None) -> DataFrame:
     """Per automation campaign: participant counts, e-mail activities, mean rates.
 
     Participants are scanned once (one conditional aggregate instead of four
     counts).  The e-mail activities are left-joined to their mailing once:
     every activity counts in ``email_activities``, only those whose mailing
-    exists count in the four mean ratios (null ratio as 0).
+    exists count in the four mean ratios (null ratio as 0).  ``rollup``: the
+    participant rollup, if there is one already.
     """
-    parts = participant_rollup(src.marketing_participant)
+    parts = rollup if rollup is not None else participant_rollup(src.marketing_participant)
 
     acts = src.marketing_activity.where(
         (F.col("activity_type") == "email") & F.col("campaign_id").isNotNull()
