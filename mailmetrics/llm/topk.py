@@ -2,7 +2,8 @@
 
 Vectors are range-partitioned by their length (ties by id), so a partition
 holds a narrow band of lengths; inside it, runs of ``BUCKET`` vectors in order
-of length are the buckets.  A first pass scores the queries against the
+of length are the buckets (they go on over Arrow batches; vectors of different
+sizes in a run are searched apart).  A first pass scores the queries against the
 ``BUCKET`` longest vectors, which gives every query a threshold: its k-th best
 score so far.  For a bucket with longest length m, a query needs a cosine of
 t = threshold / (|q| * m):
@@ -24,7 +25,11 @@ non-finite component, take no part; vectors of different sizes are not
 compared; rows without an id take no part; rows that repeat an id are
 candidates each, but never of a query with their own id, and a repeated query
 id is one query (its first vector in sort order).
-Queries are broadcast in blocks of ``QUERY_BLOCK``; each block sees all rows.
+Vectors in order of length and queries are written once, the queries in blocks
+of about ``QUERY_BLOCK``.  One block at a time is broadcast and sees all rows;
+its k best a query are written before the next block is read, so driver and
+executors hold one block however many there are, and a lost executor costs
+tasks of one block.
 """
 
 from __future__ import annotations
@@ -38,12 +43,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import out
+from .common import Scratch, out
 
 SCALE = 256
 K = 5
 BUCKET = 4096
 QUERY_BLOCK = 4096
+#: Queries multiplied with a bucket at once (bounds the matrix of scores).
+QUERY_ROWS = 512
 FOCUS = 4
 COORDINATE_FROM = 0.7
 #: Marks no score; its negative is an integer too.
@@ -140,52 +147,76 @@ def search_bucket(best: Best, k: int, qid, q, qn, ids, v, vn) -> None:
             at = np.flatnonzero(keep & (ids != qid[r]))
             if len(at):
                 best.offer(np.array([r]), *top(products(q[r:r + 1], v[at], qn[r:r + 1], vn[at]), ids[at], k))
-    # length pruning, all other queries at once, longest vectors first
+    # length pruning, queries of like thresholds together, longest vectors first
     flat = live[need[live] < COORDINATE_FROM]
-    if len(flat):
-        least = np.where(np.isfinite(best.floor[flat]) & (qn[flat] > 0), best.floor[flat] / np.maximum(qn[flat], 1e-300), -np.inf)
-        n = int(np.searchsorted(-vn, -least.min() * (1 - 1e-9), side="right")) if least.min() > 0 else len(v)
+    least = np.where(np.isfinite(best.floor[flat]) & (qn[flat] > 0), best.floor[flat] / np.maximum(qn[flat], 1e-300), -np.inf)
+    order = np.argsort(-least, kind="stable")
+    flat, least = flat[order], least[order]
+    for i in range(0, len(flat), QUERY_ROWS):
+        rows, low = flat[i:i + QUERY_ROWS], least[i:i + QUERY_ROWS].min()
+        n = int(np.searchsorted(-vn, -low * (1 - 1e-9), side="right")) if low > 0 else len(v)
         if n:
-            score = products(q[flat], v[:n], qn[flat], vn[:n])
-            score[qid[flat][:, None] == ids[:n][None, :]] = NONE
-            best.offer(flat, *top(score, ids[:n], k))
+            score = products(q[rows], v[:n], qn[rows], vn[:n])
+            score[qid[rows][:, None] == ids[:n][None, :]] = NONE
+            best.offer(rows, *top(score, ids[:n], k))
+
+
+def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Runs of ``BUCKET`` rows, whatever the size of the batches."""
+    held, rows = [], 0
+    for b in batches:
+        while b.num_rows:
+            part = b.slice(0, BUCKET - rows)
+            b = b.slice(part.num_rows)
+            held.append(part)
+            rows += part.num_rows
+            if rows == BUCKET:
+                yield pa.Table.from_batches(held)
+                held, rows = [], 0
+    if held:
+        yield pa.Table.from_batches(held)
 
 
 def _search(queries, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    found = {s: Best(len(x[0]), queries.value.k, x[3]) for s, x in queries.value.by_size.items()}
     k = queries.value.k
-    for b in batches:
-        sizes = np.asarray(b.column(2))
+    found = {s: Best(len(x[0]), k, x[3]) for s, x in queries.value.by_size.items()}
+    for bucket in _buckets(batches):
+        sizes = np.asarray(bucket["size"])
         for s in np.unique(sizes).tolist():
             if s not in found:
                 continue
-            rows = b.filter(pa.array(sizes == s))
-            for i in range(0, rows.num_rows, BUCKET):
-                part = rows.slice(i, BUCKET)
-                vn = np.asarray(part.column(3))
-                order = np.argsort(-vn, kind="stable")
-                v = np.asarray(part.column(1).flatten()).reshape(part.num_rows, s)[order]
-                qid, q, qn, _ = queries.value.by_size[s]
-                search_bucket(found[s], k, qid, q, qn, np.asarray(part.column(0))[order], v, vn[order])
+            part = bucket.filter(pa.array(sizes == s)).combine_chunks()
+            vn = np.asarray(part["norm"])
+            order = np.argsort(-vn, kind="stable")
+            v = np.concatenate([np.asarray(c.flatten()) for c in part["v"].chunks]).reshape(part.num_rows, s)[order]
+            qid, q, qn, _ = queries.value.by_size[s]
+            search_bucket(found[s], k, qid, q, qn, np.asarray(part["vec_id"])[order], v, vn[order])
     for s, best in found.items():
-        real = best.score > NONE
+        qid, _, _, floor = queries.value.by_size[s]
+        real = (best.score > NONE) & (best.score >= floor[:, None])  # k rows of the first pass reach the floor
         row = np.nonzero(real)[0]
-        yield out(RESULT, query_id=queries.value.by_size[s][0][row], vec_id=best.id[real], score=best.score[real])
+        yield out(RESULT, query_id=qid[row], vec_id=best.id[real], score=best.score[real])
 
 
 def top_k(vectors: DataFrame, is_query, k: int = K, id_col: str = "vec_id", vector_col: str = "embedding",
           query_block: int = QUERY_BLOCK) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k best other rows. ``is_query``: a Column over ``vec_id``."""
     spark = vectors.sparkSession
-    rows = quantised(vectors, id_col, vector_col)
-    asked = rows.where(is_query).groupBy("vec_id").agg(F.min("v").alias("v"))
-    blocks = max(1, -(-asked.count() // query_block))
+    scratch = Scratch(spark, "topk")
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    dealt = rows.repartitionByRange(parts, F.col("norm").desc(), F.col("vec_id")).sortWithinPartitions(F.col("norm").desc(), "vec_id")
-    longest = rows.orderBy(F.col("norm").desc(), "vec_id").limit(BUCKET).collect()  # at most BUCKET rows
-    got = None
+    by_norm = [F.col("norm").desc(), F.col("vec_id")]
+    dealt = scratch.stage(
+        quantised(vectors, id_col, vector_col).repartitionByRange(parts, *by_norm).sortWithinPartitions(*by_norm)
+        .select("vec_id", "v", "size", "norm"), "vectors")
+    asked = dealt.where(is_query).groupBy("vec_id").agg(F.min("v").alias("v"))
+    blocks = max(1, -(-dealt.where(is_query).select("vec_id").distinct().count() // query_block))
+    asked = scratch.stage(asked.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int"))
+                          .repartition("block"), "queries", ["block"])
+    longest = dealt.orderBy(*by_norm).limit(BUCKET).collect()  # at most BUCKET rows
+    best_first = W.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
+    result = None
     for i in range(blocks):
-        own = asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == i).collect()
+        own = asked.where(F.col("block") == i).collect()  # about query_block rows, from their own folder
         queries = Queries([r.vec_id for r in own], [r.v for r in own], k)
         for s, (qid, q, qn, floor) in queries.by_size.items():
             first = Best(len(qid), k, floor)
@@ -195,8 +226,10 @@ def top_k(vectors: DataFrame, is_query, k: int = K, id_col: str = "vec_id", vect
                               np.array([r.norm for r in near]))
             # only a floor: the rows themselves are met again
             floor[:] = first.floor
-        part = dealt.select("vec_id", "v", "size", "norm").mapInArrow(
-            functools.partial(_search, spark.sparkContext.broadcast(queries)), "query_id long, vec_id long, score long")
-        got = part if got is None else got.unionByName(part)
-    order = W.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    return got.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        sent = spark.sparkContext.broadcast(queries)
+        got = dealt.mapInArrow(functools.partial(_search, sent), "query_id long, vec_id long, score long")
+        ranked = got.withColumn("rank", F.row_number().over(best_first)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        result = scratch.stage(ranked, f"found/part={i}").schema
+        sent.destroy()
+    scratch.drop("vectors", "queries")
+    return spark.read.schema(result).parquet(scratch.path("found")).select("query_id", "rank", "vec_id", "score")
