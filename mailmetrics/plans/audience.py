@@ -79,14 +79,31 @@ def contact_engagement(src: Sources, numbered: bool = True, *,
     return range_row_number(scored, order)
 
 
-def list_health(src: Sources, *, bounce_weight: int = HEALTH_BOUNCE_WEIGHT,
+def bounced_subscribers(src: Sources, *more: Column) -> DataFrame:
+    """(address, list, ``more`` columns of the trace) of bounced addresses held by a contact subscribed to the list.
+
+    Addresses are made distinct before the contact join so the trace fact
+    shrinks before the fan-out.
+    """
+    bounced = (
+        src.mailing_trace.where((F.col("trace_status") == "bounce") & F.col("email").isNotNull())
+        .select(F.col("email").alias("_email"), *more)
+        .distinct()
+    )
+    contacts = src.mailing_contact.select(F.col("id").alias("_cid"), F.col("email").alias("_cemail"))
+    hit = bounced.join(contacts, bounced["_email"] == contacts["_cemail"], "inner")
+    subs = src.mailing_contact_subscription.select("contact_id", F.col("list_id").alias("_blid"))
+    return hit.join(subs, hit["_cid"] == subs["contact_id"], "inner")
+
+
+def list_health(src: Sources, bounced: DataFrame | None = None, *, bounce_weight: int = HEALTH_BOUNCE_WEIGHT,
                 badges=HEALTH_BADGES, default_badge: str = HEALTH_DEFAULT_BADGE) -> DataFrame:
     """Per mailing list with subscriptions: active share, bounce exposure, health.
 
     ``bounced_ever`` counts distinct bounced addresses held by a contact
-    subscribed to the list (exact, case-sensitive address match).  Bounced
-    addresses are made distinct before the contact join so the trace fact
-    shrinks before the fan-out.
+    subscribed to the list (exact, case-sensitive address match), or is taken
+    from ``bounced`` (list_id, bounced_ever), such as the estimates of
+    ``operators.sketches``.
     """
     sub = src.mailing_contact_subscription
     oo = F.col("opt_out")
@@ -98,16 +115,10 @@ def list_health(src: Sources, *, bounce_weight: int = HEALTH_BOUNCE_WEIGHT,
     lists = src.mailing_list.select(F.col("id").alias("_lid"), F.col("name").alias("list_name"))
     stats = stats.join(lists, stats["list_id"] == lists["_lid"], "inner")
 
-    bounced = (
-        src.mailing_trace.where((F.col("trace_status") == "bounce") & F.col("email").isNotNull())
-        .select(F.col("email").alias("_email"))
-        .distinct()
-    )
-    contacts = src.mailing_contact.select(F.col("id").alias("_cid"), F.col("email").alias("_cemail"))
-    hit = bounced.join(contacts, bounced["_email"] == contacts["_cemail"], "inner")
-    subs = sub.select(F.col("contact_id"), F.col("list_id").alias("_blid"))
-    hit = hit.join(subs, hit["_cid"] == subs["contact_id"], "inner")
-    bstats = hit.groupBy("_blid").agg(F.count_distinct("_email").alias("_bounced_ever"))
+    if bounced is None:
+        bstats = bounced_subscribers(src).groupBy("_blid").agg(F.count_distinct("_email").alias("_bounced_ever"))
+    else:
+        bstats = bounced.select(F.col("list_id").alias("_blid"), F.col("bounced_ever").alias("_bounced_ever"))
 
     j = stats.join(bstats, stats["list_id"] == bstats["_blid"], "left").where(F.col("total_contacts") > 0)
     total = F.col("total_contacts")

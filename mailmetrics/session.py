@@ -6,12 +6,20 @@ from pyspark.sql import SparkSession
 
 # Settings the reports assume: timestamps are wall-clock values (NTZ) and
 # month/weekday names come out in English; AQE re-plans joins and coalesces
-# shuffle partitions at runtime and splits skewed join partitions.
+# shuffle partitions at runtime and splits skewed join partitions.  Where the
+# ids of e-mail mailings are too many to broadcast, Spark puts a Bloom filter
+# of them over the scan of a large fact (R1, R2, R13), so other traces aren't
+# shuffled: ids of up to 1 GB (Spark's default: 10 MB) make a filter of 4 MB,
+# sized for 4 million ids; more ids only let more traces through.
 REPORT_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.optimizer.runtime.bloomFilter.enabled": "true",
+    "spark.sql.optimizer.runtime.bloomFilter.creationSideThreshold": "1g",
+    "spark.sql.optimizer.runtime.bloomFilter.expectedNumItems": "4000000",
+    "spark.sql.optimizer.runtime.bloomFilter.numBits": "33554432",
 }
 
 

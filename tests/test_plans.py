@@ -102,3 +102,25 @@ def test_columns_pruned_at_scan(staged):
 def test_growing_reports_avoid_single_partition(staged, name):
     text = plan(build_report(name, staged, as_of=AS_OF, numbered=False))
     assert "SinglePartition" not in text
+
+
+@pytest.mark.parametrize("name", ["campaign_stats", "delivery_details", "contact_engagement"])
+def test_bloom_filter_of_mailing_ids_reaches_the_fact_scan(spark, staged, name):
+    """With more ids than a broadcast takes, and the fact as large as ten gigabytes would be."""
+    key = "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold"
+    small = sorted(map(str, build_report(name, staged, numbered=False).collect()))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set(key, "0")
+    try:
+        df = build_report(name, staged, numbered=False)
+        text = df._jdf.queryExecution().optimizedPlan().toString()
+        assert sorted(map(str, df.collect())) == small
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset(key)
+    assert "bloom_filter_agg" in text
+    lines = text.splitlines()
+    at = next(i for i, line in enumerate(lines) if "might_contain" in line)
+    assert "Filter" in lines[at] and "xxhash64(mass_mailing_id" in lines[at]
+    fact = next(i for i, line in enumerate(lines) if i > at and "Relation" in line and "mass_mailing_id" in line)
+    assert not any("Join" in line for line in lines[at:fact])  # nothing between the filter and the scan but the filter's own ids
