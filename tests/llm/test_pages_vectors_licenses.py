@@ -159,3 +159,23 @@ def test_wrapped_licences(spark):
     got = {r.doc_id: r for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert [got[i].license for i in range(len(want))] == want
     assert got[10**6].canon_sha256 != got[10**6 + 1].canon_sha256
+
+
+def test_normalisation_in_few_passes(spark):
+    """The texts that four regular expressions and a translation give, from fewer passes: a match or an object for every word or character fills the heap."""
+    points = [c for c in range(1, 0x11000) if not 0xD800 <= c < 0xE000]
+    rows = [("".join(f"{x}{chr(c)}{y}" for c in points[i:i + 64]),) for i in range(0, len(points), 64) for x, y in (("a", "B"), ("a ", " b"), ("z,", "\u2019 Z"), ("9\n", "9"))]
+    rows += [(None,), ("",), (" ",), ("\n \n",), ("A  b\n\n C ",), (" a b ",), ("a - b\u00a0-\u2014 c",), ("\U0001f600 A,\U00010400b",), ("Copyright (c) 2020 X\nIt  is,\nLICENCED",)]
+    df = spark.createDataFrame(rows, "text string")
+    c = F.regexp_replace(F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), "(?md)" + licenses.COPYRIGHT_LINE, "")
+    c = F.regexp_replace(F.regexp_replace(c, licenses.PUNCTUATION, " "), r"  +", " ")
+    for a, b in licenses.SPELLINGS:
+        c = F.replace(c, F.lit(a), F.lit(b))
+    flat = F.trim(F.regexp_replace(F.regexp_replace(c, r"\n+", " "), r"  +", " "))
+    mine = licenses.canonical_lines(F.col("text"))
+    got = df.select("text", mine.alias("lines"), c.alias("lines_want"), licenses.whole(mine).alias("flat"), flat.alias("flat_want")).collect()
+    assert [r.text for r in got if (r.lines, r.flat) != (r.lines_want, r.flat_want)] == []
+    plan = df.select(licenses.whole(mine).alias("c"))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("regexp_replace(") == 3 and "lower(text" in plan
+    words = spark.range(1).select(F.regexp_count(F.lit("one two, three - four five"), F.lit(licenses.PUNCTUATION_RUN)))
+    assert words.first()[0] == 2
